@@ -4,16 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variantloom.llm import neardup, textnorm, tokens
+from variantloom.llm import mixing, neardup, sampling, textnorm, tokens, truncation
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _spent(candidates: DataFrame) -> Column:
+    return F.coalesce(candidates["usage.output_tokens"], candidates["tokens_out"])
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates whose response was cut off before its end."""
+    return truncation.judged(c := _table(spark, folder, "candidates"), tokens=_spent(c)).where("cut").select("candidate_id").distinct()
+
+
+def p1_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of each model's candidates that is cut off."""
+    return truncation.report(c := _table(spark, folder, "candidates"), tokens=_spent(c))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of candidates that share at least half of their three-word runs."""
     return neardup.similar_pairs(_table(spark, folder, "candidates")).select("candidate_id_a", "candidate_id_b")
@@ -39,5 +53,41 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p2_found, p2_groups, p5_found, p5_consistent, p6_ids)}
+def _sampled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    summary, families = _table(spark, folder, "dart_anchor_summary"), _table(spark, folder, "family_targets")
+    pool = sampling.pool_of(_table(spark, folder, "anchors"), _table(spark, folder, "assignments"), summary, families)
+    return sampling.sample(pool, sampling.cells_of(pool, summary, families, 0.2))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells whose target or floor the pool cannot reach."""
+    return _sampled(spark, folder)[1].where("short").select(*sampling.CELL)
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Target, floor, pool and sampled rows of every cell."""
+    return _sampled(spark, folder)[1]
+
+
+def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The sampled pairs of anchor and family."""
+    return _sampled(spark, folder)[0]
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that cannot reach their weight."""
+    return p7_report(spark, folder).where("short").select("source")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens, passes and actual share of every source with a target."""
+    return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[1]
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixed documents in their order."""
+    return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[0].withColumnRenamed("_key", "source")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_sources, p2_found, p2_groups, p4_found, p4_report, p4_sample, p5_found, p5_consistent, p6_ids, p7_found, p7_report, p7_mix)}
 SQL: dict[str, str] = {}
