@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variantloom.llm import mixing, neardup, sampling, textnorm, tokens, truncation
+from variantloom.llm import mixing, neardup, pairs, sampling, textnorm, tokens, truncation
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,21 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(_table(spark, folder, "documents"))
 
 
+def _defects(spark: SparkSession, folder: str) -> DataFrame:
+    candidates = _table(spark, folder, "candidates")
+    return pairs.judged(candidates, _table(spark, folder, "prompt_jobs"), _spent(candidates))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective pairs of prompt and response, each with its defect."""
+    return _defects(spark, folder).where("defect is not null").distinct()
+
+
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct candidates by defect; null for sound pairs."""
+    return _defects(spark, folder).distinct().groupBy("defect").agg(F.count("*").alias("n"))
+
+
 def _sampled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     summary, families = _table(spark, folder, "dart_anchor_summary"), _table(spark, folder, "family_targets")
     pool = sampling.pool_of(_table(spark, folder, "anchors"), _table(spark, folder, "assignments"), summary, families)
@@ -89,5 +104,5 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[0].withColumnRenamed("_key", "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_sources, p2_found, p2_groups, p4_found, p4_report, p4_sample, p5_found, p5_consistent, p6_ids, p7_found, p7_report, p7_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_sources, p2_found, p2_groups, p3_found, p3_counts, p4_found, p4_report, p4_sample, p5_found, p5_consistent, p6_ids, p7_found, p7_report, p7_mix)}
 SQL: dict[str, str] = {}

@@ -223,6 +223,19 @@ def cut_score(model: EndModel, text: str, tokens: float | None, usual: float | N
     return score
 
 
+def _ended() -> Column:
+    return F.coalesce(F.col("_t").rlike(PLAIN_END), F.lit(True))
+
+
+def source_baselines(rows: DataFrame) -> DataFrame:
+    """Of each source of rows ``_s``, ``_t`` (text), ``_n`` (tokens): ``_usual`` tokens per character of its terminated texts and ``_bare``, the share of its texts without a terminator."""
+    per = F.col("_n") / F.length("_t")
+    return rows.groupBy(F.col("_s").alias("_source")).agg(
+        F.percentile_approx(F.when(_ended() & (F.length("_t") >= 100) & (per > 0), per), 0.5, 1000).alias("_usual"),
+        F.try_divide(F.count_if(~_ended()), F.count_if(F.col("_t").isNotNull())).alias("_bare"),
+    )
+
+
 def judged(df: DataFrame, key: str = "candidate_id", text: str = "candidate_response", source: str = "model", tokens: Column | None = None, size: int = SAMPLE) -> DataFrame:
     """``key``, ``source`` and ``cut`` (boolean) of every row.
 
@@ -232,13 +245,8 @@ def judged(df: DataFrame, key: str = "candidate_id", text: str = "candidate_resp
     """
     ship(df.sparkSession)
     rows = df.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(text).alias("_t"), (F.lit(None).cast("double") if tokens is None else tokens.cast("double")).alias("_n"))
-    ended = F.coalesce(F.col("_t").rlike(PLAIN_END), F.lit(True))
-    rows = rows.withColumn("_ended", ended)
-    per = F.col("_n") / F.length("_t")
-    sources = rows.groupBy(F.col("_s").alias("_source")).agg(
-        F.percentile_approx(F.when(F.col("_ended") & (F.length("_t") >= 100) & (per > 0), per), 0.5, 1000).alias("_usual"),
-        (F.count_if(~F.col("_ended")) / F.count_if(F.col("_t").isNotNull())).alias("_bare"),
-    )
+    rows = rows.withColumn("_ended", _ended())
+    sources = source_baselines(rows)
     model = df.sparkSession.sparkContext.broadcast(_read_model(df, text, size))
 
     def scores(t: pd.Series, n: pd.Series, usual: pd.Series, bare: pd.Series) -> pd.Series:
