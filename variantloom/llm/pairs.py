@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variantloom.llm.neardup import mix, runs_of
+from variantloom.llm.prefix import bounded_sample
 from variantloom.llm.textnorm import FOLD, INVISIBLE, base_form, comparison_words
 from variantloom.llm.truncation import EndModel, _read_model, cut_score, source_baselines
 from variantloom.session import ship
@@ -54,16 +55,19 @@ TASK = re.compile(
     r"\b(?:request\w*|rewrit\w+|transformation|task|version|generat\w+|produc\w+|provide\w*|assist\w*|help with|complet\w+|continue|imitat\w+|dialect\w*|variety|stereotyp\w+|mock|speakers?|community"
     r"|consult|reviewer|neutral|summary|context|safety|reasons|guidelines?|minor|grammar|instead|changing how|talks|understand|sharing this|reviewing)\b"
 )
-OPENING = re.compile(r"^\W*(?:(?:i am|i'm|im) (?:very )?sorry|sorry|i (?:must )?apologi[sz]e|regrettably|unfortunately|as an? (?:\w+ )?(?:language )?(?:assistant|model|ai)\b|after reviewing|thank you for|i understand the|i (?:cannot|can't|won't|am unable|am not able|have to pass)|my guidelines|this is something i|no rewrite|it would not be)")
+OPENING = re.compile(r"^\W*(?:(?:i am|i'm|im) (?:very )?sorry|sorry|i (?:must )?apologi[sz]e|regrettably|unfortunately|as an? (?:\w+ )?(?:language )?(?:assistant|model|ai)\b|after reviewing|thank you for|i understand the|(?:i am|i'm) (?:unable|not able)|i (?:cannot|can't|won't|have to pass)|my guidelines|this is something i|no rewrite|it would not be)")
 # Frequent function words of some languages.
 ENGLISH = frozenset("the a an and or but if so of to in on at by for with from as is are was were be been it its this that these those there their they them he she his her we our us you your i my me not no do did does had has have what when where which who how then because than into over out up down can could would will just about after before more some any all one their still sure why".split())
 FOREIGN = frozenset(
     "el la los las un una unos unas y o pero que de del en con por para se su sus es era fue como más muy mi lo al sin sobre entre cuando porque cada dos tres aquel nuestro hace"
+    " tudo assim outra vez muito dentro onde quando isso este esta esse essa dele dela mais já dois longo pelos pelas meus minhas são está estava tinha"
     " le les des et ou mais qui que dans avec pour sur sous est était ce cette ces son sa ses il elle nous vous je ne pas plus au aux du une mon ma notre chaque deux trois près après avant selon car"
     " der die das den dem ein eine einen einem und oder aber nicht mit von zu im am ist war sich er sie es wir ich auf für an bei nach vor unter neben aus zum zur unser mein jeden jenes laut weil alles wurde"
     " os as um uma e mas não com por para em no na nos nas do da dos das seu sua ele ela nós eu é foi ao à pelo pela perto atrás depois antes todo naquele nosso minha meu segundo acho"
     " il lo gli uno ma che di con per tra fra non sono era questo della nel het een van ik niet op te met voor og det som til på av är att och".split()
 )
+#: Words that both lists hold say nothing.
+ENGLISH_ONLY, FOREIGN_ONLY = ENGLISH - FOREIGN, FOREIGN - ENGLISH
 _CLAUSE = re.compile(r"[^.!?;\n…．]+(?:[.!?;\n…．]+|$)")
 _ANY_WORD = re.compile(r"\w+")
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -146,8 +150,8 @@ def features_of(answers: list[str], prompts: list[str | None], cut: list[bool],
                 continue
             low = clause.lower().replace(chr(0x2019), "'")
             letters, latin = len(_LETTERS.findall(clause)), len(_LATIN.findall(clause))
-            english = sum(w in ENGLISH for w in words) / len(words)
-            other = sum(w in FOREIGN and w not in ENGLISH for w in low.split()) / len(words)
+            own, others = sum(w in ENGLISH_ONLY for w in words), sum(w in FOREIGN_ONLY for w in words)
+            english, other = own / len(words), others / (own + others + 0.5)
             refuse, task, opening = len(REFUSE.findall(low)), len(TASK.findall(low)), bool(OPENING.search(low))
             rows.append([1.0, 0.0, 0.0, english, other, 1.0 - latin / letters if letters else 0.0, min(refuse, 2) / 2, min(task, 2) / 2, float(opening), float(refuse > 0 and (task > 0 or opening)), 0.0, float(k == 0)])
             flat += word_hashes(words, known)
@@ -180,10 +184,10 @@ def features_of(answers: list[str], prompts: list[str | None], cut: list[bool],
 def rule_tags(x: np.ndarray) -> np.ndarray:
     """Tags of clear-cut clauses, -1 for the others: what the CRF is fitted on."""
     tag = np.full(len(x), -1)
-    foreign = (x[:, 5] > 0.6) | (x[:, 3] < 0.08) & (x[:, 4] >= 0.2)
+    foreign = (x[:, 5] > 0.6) | (x[:, 3] < 0.08) & (x[:, 4] >= 0.65)
     refusal = (x[:, 6] > 0) & (x[:, 11] > 0) & (x[:, 8] > 0) | (x[:, 8] > 0) & (x[:, 7] >= 1)
-    tag[(x[:, 1] < 0.3) & (x[:, 3] >= 0.15) & (x[:, 8] == 0) & (x[:, 9] == 0)] = 0
-    tag[(x[:, 6] > 0) & (x[:, 7] == 0) & (x[:, 11] == 0) & (x[:, 3] >= 0.15)] = 0  # apologies within an answer
+    tag[(x[:, 1] < 0.3) & (x[:, 3] >= 0.1) & (x[:, 4] < 0.4) & (x[:, 8] == 0) & (x[:, 9] == 0)] = 0
+    tag[(x[:, 6] > 0) & (x[:, 7] == 0) & (x[:, 11] == 0) & (x[:, 3] >= 0.1)] = 0  # apologies within an answer
     tag[foreign & (x[:, 1] < 0.3)] = 3
     tag[refusal & (x[:, 1] < 0.5)] = 1
     tag[x[:, 2] > 0] = 2
@@ -208,7 +212,7 @@ class Chain:
         return row, column, mask
 
     @classmethod
-    def fit(cls, x: np.ndarray, pair: np.ndarray, tags: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> "Chain":
+    def fit(cls, x: np.ndarray, pair: np.ndarray, tags: np.ndarray, rounds: int = 60, rate: float = 1.0, decay: float = 1e-4) -> "Chain":
         """Gradient ascent on the likelihood of the known tags; unknown ones (-1) are summed out."""
         k = len(TAGS)
         row, column, mask = cls.padded(x, pair)
@@ -313,7 +317,7 @@ def judged(candidates: DataFrame, jobs: DataFrame, tokens: Column, sample: int =
     ship(spark)
     rows = answers_of(candidates, tokens)
     ends = _read_model(candidates, "candidate_response", sentences)
-    few = answers_of(candidates, tokens).withColumn("_h", F.xxhash64("_k", "_a")).orderBy("_h", "_k").limit(sample).select("_k", "_a").collect()
+    few = bounded_sample(rows.select("_k", "_a"), sample)
     asked = dict(jobs.where(F.col("job_id").isin([r[0] for r in few])).select("job_id", "generation_prompt").collect())
     baselines = source_baselines(rows.withColumnRenamed("_a", "_t"))
     chain = fitted([r[1] for r in few], [asked.get(r[0]) for r in few], ends)

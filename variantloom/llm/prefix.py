@@ -32,3 +32,14 @@ def running_sum(df: DataFrame, group: list[str], place: Column, order: list, val
 def shuffled(*columns: str, seed: int = 0) -> Column:
     """A number in [0, 1) for each row that depends on its columns and the seed only."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double")) / F.lit(float(1 << 53))
+
+
+def bounded_sample(df: DataFrame, size: int) -> list:
+    """At most ``size`` rows, those of least hash, so that the same rows give the same sample.
+
+    A count sets a threshold on the hash first; each task then hands over its part of about 1.5 times
+    ``size`` rows in all, not ``size`` rows of its own.
+    """
+    n = df.count()
+    share = min(1.0, (1.5 * size + 50) / max(n, 1))
+    return [r[:-1] for r in df.withColumn("_at", shuffled(*df.columns, seed=11)).where(F.col("_at") <= share).orderBy("_at", *df.columns).limit(size).collect()]

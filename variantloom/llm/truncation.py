@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from variantloom.llm.prefix import bounded_sample
 from variantloom.llm.textnorm import FOLD, INVISIBLE, base_form
 from variantloom.session import ship
 
@@ -198,8 +199,8 @@ def plain(text: str) -> str:
 
 def _read_model(sample: DataFrame, text: str, size: int) -> EndModel:
     """Fit the sentence model on the ``size`` terminated texts of least hash."""
-    rows = sample.where(F.col(text).rlike(r"[.!?]\s*$")).select(F.xxhash64(text).alias("_h"), text).orderBy("_h", text).limit(size).collect()
-    return EndModel([plain(r[1]) for r in rows])
+    rows = bounded_sample(sample.where(F.col(text).rlike(r"[.!?]\s*$")).select(text), size)
+    return EndModel([plain(r[0]) for r in rows])
 
 
 def cut_score(model: EndModel, text: str, tokens: float | None, usual: float | None, bare: float | None) -> float:
