@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variantloom.llm import mixing, neardup, pairs, sampling, textnorm, tokens, truncation
+from variantloom.llm import mixing, neardup, pairs, reading, sampling, textnorm, tokens, truncation
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -104,5 +104,21 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[0].withColumnRenamed("_key", "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_sources, p2_found, p2_groups, p3_found, p3_counts, p4_found, p4_report, p4_sample, p5_found, p5_consistent, p6_ids, p7_found, p7_report, p7_mix)}
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Score and level of every English document."""
+    return reading.levels(_table(spark, folder, "documents"), _table(spark, folder, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """English documents of level 4."""
+    return p8_levels(spark, folder).where("level = 4").select("doc_id").distinct()
+
+
+def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Levels by source."""
+    documents = _table(spark, folder, "documents").withColumn("source", mixing.source_key("source"))
+    return reading.profile(p8_levels(spark, folder), documents)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_sources, p2_found, p2_groups, p3_found, p3_counts, p4_found, p4_report, p4_sample, p5_found, p5_consistent, p6_ids, p7_found, p7_report, p7_mix, p8_found, p8_levels, p8_profile)}
 SQL: dict[str, str] = {}
