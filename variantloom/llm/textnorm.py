@@ -19,13 +19,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variantloom.session import ship
+from variantloom.session import cut, ship
 
 ZWNJ, ZWJ = chr(0x200C), chr(0x200D)
 
@@ -92,12 +94,14 @@ def base_form(text: str) -> str:
     """Steps 1 to 3, which need no vocabulary."""
     if text.isascii():
         return text.translate(_FIRST) if _CONTROL.search(text) else text
-    text = text.translate(_FIRST)
+    if _ODD.search(text):  # a search is far cheaper than translate, which few texts need
+        text = text.translate(_FIRST)
     if ZWJ in text or ZWNJ in text:
         text = _JOINERS.sub(_joiner, text)
-    return unicodedata.normalize("NFKC", text)
+    return text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
 
 
+_ODD = re.compile("[" + re.escape("".join(map(chr, _FIRST))) + "]")
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1b\x7f]")
 
 
@@ -129,17 +133,44 @@ def repaired(text: str, words: set[str]) -> str:
 _KEY = re.compile(r"[^\W_]+")
 
 
+def folded(text: str) -> str:
+    """Every look-alike letter as its Latin reading."""
+    if text.isascii():
+        return text
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    return text.translate(FOLD) if _FOREIGN.search(text) else text
+
+
 def comparison_words(text: str) -> list[str]:
     """Lower-case runs of letters and digits under which look-alikes and invisible characters make no difference."""
-    text = base_form(text).lower()
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(FOLD)
-    return _KEY.findall(text)
+    return _KEY.findall(folded(base_form(text).lower()))
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base form and Latin readings of suspect tokens of each text."""
+    for batch in batches:
+        base = [None if t is None else base_form(t) for t in batch.column("_t").to_pylist()]
+        words = [sorted({x[2].lower() for x in suspects(b)}) if b else [] for b in base]
+        yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_t"), pa.array(base, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["_k", "_t", "_b", "_w"])
 
 
-def _suspect_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(lambda t: sorted({x[2].lower() for x in suspects(base_form(t))}) if t else [])
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a partition with their counts, handed on whenever there are many."""
+    count: Counter[str] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["_word", "_n"])
+        count.clear()
+        return out
+
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            if t:
+                count.update(_TOKEN.findall(t.lower()))
+        if len(count) > 200_000:
+            yield flush()
+    yield flush()
 
 
 def consistent_form(df: DataFrame, key: str = "candidate_id", text: str = "candidate_response", min_count: int = 2) -> DataFrame:
@@ -147,40 +178,26 @@ def consistent_form(df: DataFrame, key: str = "candidate_id", text: str = "candi
 
     Returns ``key``, ``text`` (as given), ``consistent`` and ``changed`` (false for null and empty texts);
     one row per input row, other columns are not carried. ``min_count`` is how often a word must occur in
-    the ASCII tokens of the whole corpus to be vocabulary.
+    the whole corpus to be vocabulary.
 
-    ASCII texts never leave the JVM. The vocabulary is counted over all rows with partial aggregation and
-    meets only the readings of suspect tokens in a join, so neither side is gathered anywhere; the few
-    rows with suspect tokens then get their own accepted readings.
+    Texts of as many bytes as characters are ASCII and never leave the JVM for their form. Words of the
+    corpus are counted over all rows, a partition at a time before they are shuffled, and meet only the
+    readings of suspect tokens in a join; the few rows with suspect tokens then get their own accepted
+    readings. Nothing is gathered in one place.
     """
     ship(df.sparkSession)
     base = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    odd = F.col("_t").rlike(r"[^\x00-\x7F]|[\x00-\x08\x0e-\x1b\x7f]")
+    odd = (F.length("_t") != F.octet_length("_t")) | F.col("_t").rlike("[" + r"\x00-\x08\x0e-\x1b\x7f" + "]")
     plain = base.where(F.col("_t").isNull() | ~odd).select("_k", "_t", F.col("_t").alias("_c"))
-    form = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else base_form(t)), "string")
-    words_of = F.pandas_udf(_typed(_suspect_words), "array<string>")
-    oddly = base.where(odd).withColumn("_b", form("_t"))
-    twisted = F.col("_b").rlike("[" + "".join(LOOKALIKES) + "]")
-    easy = oddly.where(~twisted).select("_k", "_t", F.col("_b").alias("_c"))
-    hard = oddly.where(twisted).withColumn("_w", words_of("_b"))
-    readings = hard.select(F.explode("_w").alias("_word")).distinct()
-    vocabulary = (
-        base.select(F.explode(F.expr(r"regexp_extract_all(lower(_t), '[a-z\\u00df-\\u024f]+(?:[\'’][a-z\\u00df-\\u024f]+)*', 0)")).alias("_word"))
-        .groupBy("_word").count().where(F.col("count") >= min_count).select("_word")
-    )
-    known = readings.join(vocabulary, "_word", "left_semi")
-    marked = hard.withColumn("_row", F.xxhash64("_k", "_t"))
-    accepted = (
-        marked.select("_row", F.explode("_w").alias("_word")).distinct().join(known, "_word", "left_semi")
-        .groupBy("_row").agg(F.collect_set("_word").alias("_known"))
-    )
+    kind = df.schema[key].dataType.simpleString()
+    formed = base.where(odd).mapInArrow(_forms, f"_k {kind}, _t string, _b string, _w array<string>")
+    easy = formed.where(F.size("_w") == 0).select("_k", "_t", F.col("_b").alias("_c"))
+    hard = cut(formed.where(F.size("_w") > 0).withColumn("_row", F.xxhash64("_k", "_t")))
+    words = hard.select("_row", F.explode("_w").alias("_word")).distinct()
+    vocabulary = base.select("_t").mapInArrow(_word_counts, "_word string, _n bigint").groupBy("_word").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= min_count).select("_word")
+    known = words.select("_word").distinct().join(vocabulary, "_word", "left_semi")
+    accepted = words.join(known, "_word", "left_semi").groupBy("_row").agg(F.collect_set("_word").alias("_known"))
     mend = F.pandas_udf(lambda b, k: pd.Series([repaired(x, set() if y is None else set(y)) for x, y in zip(b, k)]), "string")
-    mended = marked.join(accepted, "_row", "left").select("_k", "_t", mend("_b", "_known").alias("_c"))
+    mended = hard.join(accepted, "_row", "left").select("_k", "_t", mend("_b", "_known").alias("_c"))
     out = plain.unionByName(easy).unionByName(mended)
     return out.select(F.col("_k").alias(key), F.col("_t").alias(text), F.col("_c").alias("consistent"), F.coalesce(~F.col("_t").eqNullSafe(F.col("_c")), F.lit(False)).alias("changed"))
-
-
-def _typed(f):
-    """Give a function on an iterator of series the hints pandas_udf looks for."""
-    f.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return f
