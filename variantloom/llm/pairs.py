@@ -30,13 +30,17 @@ from pyspark.sql import functions as F
 
 from variantloom.llm.neardup import mix, runs_of
 from variantloom.llm.prefix import bounded_sample
-from variantloom.llm.textnorm import FOLD, INVISIBLE, base_form, comparison_words
+from variantloom.llm.textnorm import _KEY, INVISIBLE, base_form, comparison_words
 from variantloom.llm.truncation import EndModel, _read_model, cut_score, source_baselines
 from variantloom.session import ship
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Upper bounds of the samples the CRF and the sentence model are fitted on.
 SAMPLE, SENTENCES = 1200, 6000
+#: Pairs of more clauses are not fitted on.
+LONGEST = 40
+#: How often a pair with refusing or foreign clauses counts in the fit.
+RARE = 6
 #: Words in the runs that show an echo.
 RUN = 3
 
@@ -111,7 +115,7 @@ def clauses_of(text: str) -> list[str]:
     out, held = [], ""
     for c in _CLAUSE.findall(text):
         held += c
-        if len(_ANY_WORD.findall(held)) >= 3:
+        if len(held) > 60 or len(_ANY_WORD.findall(held)) >= 3:
             out.append(held)
             held = ""
     if _ANY_WORD.search(held):
@@ -120,15 +124,14 @@ def clauses_of(text: str) -> list[str]:
 
 
 def word_hashes(words: list[str], known: dict[str, int]) -> list[int]:
-    if len(known) > 500_000:
-        known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return out
+    try:
+        return [known[w] for w in words]
+    except KeyError:
+        if len(known) > 500_000:
+            known.clear()
+        for w in words:
+            known.setdefault(w, xxhash.xxh3_64_intdigest(w))
+        return [known[w] for w in words]
 
 
 N_FEATURES = 12
@@ -138,26 +141,34 @@ def features_of(answers: list[str], prompts: list[str | None], cut: list[bool],
     """Features of the clauses of all pairs, the pair of each clause, its number of words."""
     pair, size, rows, flat, lengths = [], [], [], [], []
     prompt_flat, prompt_lengths = [], []
+    told_before: dict[str, list[int]] = {}
+    is_english, is_foreign = ENGLISH_ONLY.__contains__, FOREIGN_ONLY.__contains__
     for p, (answer, prompt, is_cut) in enumerate(zip(answers, prompts, cut)):
-        clauses = clauses_of(answer)
-        told = comparison_words(prompt) if prompt else []
-        prompt_flat += word_hashes(told, known)
+        told = told_before.get(prompt) if prompt else []
+        if told is None:
+            told = told_before[prompt] = word_hashes(comparison_words(prompt), known)
+        prompt_flat += told
         prompt_lengths.append(len(told))
         start = len(rows)
-        for k, clause in enumerate(clauses):
-            words = comparison_words(clause)
+        low = answer.lower().replace(chr(0x2019), "'")
+        plain, refuses = low.isascii(), bool(REFUSE.search(low))
+        for k, clause in enumerate(clauses_of(low)):
+            words = _KEY.findall(clause) if plain else comparison_words(clause)
             if not words:
                 continue
-            low = clause.lower().replace(chr(0x2019), "'")
-            letters, latin = len(_LETTERS.findall(clause)), len(_LATIN.findall(clause))
-            own, others = sum(w in ENGLISH_ONLY for w in words), sum(w in FOREIGN_ONLY for w in words)
-            english, other = own / len(words), others / (own + others + 0.5)
-            refuse, task, opening = len(REFUSE.findall(low)), len(TASK.findall(low)), bool(OPENING.search(low))
-            rows.append([1.0, 0.0, 0.0, english, other, 1.0 - latin / letters if letters else 0.0, min(refuse, 2) / 2, min(task, 2) / 2, float(opening), float(refuse > 0 and (task > 0 or opening)), 0.0, float(k == 0)])
+            own, others = sum(map(is_english, words)), sum(map(is_foreign, words))
+            n = len(words)
+            row = [1.0, 0.0, 0.0, own / n, others / (own + others + 0.5), 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, float(k == 0)]
+            if not plain and (letters := len(_LETTERS.findall(clause))):
+                row[5] = 1.0 - len(_LATIN.findall(clause)) / letters
+            if refuses:
+                refuse, task, opening = len(REFUSE.findall(clause)), len(TASK.findall(clause)), bool(OPENING.search(clause))
+                row[6:10] = float(refuse > 0), min(task, 2) / 2, float(opening), float(refuse > 0 and (task > 0 or opening))
+            rows.append(row)
             flat += word_hashes(words, known)
-            lengths.append(len(words))
+            lengths.append(n)
             pair.append(p)
-            size.append(len(words))
+            size.append(n)
         if is_cut and len(rows) > start:
             rows[-1][10] = 1.0
     if not rows:
@@ -203,16 +214,19 @@ class Chain:
 
     @staticmethod
     def padded(x: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row and column of each clause in a matrix of pairs, and its shape's mask."""
-        names, row = np.unique(pair, return_inverse=True)
+        """Row and column of each clause in a matrix of pairs, the longest first, and its shape's mask."""
+        names, at = np.unique(pair, return_inverse=True)
         first = np.searchsorted(pair, names)
-        column = np.arange(len(pair)) - first[row]
+        column = np.arange(len(pair)) - first[at]
+        place = np.empty(len(names), dtype=np.int64)
+        place[np.argsort(-np.bincount(at), kind="stable")] = np.arange(len(names))
+        row = place[at]
         mask = np.zeros((len(names), int(column.max()) + 1), dtype=bool)
         mask[row, column] = True
         return row, column, mask
 
     @classmethod
-    def fit(cls, x: np.ndarray, pair: np.ndarray, tags: np.ndarray, rounds: int = 60, rate: float = 1.0, decay: float = 1e-4) -> "Chain":
+    def fit(cls, x: np.ndarray, pair: np.ndarray, tags: np.ndarray, rounds: int = 100, rate: float = 1.0, decay: float = 1e-4) -> "Chain":
         """Gradient ascent on the likelihood of the known tags; unknown ones (-1) are summed out."""
         k = len(TAGS)
         row, column, mask = cls.padded(x, pair)
@@ -238,22 +252,22 @@ class Chain:
     def marginals(score: np.ndarray, t: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, width, k = score.shape
         soft = lambda v, axis: (m := v.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis=axis))
-        a = np.zeros_like(score)
+        alive = mask.sum(axis=0)  # rows stand by length, so the first ones live on
+        a, b, end = np.zeros_like(score), np.zeros_like(score), score[:, 0].copy()
         a[:, 0] = score[:, 0]
         for j in range(1, width):
-            step = soft(a[:, j - 1, :, None] + t, 1) + score[:, j]
-            a[:, j] = np.where(mask[:, j, None], step, a[:, j - 1])
-        total = soft(a[:, -1], 1)
-        b = np.zeros_like(score)
+            m = alive[j]
+            a[:m, j] = soft(a[:m, j - 1, :, None] + t, 1) + score[:m, j]
+            end[:m] = a[:m, j]
+        total = soft(end, 1)
         for j in range(width - 2, -1, -1):
-            step = soft(t + (score[:, j + 1] + b[:, j + 1])[:, None, :], 2)
-            b[:, j] = np.where(mask[:, j + 1, None], step, 0.0)
+            m = alive[j + 1]
+            b[:m, j] = soft(t + (score[:m, j + 1] + b[:m, j + 1])[:, None, :], 2)
         one = np.exp(np.minimum(a + b - total[:, None, None], 0)) * mask[:, :, None]
         two = np.zeros_like(t)
         for j in range(1, width):
-            live = mask[:, j]
-            if live.any():
-                two += np.exp(np.minimum(a[live, j - 1, :, None] + t + (score[live, j] + b[live, j])[:, None, :] - total[live, None, None], 0)).sum(axis=0)
+            m = alive[j]
+            two += np.exp(np.minimum(a[:m, j - 1, :, None] + t + (score[:m, j] + b[:m, j])[:, None, :] - total[:m, None, None], 0)).sum(axis=0)
         return one, two
 
     def tags(self, x: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -349,4 +363,10 @@ def fitted(answers: list[str | None], prompts: list[str | None], ends: EndModel)
     x, pair, _ = features_of(texts, asked, cut, known)
     if not len(x):
         return Chain(np.zeros((len(TAGS), N_FEATURES)), np.zeros((len(TAGS), len(TAGS))))
-    return Chain.fit(x, pair, rule_tags(x))
+    short = np.bincount(pair)[pair] <= LONGEST
+    x, pair, tags = x[short], pair[short], rule_tags(x[short])
+    rare = np.isin(pair, pair[(tags == 1) | (tags == 3)])
+    for k in range(1, RARE):  # pairs with tags that few have count several times
+        x, tags, pair = np.r_[x, x[rare]], np.r_[tags, tags[rare]], np.r_[pair, pair[rare] + k * (len(texts) + 1)]
+        rare = np.r_[rare, np.zeros(int(rare.sum()), dtype=bool)]
+    return Chain.fit(x, pair, tags)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variantloom.llm.prefix import bounded_sample
-from variantloom.llm.textnorm import FOLD, INVISIBLE, base_form
+from variantloom.llm.textnorm import INVISIBLE, base_form, folded
 from variantloom.session import ship
 
 #: Upper bound of the sample the sentence model is fitted on.
@@ -194,7 +194,7 @@ def hash_of(text: str) -> int:
 
 def plain(text: str) -> str:
     """The form of a text that is judged."""
-    return base_form(text).translate(FOLD)
+    return folded(base_form(text))
 
 
 def _read_model(sample: DataFrame, text: str, size: int) -> EndModel:
@@ -205,6 +205,8 @@ def _read_model(sample: DataFrame, text: str, size: int) -> EndModel:
 
 def cut_score(model: EndModel, text: str, tokens: float | None, usual: float | None, bare: float | None) -> float:
     """Log-odds of a text being cut off; -inf for what is no case. ``usual``: tokens per character of the source; ``bare``: its share of texts without a terminator."""
+    if text.rstrip()[-1:] in (".", "!", "?"):  # what the automaton would find
+        return float("-inf")
     text = plain(text)
     state = automaton(text)
     if len(_WORD.findall(text)) < LEAST_WORDS:
