@@ -7,6 +7,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings a fresh session gets. All of them can be overridden by the caller.
 DEFAULTS = {
@@ -59,3 +60,17 @@ def cut(df: DataFrame) -> DataFrame:
         folder = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="variantloom-checkpoint"))
     return df.checkpoint(eager=True)
+
+
+#: Rows up to which a side of a join may be broadcast.
+BROADCAST_ROWS = 20_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` written once, and marked for broadcast only if it was counted to have at most ``rows`` rows.
+
+    For narrow rows (keys and numbers). Larger ones are left to a shuffled join, which adaptive execution
+    splits where a key is hot.
+    """
+    done = cut(df)
+    return F.broadcast(done) if done.limit(rows + 1).count() <= rows else done
