@@ -32,7 +32,7 @@ from variantloom.llm.neardup import mix, runs_of
 from variantloom.llm.prefix import bounded_sample
 from variantloom.llm.textnorm import _KEY, INVISIBLE, base_form, comparison_words
 from variantloom.llm.truncation import EndModel, _read_model, cut_score, source_baselines
-from variantloom.session import ship
+from variantloom.session import ship, small
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Upper bounds of the samples the CRF and the sentence model are fitted on.
@@ -333,7 +333,7 @@ def judged(candidates: DataFrame, jobs: DataFrame, tokens: Column, sample: int =
     ends = _read_model(candidates, "candidate_response", sentences)
     few = bounded_sample(rows.select("_k", "_a"), sample)
     asked = dict(jobs.where(F.col("job_id").isin([r[0] for r in few])).select("job_id", "generation_prompt").collect())
-    baselines = source_baselines(rows.withColumnRenamed("_a", "_t"))
+    baselines = small(source_baselines(rows.withColumnRenamed("_a", "_t")))
     chain = fitted([r[1] for r in few], [asked.get(r[0]) for r in few], ends)
     models = spark.sparkContext.broadcast((ends, chain))
 

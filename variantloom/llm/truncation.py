@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from variantloom.llm.prefix import bounded_sample
 from variantloom.llm.textnorm import INVISIBLE, base_form, folded
-from variantloom.session import ship
+from variantloom.session import ship, small
 
 #: Upper bound of the sample the sentence model is fitted on.
 SAMPLE = 6000
@@ -249,7 +249,7 @@ def judged(df: DataFrame, key: str = "candidate_id", text: str = "candidate_resp
     ship(df.sparkSession)
     rows = df.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(text).alias("_t"), (F.lit(None).cast("double") if tokens is None else tokens.cast("double")).alias("_n"))
     rows = rows.withColumn("_ended", _ended())
-    sources = source_baselines(rows)
+    sources = small(source_baselines(rows))
     model = df.sparkSession.sparkContext.broadcast(_read_model(df, text, size))
 
     def scores(t: pd.Series, n: pd.Series, usual: pd.Series, bare: pd.Series) -> pd.Series:
