@@ -15,11 +15,11 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "_n") -> Data
     the partitions' sizes, a small table, give each its first number. Ties in the order are numbered in some
     order that no longer changes afterwards. An empty table stays empty.
     """
-    placed = cut(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_at").alias("_least"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    firsts = sizes.select("_part", "_least", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
-    return placed.join(firsts, "_part").withColumn(name, F.col("_first") + F.col("_at") - F.col("_least")).drop("_part", "_at", "_least", "_first")
+    placed = cut(df.orderBy(*order).withColumns({"_vl_part": F.spark_partition_id(), "_vl_at": F.monotonically_increasing_id()}))
+    sizes = placed.groupBy("_vl_part").agg(F.count("*").alias("_vl_size"), F.min("_vl_at").alias("_vl_least"))
+    before = Window.orderBy("_vl_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    firsts = sizes.select("_vl_part", "_vl_least", F.coalesce(F.sum("_vl_size").over(before), F.lit(0)).alias("_vl_first"))
+    return placed.join(firsts, "_vl_part").withColumn(name, F.col("_vl_first") + F.col("_vl_at") - F.col("_vl_least")).drop("_vl_part", "_vl_at", "_vl_least", "_vl_first")
 
 
 def numbered_within(df: DataFrame, group: list[str], order: list[str | Column], name: str = "_i") -> DataFrame:
@@ -27,9 +27,9 @@ def numbered_within(df: DataFrame, group: list[str], order: list[str | Column],
 
     Null group values form groups of their own.
     """
-    whole = numbered(df, [*group, *order], "_whole")
-    starts = whole.groupBy(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(group))).agg(F.min("_whole").alias("_start"))
+    whole = numbered(df, [*group, *order], "_vl_whole")
+    starts = whole.groupBy(*(F.col(g).alias(f"_vl_g{k}") for k, g in enumerate(group))).agg(F.min("_vl_whole").alias("_vl_start"))
     same = F.lit(True)
     for k, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
-    return whole.join(starts, same).withColumn(name, F.col("_whole") - F.col("_start")).drop("_whole", "_start", *(f"_g{k}" for k in range(len(group))))
+        same = same & F.col(g).eqNullSafe(F.col(f"_vl_g{k}"))
+    return whole.join(starts, same).withColumn(name, F.col("_vl_whole") - F.col("_vl_start")).drop("_vl_whole", "_vl_start", *(f"_vl_g{k}" for k in range(len(group))))

@@ -73,21 +73,21 @@ def prefilter(pairs: DataFrame, inventory: dict[str, dict], tolerance: float = 0
     Without ``corrections`` nothing leaves the JVM and respellings are not looked for.
     """
     family = F.col("dialect_family")
-    rows = pairs.withColumns({"_anchor": row_anchor_text(pairs), "_text": candidate_text(pairs, "prefilter")})
-    rows = rows.withColumns({"_hits": marker_hits(F.col("_text"), family, inventory), "_delta": length_delta(F.col("_anchor"), F.col("_text"))})
+    rows = pairs.withColumns({"_vl_anchor": row_anchor_text(pairs), "_vl_text": candidate_text(pairs, "prefilter")})
+    rows = rows.withColumns({"_vl_hits": marker_hits(F.col("_vl_text"), family, inventory), "_vl_delta": length_delta(F.col("_vl_anchor"), F.col("_vl_text"))})
     if corrections:
         allowed = names_of(family, {f: labels(c) for f, c in inventory.items()})
-        found = align(F.col("_anchor"), F.col("_text"), allowed=allowed, chars=False)["corrections"]
+        found = align(F.col("_vl_anchor"), F.col("_vl_text"), allowed=allowed, chars=False)["corrections"]
     else:
         found = F.array().cast("array<string>")
-    rows = rows.withColumns({"detected_features": detected(F.col("_hits")), "feature_realization_count": realizations(F.col("_hits")), "student_text_corrections": found})
+    rows = rows.withColumns({"detected_features": detected(F.col("_vl_hits")), "feature_realization_count": realizations(F.col("_vl_hits")), "student_text_corrections": found})
     why = reasons(
-        ("length_outside_tolerance", F.col("_delta") > tolerance), ("insufficient_approved_features", F.col("feature_realization_count") < least),
-        ("generation_failed", says_fail(F.col("_text"))), ("student_text_correction", F.size("student_text_corrections") > 0),
+        ("length_outside_tolerance", F.col("_vl_delta") > tolerance), ("insufficient_approved_features", F.col("feature_realization_count") < least),
+        ("generation_failed", says_fail(F.col("_vl_text"))), ("student_text_correction", F.size("student_text_corrections") > 0),
     )
     out = rows.withColumn("rejection_reasons", why).withColumn("passed_prefilter", F.size("rejection_reasons") == 0)
-    shown = sim.rounded(F.col("_delta")) if corrections else F.col("_delta")
-    return out.withColumns({"length_delta": shown, "semantic_equivalence_status": F.lit("not_checked")}).drop("_anchor", "_text", "_hits", "_delta")
+    shown = sim.rounded(F.col("_vl_delta")) if corrections else F.col("_vl_delta")
+    return out.withColumns({"length_delta": shown, "semantic_equivalence_status": F.lit("not_checked")}).drop("_vl_anchor", "_vl_text", "_vl_hits", "_vl_delta")
 
 
 def scores(anchor: Column, candidate: Column, char_ratio: Column) -> Column:
@@ -103,27 +103,27 @@ def scores(anchor: Column, candidate: Column, char_ratio: Column) -> Column:
 def score(pairs: DataFrame, inventory: dict[str, dict], least_change: float = 0.005, most_delta: float = 0.20, least_words: int = 10) -> DataFrame:
     """Adds scores, word counts, corrections and the verdict. Reasons that were there stay, but for ``student_text_correction``, which is found anew."""
     family = F.col("dialect_family")
-    rows = pairs.withColumns({"_anchor": row_anchor_text(pairs), "_text": candidate_text(pairs, "score")})
+    rows = pairs.withColumns({"_vl_anchor": row_anchor_text(pairs), "_vl_text": candidate_text(pairs, "score")})
     spans = F.col("applied_spans") if "applied_spans" in pairs.columns else None
     allowed = names_of(family, {f: markers(c) for f, c in inventory.items()})
-    rows = rows.withColumn("_m", align(F.col("_anchor"), F.col("_text"), allowed=allowed, spans=spans))
+    rows = rows.withColumn("_vl_m", align(F.col("_vl_anchor"), F.col("_vl_text"), allowed=allowed, spans=spans))
     rows = rows.withColumns({
-        "similarity_scores": scores(F.col("_anchor"), F.col("_text"), F.col("_m.char_ratio")), "anchor_word_count": word_count("_anchor"), "candidate_word_count": word_count("_text"),
-        "rewrite_word_count": word_count("_text"), "student_text_corrections": F.col("_m.corrections"),
+        "similarity_scores": scores(F.col("_vl_anchor"), F.col("_vl_text"), F.col("_vl_m.char_ratio")), "anchor_word_count": word_count("_vl_anchor"), "candidate_word_count": word_count("_vl_text"),
+        "rewrite_word_count": word_count("_vl_text"), "student_text_corrections": F.col("_vl_m.corrections"),
     })
     rows = rows.withColumn("composite_change_score", sim.rounded(1 - F.col("similarity_scores.difflib_ratio")))
     rows = rows.withColumn("quality_score", sim.rounded(F.col("composite_change_score") * F.col("similarity_scores.token_jaccard")))
     status = strip(F.lower(text("generation_status"))) if "generation_status" in pairs.columns else F.lit("")
     a, c = F.col("anchor_word_count"), F.col("candidate_word_count")
     fresh = reasons(
-        ("generation_failed", is_failed(pairs) | says_fail(F.col("_text"))), ("student_text_correction", F.size("student_text_corrections") > 0),
+        ("generation_failed", is_failed(pairs) | says_fail(F.col("_vl_text"))), ("student_text_correction", F.size("student_text_corrections") > 0),
         ("length_outside_tolerance", (a > 0) & (c > 0) & (F.abs(c - a) / a > most_delta)), ("candidate_too_short", c < least_words), ("insufficient_change", F.col("composite_change_score") < least_change),
     )
     odd = F.when((status != "") & ~status.isin(*PASSING), F.array(F.concat(F.lit("generation_status:"), status))).otherwise(F.array().cast("array<string>"))
     before = F.coalesce(F.col("rejection_reasons"), F.array().cast("array<string>")) if "rejection_reasons" in pairs.columns else F.array().cast("array<string>")
     kept = F.filter(before, lambda x: x != "student_text_correction")
     out = rows.withColumn("rejection_reasons", F.array_sort(F.array_distinct(F.concat(kept, odd, fresh))))
-    return out.withColumn("passed_quality_filter", F.size("rejection_reasons") == 0).drop("_anchor", "_text", "_m")
+    return out.withColumn("passed_quality_filter", F.size("rejection_reasons") == 0).drop("_vl_anchor", "_vl_text", "_vl_m")
 
 
 def rule_reasons(anchor: Column, candidate: Column, most_delta: float = 0.20, least_words: int = 10) -> Column:

@@ -1,2 +1,377 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the core on the driver's tables, and their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from variantloom.functions import alignment, similarity as sim
+from variantloom.functions import text as tx
+from variantloom.operators import anchors as an
+from variantloom.operators import assign, audit, generate, records, repair, reports, trace, verdicts
+from variantloom.operators.order import numbered_within
+from variantloom.plans.fixture import FAMILIES, INVENTORY, PLAIN_TEMPLATE, TEMPLATE, offline_client
+from variantloom.session import cut
+from variantloom.sources.inventory import family_table, marker_rows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+# views -------------------------------------------------------------------------------------------------------
+ORDER = ["dataset", "score_band", "text"]
+
+
+def known_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors by id, the last of repeated ones."""
+    rows = table(spark, folder, "anchors")
+    return an.last_of_each(rows, an.identifier(rows, strict=False), ORDER).select(F.col("_key").alias("key"), "_row.*")
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct candidates with their text."""
+    return table(spark, folder, "candidates").select("candidate_id", "anchor_id", "dialect_family", "candidate_index", "candidate_response").distinct()
+
+
+def pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates with the text of their anchor ('' without one)."""
+    about = known_anchors(spark, folder).select(F.col("key").alias("anchor_id"), F.col("text").alias("anchor_response"))
+    return answers(spark, folder).join(about, "anchor_id", "left").withColumn("anchor_response", tx.text("anchor_response"))
+
+
+_KNOWN = """known AS (SELECT * EXCLUDE (rn), coalesce(nullif(CASE WHEN trim(anchor_id) <> '' THEN anchor_id END, ''), essay_id) AS key FROM (
+ SELECT *, row_number() OVER (PARTITION BY coalesce(CASE WHEN trim(anchor_id) <> '' THEN anchor_id END, essay_id)
+ ORDER BY dataset DESC NULLS LAST, score_band DESC NULLS LAST, text DESC NULLS LAST) AS rn FROM anchors) WHERE rn = 1)"""
+_PAIRS = f"""{_KNOWN}, answers AS (SELECT DISTINCT candidate_id, anchor_id, dialect_family, candidate_index, candidate_response FROM candidates),
+pairs AS (SELECT a.*, coalesce(k.text, '') AS anchor_response, coalesce(a.candidate_response, '') AS said FROM answers a LEFT JOIN known k ON a.anchor_id = k.key)"""
+
+
+def _words(c: str) -> str:
+    return rf"len(regexp_extract_all({c}, '\S*[\p{{L}}\p{{N}}_]\S*'))"
+
+
+def _tokens(c: str) -> str:
+    return rf"list_distinct(list_transform(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x)))"
+
+
+def _jaccard(a: str, b: str) -> str:
+    both = f"len(list_distinct(list_concat({a}, {b})))"
+    return f"CASE WHEN {both} = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / {both} END"
+
+
+# assignment --------------------------------------------------------------------------------------------------
+@query(f"WITH {_KNOWN} SELECT key AS anchor_id, nullif(dataset, '') AS source_corpus, length(coalesce(text, '')) AS n_chars FROM known")
+def anchor_keys(spark, folder):
+    rows = known_anchors(spark, folder)
+    return rows.select(F.col("key").alias("anchor_id"), an.source(rows).alias("source_corpus"), F.length(an.anchor_text(rows)).alias("n_chars"))
+
+
+_FAMILY_LIST = "[" + ", ".join("'" + f.replace("'", "''") + "'" for f in FAMILIES) + "]"
+
+
+@query(f"""WITH {_KNOWN}, n AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS i FROM known)
+SELECT key AS anchor_id, {_FAMILY_LIST}[(i % 6 + 1)::INT] AS dialect_family, 3 AS target_candidates, 'greedy' AS assignment_strategy, nullif(dataset, '') AS source_corpus, score_band, domain, i AS position FROM n""")
+def assign_greedy(spark, folder):
+    rows = known_anchors(spark, folder).withColumn("anchor_id", F.col("key"))
+    return assign.greedy(rows, FAMILIES, ["key"])
+
+
+@query(f"""WITH {_KNOWN}, seen AS (SELECT *, row_number() OVER (ORDER BY key) AS s FROM known),
+turn AS (SELECT *, row_number() OVER (PARTITION BY score_band, domain ORDER BY s) AS t, min(s) OVER (PARTITION BY score_band, domain) AS first FROM seen),
+n AS (SELECT *, row_number() OVER (ORDER BY t, CASE lower(score_band) WHEN 'low' THEN 0 WHEN 'mid' THEN 1 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 99 END, coalesce(domain, 'None'), first) - 1 AS i FROM turn)
+SELECT key AS anchor_id, {_FAMILY_LIST}[(i % 6 + 1)::INT] AS dialect_family, 3 AS target_candidates, 'balanced' AS assignment_strategy, nullif(dataset, '') AS source_corpus, score_band, domain, i AS position FROM n""")
+def assign_balanced(spark, folder):
+    rows = known_anchors(spark, folder).withColumn("anchor_id", F.col("key"))
+    return assign.balanced(rows, FAMILIES, ["key"])
+
+
+@query("""SELECT DISTINCT anchor_id || '_' || replace(dialect_family, ' ', '_') || '_' || i AS job_id, anchor_id || '_' || replace(replace(dialect_family, ' ', '_'), '/', '_') || '_trace' AS trace_id
+FROM (SELECT anchor_id, dialect_family, unnest(range(1, target_candidates + 1)) AS i FROM assignments)""")
+def job_ids(spark, folder):
+    rows = table(spark, folder, "assignments").where("target_candidates > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("target_candidates"))))
+    return rows.select(an.job_id(F.col("anchor_id"), F.col("dialect_family"), F.col("i")).alias("job_id"), an.trace_id(F.col("anchor_id"), F.col("dialect_family")).alias("trace_id")).distinct()
+
+
+@query(f"""WITH {_KNOWN}, a AS (SELECT DISTINCT anchor_id, dialect_family, coalesce(target_candidates, 3) AS n FROM assignments WHERE dialect_family IN (SELECT unnest({_FAMILY_LIST})))
+SELECT a.anchor_id || '_' || replace(dialect_family, ' ', '_') || '_' || i AS job_id, i AS candidate_index,
+ md5('Question: ' || CASE WHEN trim(coalesce(prompt, '')) = '' THEN '[PROMPT NOT PROVIDED]' ELSE prompt END || chr(10) || chr(10) || 'Text: ' || coalesce(text, '') || chr(10) || chr(10) || 'Variety: ' || dialect_family) AS prompt_md5
+FROM a JOIN known ON a.anchor_id = key, unnest(range(1, n + 1)) AS u(i)""")
+def job_prompts(spark, folder):
+    families = family_table(spark, INVENTORY).withColumns({"inventory_text": F.lit(""), "notes_text": F.lit("")})
+    asked = table(spark, folder, "assignments").select("anchor_id", "dialect_family", "target_candidates").distinct()
+    made = assign.jobs(asked, table(spark, folder, "anchors"), families, PLAIN_TEMPLATE, "own_v1", ORDER)
+    return made.select("job_id", F.col("candidate_index").cast("bigint").alias("candidate_index"), F.md5("generation_prompt").alias("prompt_md5"))
+
+
+@query("SELECT DISTINCT anchor_id FROM assignments WHERE anchor_id NOT IN (SELECT essay_id FROM anchors WHERE essay_id IS NOT NULL)")
+def unmatched_assignments(spark, folder):
+    return assign.unmatched(table(spark, folder, "assignments"), known_anchors(spark, folder).select(F.col("key").alias("anchor_id")), "anchor_id")
+
+
+# records -----------------------------------------------------------------------------------------------------
+@query("SELECT job_id, prompt_version FROM prompt_jobs WHERE job_id NOT IN (SELECT candidate_id FROM candidates WHERE candidate_id IS NOT NULL)")
+def jobs_to_run(spark, folder):
+    return records.remaining(table(spark, folder, "prompt_jobs"), table(spark, folder, "candidates"), "job_id", "candidate_id").select("job_id", "prompt_version")
+
+
+_FAILED = r"""(regexp_replace(coalesce(candidate_response, ''), '^\s+|\s+$', '', 'g') = 'FAIL' OR regexp_replace(coalesce(raw_output, ''), '^\s+|\s+$', '', 'g') = 'FAIL'
+ OR trim(lower(coalesce(generation_status, ''))) IN ('failed', 'model_fail', 'api_error'))"""
+
+
+@query(f"SELECT DISTINCT candidate_id FROM candidates WHERE {_FAILED}")
+def failed_candidates(spark, folder):
+    rows = table(spark, folder, "candidates")
+    return records.ids(rows.where(verdicts.is_failed(rows)))
+
+
+@query(f"SELECT count(*) AS n FROM candidates WHERE candidate_id NOT IN (SELECT candidate_id FROM candidates WHERE {_FAILED})")
+def without_failed(spark, folder):
+    rows = table(spark, folder, "candidates")
+    return records.without(rows, rows.where(verdicts.is_failed(rows)), "candidate_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT coalesce(j.job_id, c.candidate_id) AS candidate_id, coalesce(c.model, j.prompt_version) AS what
+FROM prompt_jobs j FULL JOIN (SELECT candidate_id, min(model) AS model FROM candidates WHERE candidate_id IS NOT NULL GROUP BY 1) c ON j.job_id = c.candidate_id""")
+def upserted_records(spark, folder):
+    base = table(spark, folder, "prompt_jobs").select(F.col("job_id").alias("candidate_id"), F.col("prompt_version").alias("what"))
+    new = table(spark, folder, "candidates").where("candidate_id is not null").groupBy("candidate_id").agg(F.min("model").alias("what"))
+    return records.upserted(base, new)
+
+
+@query("SELECT candidate_id, max(finished_at) AS finished_at FROM candidates WHERE candidate_id IS NOT NULL GROUP BY 1")
+def latest_records(spark, folder):
+    rows = table(spark, folder, "candidates").where("candidate_id is not null").select("candidate_id", "finished_at")
+    return records.latest(rows, "candidate_id", ["finished_at"])
+
+
+@query("SELECT dialect_family, count(*) AS n FROM candidates GROUP BY 1")
+def counts_by_family(spark, folder):
+    return records.counts_by(table(spark, folder, "candidates"), "dialect_family")
+
+
+@query("SELECT dataset, score_band, count(*) AS n, GROUPING(dataset, score_band)::INT AS level FROM anchors GROUP BY ROLLUP (dataset, score_band)")
+def anchors_rolled_up(spark, folder):
+    return records.rolled_up(table(spark, folder, "anchors"), "dataset", "score_band")
+
+
+@query("SELECT anchor_id, string_agg(f, '|' ORDER BY f) AS families FROM (SELECT DISTINCT anchor_id, dialect_family AS f FROM candidates WHERE dialect_family IS NOT NULL) GROUP BY 1")
+def families_by_anchor(spark, folder):
+    rows = table(spark, folder, "candidates").where("dialect_family is not null")
+    return records.lists_by(rows, "anchor_id", "dialect_family").select("anchor_id", F.array_join("dialect_family_list", "|").alias("families"))
+
+
+@query("SELECT candidate_id, row_number() OVER (PARTITION BY anchor_id ORDER BY coalesce(candidate_index, 0), candidate_id) - 1 AS place FROM (SELECT DISTINCT candidate_id, anchor_id, candidate_index FROM candidates)")
+def sibling_order(spark, folder):
+    rows = table(spark, folder, "candidates").select("candidate_id", "anchor_id", F.coalesce("candidate_index", F.lit(0)).alias("i")).distinct()
+    return numbered_within(rows, ["anchor_id"], ["i", "candidate_id"], "place").select("candidate_id", "place")
+
+
+@query("""SELECT coalesce(model, '') AS model, sum(i) AS tokens_in, sum(o) AS tokens_out, count(i) AS n FROM (SELECT model, CASE WHEN o IS NOT NULL THEN i END AS i, CASE WHEN i IS NOT NULL THEN o END AS o
+FROM (SELECT model, usage.input_tokens AS i, usage.output_tokens AS o FROM candidates)) GROUP BY 1""")
+def token_totals(spark, folder):
+    i, o = generate.token_counts("usage", have=("input_tokens", "output_tokens"))
+    return table(spark, folder, "candidates").select(tx.text("model").alias("model"), i.alias("i"), o.alias("o")).groupBy("model").agg(F.sum("i").alias("tokens_in"), F.sum("o").alias("tokens_out"), F.count("i").alias("n"))
+
+
+# text --------------------------------------------------------------------------------------------------------
+@query(rf"""SELECT doc_id, {_words("coalesce(text, '')")}::INT AS words, len({_tokens("coalesce(text, '')")})::INT AS tokens, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z'']*'))::INT AS plain FROM documents""")
+def word_counts(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", tx.word_count("text").alias("words"), F.size(tx.token_set("text")).alias("tokens"), F.size(tx.plain_words("text")).alias("plain"))
+
+
+@query(rf"""SELECT DISTINCT dialect_family, regexp_replace(regexp_replace(trim(lower(dialect_family)), '^[.,!?;:]+|[.,!?;:]+$', '', 'g'), '\s+', ' ', 'g') AS marker FROM assignments WHERE dialect_family IS NOT NULL""")
+def marker_forms(spark, folder):
+    return table(spark, folder, "assignments").where("dialect_family is not null").select("dialect_family", tx.marker_form("dialect_family").alias("marker")).distinct()
+
+
+_KEYS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in trace.OUTPUT_KEYS.items())
+
+
+@query(rf"""SELECT DISTINCT dialect_family, CASE k {_KEYS} ELSE regexp_replace(regexp_replace(k, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '_output' END AS output_key
+FROM (SELECT dialect_family, trim(lower(coalesce(dialect_family, ''))) AS k FROM assignments)""")
+def output_keys(spark, folder):
+    return table(spark, folder, "assignments").select("dialect_family", trace.output_key("dialect_family").alias("output_key")).distinct()
+
+
+@query(f"WITH {_PAIRS} SELECT candidate_id, {_jaccard(_tokens('anchor_response'), _tokens('said'))} AS token_jaccard FROM pairs")
+def token_jaccard(spark, folder):
+    return pairs(spark, folder).select("candidate_id", sim.token_jaccard("anchor_response", "candidate_response").alias("token_jaccard"))
+
+
+def _grams(c: str) -> str:
+    return f"CASE WHEN length({c}) < 3 THEN [lower({c})] ELSE list_distinct(list_transform(range(1, length({c}) - 1), lambda i: substr(lower({c}), i, 3))) END"
+
+
+@query(f"WITH {_PAIRS}, g AS (SELECT candidate_id, {_grams('anchor_response')} AS x, {_grams('said')} AS y FROM pairs) SELECT candidate_id, {_jaccard('x', 'y')} AS char_jaccard FROM g")
+def char_jaccard(spark, folder):
+    return pairs(spark, folder).select("candidate_id", sim.char_jaccard("anchor_response", "candidate_response").alias("char_jaccard"))
+
+
+@query()
+def edit_distance(spark, folder):
+    return pairs(spark, folder).select("candidate_id", sim.edit_distance("anchor_response", "candidate_response").alias("edits"), sim.edit_share("anchor_response", "candidate_response").alias("share"))
+
+
+@query(f"WITH {_PAIRS} SELECT candidate_id, CASE WHEN length(anchor_response) = 0 THEN 0.0 ELSE length(said) / length(anchor_response) END AS length_ratio, trim(anchor_response, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) = trim(said, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS same FROM pairs")
+def length_ratios(spark, folder):
+    return pairs(spark, folder).select("candidate_id", sim.length_ratio("anchor_response", "candidate_response").alias("length_ratio"), sim.exact("anchor_response", "candidate_response").alias("same"))
+
+
+_PLAIN = "list_transform(regexp_extract_all({}, '[A-Za-z][A-Za-z'']*'), lambda x: lower(x))"
+
+
+@query(f"""WITH {_PAIRS}, w AS (SELECT candidate_id, {_PLAIN.format('anchor_response')} AS x, {_PLAIN.format('said')} AS y FROM pairs)
+SELECT candidate_id, len(y) - len(x) BETWEEN 1 AND 3 AND y[1:len(x)] = x AS appended FROM w""")
+def tiny_appends(spark, folder):
+    return pairs(spark, folder).select("candidate_id", sim.is_append("anchor_response", "candidate_response").alias("appended"))
+
+
+@query("""SELECT a.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def cosines(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(sim.cosine("embedding", "next"), 6).alias("cosine"))
+
+
+# verdicts ----------------------------------------------------------------------------------------------------
+def _ascii(c: str | Column) -> Column:
+    """Other characters as ``_``, as the word edges of SQL engines differ beside them."""
+    return F.regexp_replace(tx.text(c), r"[^\x00-\x7F]", "_")
+
+
+def _hits_sql() -> str:
+    by: dict[str, list[str]] = {}
+    for family, _, _, pattern in marker_rows(INVENTORY):
+        by.setdefault(family, []).append("len(regexp_extract_all(low, '" + pattern.replace("'", "''") + "'))")
+    cases = " ".join(f"WHEN '{f}' THEN {{}}".format("{}".format(" + ".join(parts))) for f, parts in by.items())
+    some = " ".join("WHEN '{}' THEN {}".format(f, " + ".join(f"({p} > 0)::INT" for p in parts)) for f, parts in by.items())
+    return f"CASE dialect_family {cases} ELSE 0 END::INT AS realizations, CASE dialect_family {some} ELSE 0 END::INT AS detected"
+
+
+@query(f"WITH {_PAIRS}, l AS (SELECT candidate_id, dialect_family, lower(regexp_replace(said, '[^\\x00-\\x7F]', '_', 'g')) AS low FROM pairs) SELECT candidate_id, {_hits_sql()} FROM l")
+def marker_counts(spark, folder):
+    rows = pairs(spark, folder).withColumn("hits", verdicts.marker_hits(_ascii("candidate_response"), F.col("dialect_family"), INVENTORY))
+    return rows.select("candidate_id", verdicts.realizations(F.col("hits")).alias("realizations"), F.size(verdicts.detected(F.col("hits"))).alias("detected"))
+
+
+_RULES = f"""{_PAIRS}, counted AS (SELECT *, {_words('anchor_response')} AS a, {_words('said')} AS c, {_jaccard(_tokens('anchor_response'), _tokens('said'))} AS jac FROM pairs),
+ruled AS (SELECT *, a > 0 AND c > 0 AND abs(c - a) / a > 0.2 AS outside, c < 10 AS short FROM counted)"""
+
+
+def ruled(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pairs(spark, folder)
+    rows = rows.withColumns({"rejection_reasons": verdicts.rule_reasons(F.col("anchor_response"), F.col("candidate_response")), "quality_score": sim.token_jaccard("anchor_response", "candidate_response")})
+    return rows.withColumn("passed_quality_filter", F.size("rejection_reasons") == 0)
+
+
+@query(f"WITH {_RULES} SELECT dialect_family, count(*) AS n, sum(outside::INT)::BIGINT AS outside, sum(short::INT)::BIGINT AS short, sum((NOT outside AND NOT short)::INT)::BIGINT AS passed FROM ruled GROUP BY 1")
+def verdicts_by_family(spark, folder):
+    has = lambda r: F.count_if(F.array_contains("rejection_reasons", r))
+    return ruled(spark, folder).groupBy("dialect_family").agg(F.count("*").alias("n"), has("length_outside_tolerance").alias("outside"), has("candidate_too_short").alias("short"), F.count_if("passed_quality_filter").alias("passed"))
+
+
+@query(f"WITH {_RULES} SELECT reason, count(*) AS n FROM (SELECT 'length_outside_tolerance' AS reason FROM ruled WHERE outside UNION ALL SELECT 'candidate_too_short' FROM ruled WHERE short) GROUP BY 1")
+def reason_tally(spark, folder):
+    return records.reason_tally(ruled(spark, folder), top=12)
+
+
+@query(f"WITH {_RULES} SELECT count(*) AS n, sum((NOT outside AND NOT short)::INT)::BIGINT AS passed, sum((outside OR short)::INT)::BIGINT AS rejected, 0::BIGINT AS respelt FROM ruled")
+def verdict_counts(spark, folder):
+    return records.verdict_counts(ruled(spark, folder))
+
+
+@query(f"""WITH {_RULES}, r AS (SELECT candidate_id, anchor_id, row_number() OVER (PARTITION BY anchor_id ORDER BY jac DESC, candidate_index, candidate_id) AS k, count(*) OVER (PARTITION BY anchor_id) AS total FROM ruled WHERE NOT outside AND NOT short)
+SELECT candidate_id, 'rank ' || k || '/' || total || ' for anchor ' || anchor_id AS selected_reason FROM r WHERE k <= 2""")
+def best_two(spark, folder):
+    return records.best_of_each(ruled(spark, folder), 2).select("candidate_id", "selected_reason")
+
+
+@query(f"WITH {_RULES} SELECT DISTINCT candidate_id FROM ruled WHERE short AND candidate_id IS NOT NULL ORDER BY 1 LIMIT 50")
+def first_retries(spark, folder):
+    return records.to_retry(ruled(spark, folder), ["candidate_too_short"], limit=50)
+
+
+def entry(spark: SparkSession, folder: str) -> DataFrame:
+    return verdicts_by_family(spark, folder)
+
+
+# operators SQL cannot express --------------------------------------------------------------------------------
+@query()
+def alignments(spark, folder):
+    rows = pairs(spark, folder).withColumn("m", alignment.align(F.col("anchor_response"), F.col("candidate_response")))
+    return rows.select("candidate_id", "m.*")
+
+
+@query()
+def prefiltered(spark, folder):
+    return verdicts.prefilter(pairs(spark, folder), INVENTORY)
+
+
+@query()
+def scored(spark, folder):
+    return verdicts.score(pairs(spark, folder), INVENTORY)
+
+
+@query()
+def audited(spark, folder):
+    rows = verdicts.prefilter(pairs(spark, folder), INVENTORY).withColumnRenamed("passed_prefilter", "passed_quality_filter")
+    return audit.audit(rows)
+
+
+@query()
+def repaired(spark, folder):
+    rows = cut(verdicts.prefilter(pairs(spark, folder), INVENTORY))
+    return repair.repaired(table(spark, folder, "candidates").select("candidate_id", "candidate_response", "raw_output"), rows)
+
+
+@query()
+def generated(spark, folder):
+    left = records.remaining(table(spark, folder, "prompt_jobs"), table(spark, folder, "candidates"), "job_id", "candidate_id")
+    return generate.generate(left, offline_client, "offline").drop("started_at", "finished_at")
+
+
+@query()
+def retry_prompts(spark, folder):
+    rows = cut(ruled(spark, folder).withColumn("student_text_corrections", F.array().cast("array<string>")))
+    return generate.retry_prompts(records.to_retry(rows, ["candidate_too_short"]), table(spark, folder, "prompt_jobs"), rows, {"candidate_too_short": "Write a whole answer."})
+
+
+@query()
+def traced(spark, folder):
+    about = known_anchors(spark, folder).select(F.col("key").alias("anchor_id"), F.col("text").alias("anchor_text"))
+    rows = table(spark, folder, "candidates").select("candidate_id", "anchor_id", "dialect_family", "raw_output").distinct().join(about, "anchor_id", "left")
+    return trace.traced(rows)
+
+
+@query()
+def review_lines(spark, folder):
+    about = known_anchors(spark, folder).select(F.col("key").alias("anchor_id"), F.col("text").alias("anchor_response"), "score_band", "normalized_score")
+    rows = table(spark, folder, "candidates").select("candidate_id", "anchor_id", "dialect_family", "candidate_index", "generation_status", "model", "candidate_response").distinct()
+    return reports.candidate_report(rows, about)
+
+
+@query()
+def inventory_texts(spark, folder):
+    return family_table(spark, INVENTORY)
+
+
+@query()
+def trace_prompts(spark, folder):
+    rows = known_anchors(spark, folder).select(F.col("key").alias("anchor_id"), "text").join(table(spark, folder, "assignments").select("anchor_id", "dialect_family").distinct(), "anchor_id").join(family_table(spark, INVENTORY), "dialect_family")
+    return rows.select(an.trace_id(F.col("anchor_id"), F.col("dialect_family")).alias("trace_id"), trace.trace_prompt(TEMPLATE + "\n{OUTPUT_KEY}\n{FEATURE_INVENTORY_JSON}", "text", "dialect_family", "inventory_json").alias("prompt"))
