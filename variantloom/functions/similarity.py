@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variantloom.functions.text import col, lower_words, strip, text, token_set
@@ -49,14 +49,36 @@ def token_jaccard(a: str | Column, b: str | Column) -> Column:
     return set_jaccard(token_set(a), token_set(b))
 
 
-def char_grams(c: str | Column, n: int = 3) -> Column:
-    """Distinct runs of n characters in lower case; a shorter text is its own only run."""
+def code_points(c: str | Column) -> Column:
+    """Code points of the lower-case text."""
     low = F.lower(text(c))
-    return F.when(F.length(low) < n, F.array(low)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))))
+    return F.when(low == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(low, ""), lambda x: F.ascii(x).cast("bigint")))
 
 
-def char_jaccard(a: str | Column, b: str | Column, n: int = 3) -> Column:
-    return set_jaccard(char_grams(a, n), char_grams(b, n))
+def char_grams(codes: Column, n: int = 3) -> Column:
+    """Distinct runs of n (3 at most) code points, each as one number; a shorter text is its own only run.
+
+    Numbers, not strings, because distinct and set functions hash them instead of comparing all with all.
+    """
+    if not 1 <= n <= 3:
+        raise ValueError("runs of 1 to 3 characters fit in a number")
+    many = F.greatest(F.size(codes) - (n - 1), F.lit(0))
+    runs = F.slice(codes, 1, many)
+    for j in range(1, n):
+        runs = F.zip_with(runs, F.slice(codes, 1 + j, many), lambda x, y: F.shiftleft(x, 21) + y)
+    whole = F.array(F.aggregate(codes, F.lit(0).cast("bigint"), lambda x, y: F.shiftleft(x, 21) + y))
+    return F.when(many == 0, whole).otherwise(F.array_distinct(runs))
+
+
+def with_char_jaccard(df: DataFrame, a: str | Column, b: str | Column, name: str, n: int = 3) -> DataFrame:
+    """``df`` with the Jaccard similarity of runs of n characters.
+
+    A step on the DataFrame, as code points and runs are each used several times and Catalyst keeps them in
+    projections of their own only where they are columns.
+    """
+    steps = df.withColumns({"_vl_x": code_points(a), "_vl_y": code_points(b)})
+    steps = steps.withColumns({"_vl_x": char_grams(F.col("_vl_x"), n), "_vl_y": char_grams(F.col("_vl_y"), n)})
+    return steps.withColumn(name, set_jaccard(F.col("_vl_x"), F.col("_vl_y"))).drop("_vl_x", "_vl_y")
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:

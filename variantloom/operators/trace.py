@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from variantloom.functions.alignment import align
 from variantloom.functions.text import first_filled, replaced, strip, text
+from variantloom.session import spread
 
 # Key under which a family's text stands in a traced answer, by full and short names.
 OUTPUT_KEYS = {
@@ -86,9 +87,9 @@ def traced(answers: DataFrame, known: list[str] = ()) -> DataFrame:
     ``answers`` has ``anchor_text``, ``dialect_family`` and ``raw_output``. Respellings are looked for only in
     answers that could be read; with known forms only those count.
     """
-    rows = answers.withColumn("parsed_output", parsed("raw_output"))
+    rows = spread(answers).withColumn("parsed_output", parsed("raw_output"))
     rows = rows.withColumn("candidate_response", traced_text("parsed_output", "dialect_family", "raw_output"))
-    found = align(F.col("anchor_text"), F.col("candidate_response"), spans=spans("parsed_output.applied"), known=F.array(*map(F.lit, known)).cast("array<string>"), chars=False)["corrections"]
+    found = align(F.col("anchor_text"), F.col("candidate_response"), spans=spans("parsed_output.applied"), known=F.array(*map(F.lit, known)).cast("array<string>"), chars="none")["corrections"]
     rows = rows.withColumn("detected_student_corrections", F.when(F.col("parsed_output.ok"), found).otherwise(F.array().cast("array<string>")))
     status = F.when(~F.col("parsed_output.ok"), "parse_error").when(F.size("detected_student_corrections") > 0, "needs_review_student_text_correction").otherwise("ok")
     return rows.withColumns({"generation_status": status, "parse_error": F.col("parsed_output.error")})

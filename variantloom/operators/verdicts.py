@@ -9,6 +9,7 @@ from variantloom.functions import similarity as sim
 from variantloom.functions.alignment import align
 from variantloom.functions.text import reasons, strip, text, word_count
 from variantloom.operators.anchors import candidate_text, row_anchor_text
+from variantloom.session import spread
 from variantloom.sources.inventory import labels, marker_rows, markers
 
 # Statuses of a candidate that was made, and of one that was not.
@@ -73,11 +74,12 @@ def prefilter(pairs: DataFrame, inventory: dict[str, dict], tolerance: float = 0
     Without ``corrections`` nothing leaves the JVM and respellings are not looked for.
     """
     family = F.col("dialect_family")
+    pairs = spread(pairs) if corrections else pairs
     rows = pairs.withColumns({"_vl_anchor": row_anchor_text(pairs), "_vl_text": candidate_text(pairs, "prefilter")})
     rows = rows.withColumns({"_vl_hits": marker_hits(F.col("_vl_text"), family, inventory), "_vl_delta": length_delta(F.col("_vl_anchor"), F.col("_vl_text"))})
     if corrections:
         allowed = names_of(family, {f: labels(c) for f, c in inventory.items()})
-        found = align(F.col("_vl_anchor"), F.col("_vl_text"), allowed=allowed, chars=False)["corrections"]
+        found = align(F.col("_vl_anchor"), F.col("_vl_text"), allowed=allowed, chars="none")["corrections"]
     else:
         found = F.array().cast("array<string>")
     rows = rows.withColumns({"detected_features": detected(F.col("_vl_hits")), "feature_realization_count": realizations(F.col("_vl_hits")), "student_text_corrections": found})
@@ -90,25 +92,27 @@ def prefilter(pairs: DataFrame, inventory: dict[str, dict], tolerance: float = 0
     return out.withColumns({"length_delta": shown, "semantic_equivalence_status": F.lit("not_checked")}).drop("_vl_anchor", "_vl_text", "_vl_hits", "_vl_delta")
 
 
-def scores(anchor: Column, candidate: Column, char_ratio: Column) -> Column:
+def scores(anchor: Column, candidate: Column, edits: Column, char_jaccard: Column, char_ratio: Column) -> Column:
     """The struct of cheap scores, rounded to four places."""
-    r = sim.rounded
+    r, longest = sim.rounded, F.greatest(F.length(anchor), F.length(candidate))
     return F.struct(
-        sim.exact(anchor, candidate).alias("exact_match"), r(sim.length_ratio(anchor, candidate)).alias("length_ratio"), sim.edit_distance(anchor, candidate).alias("levenshtein_distance"),
-        r(sim.edit_share(anchor, candidate)).alias("levenshtein_normalized"), r(sim.token_jaccard(anchor, candidate)).alias("token_jaccard"),
-        r(sim.char_jaccard(anchor, candidate)).alias("char_3gram_jaccard"), r(char_ratio).alias("difflib_ratio"),
+        sim.exact(anchor, candidate).alias("exact_match"), r(sim.length_ratio(anchor, candidate)).alias("length_ratio"), edits.alias("levenshtein_distance"),
+        r(F.when(longest == 0, F.lit(0.0)).otherwise(edits / longest)).alias("levenshtein_normalized"), r(sim.token_jaccard(anchor, candidate)).alias("token_jaccard"),
+        r(char_jaccard).alias("char_3gram_jaccard"), r(char_ratio).alias("difflib_ratio"),
     )
 
 
 def score(pairs: DataFrame, inventory: dict[str, dict], least_change: float = 0.005, most_delta: float = 0.20, least_words: int = 10) -> DataFrame:
     """Adds scores, word counts, corrections and the verdict. Reasons that were there stay, but for ``student_text_correction``, which is found anew."""
     family = F.col("dialect_family")
+    pairs = spread(pairs)
     rows = pairs.withColumns({"_vl_anchor": row_anchor_text(pairs), "_vl_text": candidate_text(pairs, "score")})
     spans = F.col("applied_spans") if "applied_spans" in pairs.columns else None
     allowed = names_of(family, {f: markers(c) for f, c in inventory.items()})
-    rows = rows.withColumn("_vl_m", align(F.col("_vl_anchor"), F.col("_vl_text"), allowed=allowed, spans=spans))
+    rows = rows.withColumn("_vl_m", align(F.col("_vl_anchor"), F.col("_vl_text"), allowed=allowed, spans=spans, chars="char"))
+    rows = sim.with_char_jaccard(rows, "_vl_anchor", "_vl_text", "_vl_jaccard").withColumn("_vl_edits", sim.edit_distance("_vl_anchor", "_vl_text"))
     rows = rows.withColumns({
-        "similarity_scores": scores(F.col("_vl_anchor"), F.col("_vl_text"), F.col("_vl_m.char_ratio")), "anchor_word_count": word_count("_vl_anchor"), "candidate_word_count": word_count("_vl_text"),
+        "similarity_scores": scores(F.col("_vl_anchor"), F.col("_vl_text"), F.col("_vl_edits"), F.col("_vl_jaccard"), F.col("_vl_m.char_ratio")), "anchor_word_count": word_count("_vl_anchor"), "candidate_word_count": word_count("_vl_text"),
         "rewrite_word_count": word_count("_vl_text"), "student_text_corrections": F.col("_vl_m.corrections"),
     })
     rows = rows.withColumn("composite_change_score", sim.rounded(1 - F.col("similarity_scores.difflib_ratio")))
@@ -123,7 +127,7 @@ def score(pairs: DataFrame, inventory: dict[str, dict], least_change: float = 0.
     before = F.coalesce(F.col("rejection_reasons"), F.array().cast("array<string>")) if "rejection_reasons" in pairs.columns else F.array().cast("array<string>")
     kept = F.filter(before, lambda x: x != "student_text_correction")
     out = rows.withColumn("rejection_reasons", F.array_sort(F.array_distinct(F.concat(kept, odd, fresh))))
-    return out.withColumn("passed_quality_filter", F.size("rejection_reasons") == 0).drop("_vl_anchor", "_vl_text", "_vl_m")
+    return out.withColumn("passed_quality_filter", F.size("rejection_reasons") == 0).drop("_vl_anchor", "_vl_text", "_vl_m", "_vl_jaccard", "_vl_edits")
 
 
 def rule_reasons(anchor: Column, candidate: Column, most_delta: float = 0.20, least_words: int = 10) -> Column:

@@ -13,7 +13,7 @@ from variantloom.operators import anchors as an
 from variantloom.operators import assign, audit, generate, records, repair, reports, trace, verdicts
 from variantloom.operators.order import numbered_within
 from variantloom.plans.fixture import FAMILIES, INVENTORY, PLAIN_TEMPLATE, TEMPLATE, offline_client
-from variantloom.session import cut
+from variantloom.session import cut, spread
 from variantloom.sources.inventory import family_table, marker_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,12 +220,12 @@ def _grams(c: str) -> str:
 
 @query(f"WITH {_PAIRS}, g AS (SELECT candidate_id, {_grams('anchor_response')} AS x, {_grams('said')} AS y FROM pairs) SELECT candidate_id, {_jaccard('x', 'y')} AS char_jaccard FROM g")
 def char_jaccard(spark, folder):
-    return pairs(spark, folder).select("candidate_id", sim.char_jaccard("anchor_response", "candidate_response").alias("char_jaccard"))
+    return sim.with_char_jaccard(spread(pairs(spark, folder)), "anchor_response", "candidate_response", "char_jaccard").select("candidate_id", "char_jaccard")
 
 
 @query()
 def edit_distance(spark, folder):
-    return pairs(spark, folder).select("candidate_id", sim.edit_distance("anchor_response", "candidate_response").alias("edits"), sim.edit_share("anchor_response", "candidate_response").alias("share"))
+    return spread(pairs(spark, folder)).select("candidate_id", sim.edit_distance("anchor_response", "candidate_response").alias("edits"), sim.edit_share("anchor_response", "candidate_response").alias("share"))
 
 
 @query(f"WITH {_PAIRS} SELECT candidate_id, CASE WHEN length(anchor_response) = 0 THEN 0.0 ELSE length(said) / length(anchor_response) END AS length_ratio, trim(anchor_response, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) = trim(said, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS same FROM pairs")
@@ -314,7 +314,7 @@ def entry(spark: SparkSession, folder: str) -> DataFrame:
 # operators SQL cannot express --------------------------------------------------------------------------------
 @query()
 def alignments(spark, folder):
-    rows = pairs(spark, folder).withColumn("m", alignment.align(F.col("anchor_response"), F.col("candidate_response")))
+    rows = spread(pairs(spark, folder)).withColumn("m", alignment.align(F.col("anchor_response"), F.col("candidate_response")))
     return rows.select("candidate_id", "m.*")
 
 
