@@ -8,8 +8,8 @@ sum of the cells before, so rows are numbered in slices and no cell is gathered
 
 The pool: distinct pairs of anchor and family whose anchor has a known data set and band; spellings that
 differ in letter case, spaces, ``-`` and ``_``, short family names and ``medium`` count as the standard ones.
-Pairs with null or unknown family, data set or band are left out; an anchor known in one of its copies is
-known. An empty pool gives an empty sample and a report in which every cell with a target or floor is short.
+Pairs with null or unknown family, data set or band are left out; of an anchor's copies one
+with both known counts, else what the copies know together. An empty pool gives an empty sample and a report in which every cell with a target or floor is short.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ def pool_of(anchors: DataFrame, assignments: DataFrame, summary: DataFrame, fami
     bands = summary.select(band_of("score_band").alias("_b"), F.col("score_band")).where("_b is not null").groupBy("_b").agg(F.min("score_band").alias("score_band"))
     known = (
         anchors.select("essay_id", squeezed("dataset").alias("_d"), band_of("score_band").alias("_b")).join(names, "_d", "left").join(bands, "_b", "left")
-        .where("essay_id is not null").groupBy("essay_id").agg(F.min("dataset").alias("dataset"), F.min("score_band").alias("score_band")).where("dataset is not null and score_band is not null")
+        .where("essay_id is not null").groupBy("essay_id").agg(F.coalesce(F.min(F.when(F.col("dataset").isNotNull() & F.col("score_band").isNotNull(), F.struct("dataset", "score_band"))), F.struct(F.min("dataset").alias("dataset"), F.min("score_band").alias("score_band"))).alias("_c"))
+        .select("essay_id", "_c.*").where("dataset is not null and score_band is not null")
     )
     pairs = assignments.select("anchor_id", squeezed("dialect_family").alias("_alias")).join(family_names(families), "_alias").select("anchor_id", "dialect_family").distinct()
     return pairs.join(known.withColumnRenamed("essay_id", "anchor_id"), "anchor_id").select("anchor_id", *CELL)

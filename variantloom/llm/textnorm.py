@@ -173,7 +173,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def consistent_form(df: DataFrame, key: str = "candidate_id", text: str = "candidate_response", min_count: int = 2) -> DataFrame:
+def consistent_form(df: DataFrame, key: str = "candidate_id", text: str = "candidate_response", min_count: int = 1) -> DataFrame:
     """The consistent form of every row's text.
 
     Returns ``key``, ``text`` (as given), ``consistent`` and ``changed`` (false for null and empty texts);

@@ -43,7 +43,7 @@ CLOSERS = "\"'”’»)]}*_`"
 # Marks that programs leave where they cut.
 CUT_MARK = re.compile(r"[\[(<{]\s*(?:\.\.\.|…|cut(?:\s*off)?|truncated|continued|continues|more|snip(?:ped)?|max(?:imum)?[ _](?:length|tokens)(?: reached)?|length limit)\s*[\])>}]\s*$", re.I)
 BROKEN = re.compile(r"(?:�|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:[a-zA-Z]{1,8}|#x?[0-9a-fA-F]{0,6})|%[0-9A-Fa-f]?|<[/a-zA-Z][^<>]*|Ã|â€?)$")
-DANGLING = re.compile(r"\s[-–—(\[{<]$|[\w ][(\[{<]$")
+DANGLING = re.compile(r"\s[-–—]$|[(\[{<]$")
 _WORD = re.compile(r"@?\w+(?:['’]\w+)*")
 _SENTENCE = re.compile(r"[.!?…．]+[\"'”’»)\]]*(?=\s|$)|\n{2,}")
 _EMOJI = re.compile("[" + chr(0x2190) + "-" + chr(0x2BFF) + chr(0x1F000) + "-" + chr(0x1FAFF) + chr(0xFE0F) + "]$")
