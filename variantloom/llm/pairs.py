@@ -74,6 +74,7 @@ FOREIGN = frozenset(
 ENGLISH_ONLY, FOREIGN_ONLY = ENGLISH - FOREIGN, FOREIGN - ENGLISH
 _CLAUSE = re.compile(r"[^.!?;\n…．]+(?:[.!?;\n…．]+|$)")
 _ANY_WORD = re.compile(r"\w+")
+_ANY_LETTER = re.compile(r"[^\W_]")
 _LETTERS = re.compile(r"[^\W\d_]")
 _LATIN = re.compile("[A-Za-z" + chr(0xC0) + "-" + chr(0x24F) + "]")
 _TAGGED = re.compile(r"</?[a-zA-Z][^<>]*>|```\w*|[`*_#]+")
@@ -104,7 +105,7 @@ def _leaves(value) -> list[str]:
 
 
 def is_empty(text: str | None) -> bool:
-    if text is not None and len(text) > 400:
+    if text is not None and len(text) > 400 and _ANY_LETTER.search(text):
         return False
     inner = unwrapped(text)
     return len(inner) <= 40 and " ".join(re.findall(r"\w+", inner.lower())) in PLACEHOLDERS

@@ -36,6 +36,8 @@ SAMPLE = 6000
 DIMENSIONS = 1 << 18
 #: Fewer words are no answer. Share of bare texts at which the baseline of a source shifts nothing.
 LEAST_WORDS, USUAL_BARE = 4, 0.07
+#: Log-odds added where the tokens spent are known (before what exceeds the usual is added), and where they are not.
+USUAL_TOKENS, NO_TOKENS = -1.6, 0.5
 
 # What ends a text that was complete, and marks that follow an ending.
 TERMINATORS = ".!?…。！？؟।．"
@@ -218,9 +220,11 @@ def cut_score(model: EndModel, text: str, tokens: float | None, usual: float | N
     rest = sentences(text)[1]
     if not rest:
         return float("-inf")
-    score = -model.log_odds(rest) - 1.6 + 2.0 * (len(state) > 1)
+    score = -model.log_odds(rest) + 2.0 * (len(state) > 1)
     if tokens and usual:
-        score += min(6.0, 40 * max(0.0, tokens / len(text) / usual - 1.12))
+        score += USUAL_TOKENS + min(7.0, 40 * max(0.0, tokens / len(text) / usual - 1.12))
+    else:
+        score += NO_TOKENS
     if bare:
         score += min(1.0, max(-1.0, 0.5 * np.log(USUAL_BARE / bare)))
     return score
