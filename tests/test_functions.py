@@ -70,6 +70,8 @@ def test_lists_and_markers(spark):
     r = run(spark, [(" a, ,b ,",), (None,), ("",)], "t string", x=tx.listed("t"))
     assert [x["x"] for x in r] == [["a", "b"], [], []]
     assert [x["m"] for x in run(spark, [("  Right?! ",), ("For   Sure.",), (None,)], "t string", m=tx.marker_form("t"))] == ["right", "for sure", ""]
+    got = run(spark, [(["A -> b", "x", "a -> B", "c -> d -> e"],), (None,)], "t array<string>", p=tx.correction_pairs("t"))
+    assert [tuple(x) for x in got[0]["p"]] == [("a", "b"), ("c", "d -> e")] and got[1]["p"] is None
     assert run(spark, [("x",)], "t string", x=tx.replaced("{A}-{B}", [("{A}", F.lit("{B}")), ("{B}", "t")]))[0]["x"] == "x-x"
 
 

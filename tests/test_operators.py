@@ -160,6 +160,8 @@ def test_generation(spark):
         return answer
 
     assert generate.called(client, "p", 4, 8.0, waits.append) == {"text": "x"} and waits == [8.0, 16.0]
+    with pytest.raises(RuntimeError):
+        generate.http_client("http://127.0.0.1:9/none", "k", "m", timeout=1)("p")
     usage = spark.createDataFrame([((0, 7, 3, 0),), ((None, None, 3, None),), (None,)], "usage struct<input_tokens:bigint,prompt_tokens:bigint,output_tokens:bigint,completion_tokens:bigint>")
     assert [tuple(r) for r in usage.select(*generate.token_counts()).collect()] == [(7, 3), (None, None), (None, None)]
     out = spark.createDataFrame([(" x ", None), (None, [("m", [("output_text", "a"), ("other", "b"), ("output_text", "c")])])], "o string, p array<struct<type:string,content:array<struct<type:string,text:string>>>>")

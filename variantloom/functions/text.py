@@ -86,3 +86,9 @@ def replaced(template: str | Column, values: list[tuple[str, str | Column]]) ->
 def reasons(*pairs: tuple[str, Column]) -> Column:
     """The names whose condition holds, in order; a null condition does not hold."""
     return F.filter(F.array(*(F.when(cond, F.lit(name)) for name, cond in pairs)), lambda x: x.isNotNull())
+
+
+def correction_pairs(c: str | Column) -> Column:
+    """``before -> after`` strings as an array of structs in lower case; strings without an arrow are left out."""
+    parts = F.transform(F.filter(col(c), lambda x: F.contains(x, F.lit(" -> "))), lambda x: F.split(F.lower(x), " -> ", 2))
+    return F.array_distinct(F.transform(parts, lambda p: F.struct(p[0].alias("before"), p[1].alias("after"))))

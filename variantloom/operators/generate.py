@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
@@ -46,6 +49,28 @@ def noted(prompt: str | Column, condition: Column, note: str) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.concat(text(prompt), F.lit("\n\n" + note))).otherwise(text(prompt))
 
 
+def http_client(url: str, key: str, model: str, timeout: float = 120.0, **options) -> Callable[[str], dict]:
+    """A client that posts ``{"model", "input", **options}`` as JSON; whatever goes wrong on the way is a RuntimeError with the answer's text.
+
+    For use in ``make_client``, so that the key is read where the task runs: ``lambda: http_client(url, os.environ["KEY"], model)``.
+    """
+
+    def post(prompt: str) -> dict:
+        body = json.dumps({"model": model, "input": prompt} | {k: v for k, v in options.items() if v is not None}).encode()
+        request = urllib.request.Request(url, body, {"Authorization": f"Bearer {key}", "Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as reply:
+                answer = json.loads(reply.read())
+        except urllib.error.HTTPError as error:
+            raise RuntimeError(f"HTTP {error.code}: {error.read().decode(errors='replace')}") from error
+        except (urllib.error.URLError, TimeoutError, ValueError) as error:
+            raise RuntimeError(str(error)) from error
+        said = answer.get("output_text") or "\n".join(p.get("text", "") for o in answer.get("output") or [] for p in o.get("content") or [] if p.get("type") == "output_text")
+        return {"id": answer.get("id"), "text": said, "usage": json.dumps(answer.get("usage"))}
+
+    return post
+
+
 def called(client: Callable[[str], dict], prompt: str, attempts: int = 1, wait: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> dict:
     """The client's answer; passing trouble is waited out, ``wait`` times the attempt's number. The last error is raised."""
     for k in range(1, attempts + 1):

@@ -23,7 +23,7 @@ IMPLIED_BY_NAME = {"tag question right": ["right"], "right as intensifier": ["ri
 # Patterns that stand for a feature, by id or name.
 HABITUAL = (
     r"\b(?:i|you|he|she|it|we|they|people|students?|kids?|children|cowboys|computers?|[a-z]+s)\s+"
-    r"(?:(?:also|always|usually|often)\s+)?be\s+[a-z]+ing\b"
+    r"(?:also\s+|always\s+|usually\s+|often\s+)?be\s+[a-z]+ing\b"
 )
 PATTERNS = {"aae_habitual_be": HABITUAL, "habitual be": HABITUAL}
 
