@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from variantloom.llm.prefix import running_sum, shuffled
+from variantloom.llm.prefix import running_sum, shuffled, slices_for
 from variantloom.llm.tokens import token_counts
 from variantloom.session import cut
 
@@ -58,14 +58,15 @@ def report_of(sizes: DataFrame, mixed: DataFrame | None, targets: DataFrame) ->
 
 def queue(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """The mix: ``doc_id``, ``_key``, ``n_tokens``, ``repeat`` (from 1), ``finish`` (virtual time), ``position`` (tokens up to and with it)."""
+    slices = slices_for(sizes.count())
     wanted = targets_of(targets).where("target_weight > 0 and max_repeats > 0")
     rows = sizes.where("n_tokens > 0").join(wanted.drop("source"), "_key")
     copies = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))))
     copies = copies.withColumn("_at", shuffled("doc_id", "repeat", seed=seed))
     place = (F.col("repeat") - 1 + F.col("_at")) / F.col("max_repeats")
-    timed = running_sum(copies, ["_key"], place, ["doc_id"], F.col("n_tokens"), "_sum").withColumn("finish", F.col("_sum") / F.col("target_weight"))
+    timed = running_sum(copies, ["_key"], place, ["doc_id"], F.col("n_tokens"), "_sum", slices).withColumn("finish", F.col("_sum") / F.col("target_weight"))
     whole = timed.withColumns({"_budget": sizes.agg(F.sum("n_tokens")).scalar(), "_last": timed.agg(F.max("finish")).scalar()})
-    placed = running_sum(whole.withColumn("_all", F.lit(0)), ["_all"], F.col("finish") / (F.col("_last") * 1.0000001), ["_key", "doc_id", "repeat"], F.col("n_tokens"), "position")
+    placed = running_sum(whole.withColumn("_all", F.lit(0)), ["_all"], F.col("finish") / (F.col("_last") * 1.0000001), ["_key", "doc_id", "repeat"], F.col("n_tokens"), "position", slices)
     return placed.where("position <= _budget").select("doc_id", "_key", "n_tokens", "repeat", "finish", "position")
 
 

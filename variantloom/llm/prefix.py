@@ -29,6 +29,11 @@ def running_sum(df: DataFrame, group: list[str], place: Column, order: list, val
     return summed.join(starts, same).withColumn(name, F.col(name) + F.col("_start")).drop("_slice", "_g_slice", "_start", *(f"_g_{c}" for c in group))
 
 
+def slices_for(rows: int, least: int = SLICES, size: int = 200_000) -> int:
+    """Slices that leave about ``size`` rows to each window where one group holds all rows."""
+    return max(least, rows // size)
+
+
 def shuffled(*columns: str, seed: int = 0) -> Column:
     """A number in [0, 1) for each row that depends on its columns and the seed only."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double")) / F.lit(float(1 << 53))

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from variantloom.llm.prefix import running_sum, shuffled
+from variantloom.llm.prefix import running_sum, shuffled, slices_for
+from variantloom.session import cut
 
 CELL = ["dataset", "score_band", "dialect_family"]
 
@@ -40,7 +41,7 @@ def family_names(families: DataFrame) -> DataFrame:
 
 
 def pool_of(anchors: DataFrame, assignments: DataFrame, summary: DataFrame, families: DataFrame) -> DataFrame:
-    """``anchor_id`` with the three columns of its cell, each distinct pair once."""
+    """``anchor_id`` with the three columns of its cell, each distinct pair once; written once, as cells and sample both read it."""
     names = summary.where("dataset is not null").groupBy(squeezed("dataset").alias("_d")).agg(F.min("dataset").alias("dataset"))
     bands = summary.select(band_of("score_band").alias("_b"), F.col("score_band")).where("_b is not null").groupBy("_b").agg(F.min("score_band").alias("score_band"))
     known = (
@@ -49,7 +50,7 @@ def pool_of(anchors: DataFrame, assignments: DataFrame, summary: DataFrame, fami
         .select("essay_id", "_c.*").where("dataset is not null and score_band is not null")
     )
     pairs = assignments.select("anchor_id", squeezed("dialect_family").alias("_alias")).join(family_names(families), "_alias").select("anchor_id", "dialect_family").distinct()
-    return pairs.join(known.withColumnRenamed("essay_id", "anchor_id"), "anchor_id").select("anchor_id", *CELL)
+    return cut(pairs.join(known.withColumnRenamed("essay_id", "anchor_id"), "anchor_id").select("anchor_id", *CELL))
 
 
 def cells_of(pool: DataFrame, summary: DataFrame, families: DataFrame, fraction: float) -> DataFrame:
@@ -73,7 +74,7 @@ def sample(pool: DataFrame, cells: DataFrame, seed: int = 0) -> tuple[DataFrame,
     plan = cells.withColumn("_p", chance).withColumn("_at", F.coalesce(F.sum(F.col("_p") * F.col("pool_rows")).over(before), F.lit(0.0)) + start)
     last = F.floor(F.col("_at") + F.col("pool_rows") * F.col("_p") + 1e-9)
     plan = plan.withColumn("_taken", last - F.floor(F.col("_at") + 1e-9)).withColumn("_add", F.greatest(F.lit(0), F.least("min_rows", "pool_rows") - F.col("_taken")))
-    rows = running_sum(pool.withColumn("_u", shuffled("anchor_id", *CELL, seed=seed)), CELL, F.col("_u"), ["anchor_id"], F.lit(1), "_i", slices=64)
+    rows = running_sum(pool.withColumn("_u", shuffled("anchor_id", *CELL, seed=seed)), CELL, F.col("_u"), ["anchor_id"], F.lit(1), "_i", slices_for(pool.count(), 64))
     joined = rows.join(plan.select(*CELL, "_p", "_at", "_add"), CELL)
     upto = lambda i: F.floor(F.col("_at") + i * F.col("_p") + 1e-9)
     drawn = upto(F.col("_i")) > upto(F.col("_i") - 1)
