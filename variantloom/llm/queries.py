@@ -121,4 +121,14 @@ def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_sources, p2_found, p2_groups, p3_found, p3_counts, p4_found, p4_report, p4_sample, p5_found, p5_consistent, p6_ids, p7_found, p7_report, p7_mix, p8_found, p8_levels, p8_profile)}
-SQL: dict[str, str] = {}
+_CELLS = r"""WITH d AS (SELECT regexp_replace(lower(dataset), '[\s_-]+', '', 'g') AS k, min(dataset) AS dataset FROM dart_anchor_summary GROUP BY 1),
+b AS (SELECT DISTINCT upper(trim(score_band)) AS k, score_band FROM dart_anchor_summary),
+f AS (SELECT regexp_replace(lower(x), '[\s_-]+', '', 'g') AS k, min(dialect_family) AS dialect_family FROM (SELECT dialect_family, unnest([part, regexp_replace(part, '\s+english$', '', 'i'), regexp_replace(part, '(\s+american)?\s+english$', '', 'i')]) AS x
+ FROM (SELECT dialect_family, unnest(list_concat([dialect_family], regexp_split_to_array(dialect_family, '\s*[/()]\s*'))) AS part FROM family_targets)) WHERE x <> '' GROUP BY 1),
+known AS (SELECT essay_id, min(d.dataset) AS dataset, min(b.score_band) AS score_band FROM anchors a JOIN d ON regexp_replace(lower(a.dataset), '[\s_-]+', '', 'g') = d.k
+ JOIN b ON CASE WHEN upper(trim(a.score_band)) = 'MEDIUM' THEN 'MID' ELSE upper(trim(a.score_band)) END = b.k GROUP BY 1),
+pool AS (SELECT DISTINCT s.anchor_id, f.dialect_family, known.dataset, known.score_band FROM assignments s JOIN f ON regexp_replace(lower(s.dialect_family), '[\s_-]+', '', 'g') = f.k JOIN known ON s.anchor_id = essay_id),
+have AS (SELECT dataset, score_band, dialect_family, count(*) AS n FROM pool GROUP BY ALL),
+cells AS (SELECT dataset, score_band, dialect_family, "count" / (SELECT sum("count") FROM dart_anchor_summary) * target_share * (SELECT count(*) FROM pool) * 0.2 AS target, min_rows FROM dart_anchor_summary, family_targets)
+"""
+SQL: dict[str, str] = {"p4_found": _CELLS + "SELECT dataset, score_band, dialect_family FROM cells LEFT JOIN have USING (dataset, score_band, dialect_family) WHERE coalesce(n, 0) < target OR coalesce(n, 0) < min_rows"}
