@@ -53,12 +53,14 @@ def domain(df: DataFrame) -> Column:
     return first_filled(*found) if found else F.lit(None).cast("string")
 
 
-def last_of_each(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
+def last_of_each(df: DataFrame, key: Column, order: list[str], columns: list[str] | None = None) -> DataFrame:
     """One row for each key, the last in the order; keys and their row in ``_key`` and ``_row``. Null keys are left out.
 
+    ``columns`` are those the row holds, all by default; no others are read.
+
     The order's columns are compared as a struct, so that partial aggregation keeps one row a key and task.
     """
-    row = F.struct(*df.columns)
+    row = F.struct(*(columns or df.columns))
     picked = df.select(key.alias("_key"), F.struct(*order).alias("_order"), row.alias("_row")).where("_key is not null")
     return picked.groupBy("_key").agg(F.max_by("_row", "_order").alias("_row"))
 

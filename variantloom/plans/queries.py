@@ -38,10 +38,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 ORDER = ["dataset", "score_band", "text"]
 
 
-def known_anchors(spark: SparkSession, folder: str) -> DataFrame:
-    """Anchors by id, the last of repeated ones."""
+def known_anchors(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Anchors by id, the last of repeated ones, with the columns asked for."""
     rows = table(spark, folder, "anchors")
-    return an.last_of_each(rows, an.identifier(rows, strict=False), ORDER).select(F.col("_key").alias("key"), "_row.*")
+    return an.last_of_each(rows, an.identifier(rows, strict=False), ORDER, list(columns) or None).select(F.col("_key").alias("key"), "_row.*")
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +51,7 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates with the text of their anchor ('' without one)."""
-    about = known_anchors(spark, folder).select(F.col("key").alias("anchor_id"), F.col("text").alias("anchor_response"))
+    about = known_anchors(spark, folder, "text").select(F.col("key").alias("anchor_id"), F.col("text").alias("anchor_response"))
     return answers(spark, folder).join(about, "anchor_id", "left").withColumn("anchor_response", tx.text("anchor_response"))
 
 
@@ -121,7 +121,7 @@ def job_prompts(spark, folder):
 
 @query("SELECT DISTINCT anchor_id FROM assignments WHERE anchor_id NOT IN (SELECT essay_id FROM anchors WHERE essay_id IS NOT NULL)")
 def unmatched_assignments(spark, folder):
-    return assign.unmatched(table(spark, folder, "assignments"), known_anchors(spark, folder).select(F.col("key").alias("anchor_id")), "anchor_id")
+    return assign.unmatched(table(spark, folder, "assignments"), known_anchors(spark, folder, "essay_id").select(F.col("key").alias("anchor_id")), "anchor_id")
 
 
 # records -----------------------------------------------------------------------------------------------------
@@ -354,14 +354,14 @@ def retry_prompts(spark, folder):
 
 @query()
 def traced(spark, folder):
-    about = known_anchors(spark, folder).select(F.col("key").alias("anchor_id"), F.col("text").alias("anchor_text"))
+    about = known_anchors(spark, folder, "text").select(F.col("key").alias("anchor_id"), F.col("text").alias("anchor_text"))
     rows = table(spark, folder, "candidates").select("candidate_id", "anchor_id", "dialect_family", "raw_output").distinct().join(about, "anchor_id", "left")
     return trace.traced(rows)
 
 
 @query()
 def review_lines(spark, folder):
-    about = known_anchors(spark, folder).select(F.col("key").alias("anchor_id"), F.col("text").alias("anchor_response"), "score_band", "normalized_score")
+    about = known_anchors(spark, folder, "text", "score_band", "normalized_score").select(F.col("key").alias("anchor_id"), F.col("text").alias("anchor_response"), "score_band", "normalized_score")
     rows = table(spark, folder, "candidates").select("candidate_id", "anchor_id", "dialect_family", "candidate_index", "generation_status", "model", "candidate_response").distinct()
     return reports.candidate_report(rows, about)
 
@@ -373,5 +373,5 @@ def inventory_texts(spark, folder):
 
 @query()
 def trace_prompts(spark, folder):
-    rows = known_anchors(spark, folder).select(F.col("key").alias("anchor_id"), "text").join(table(spark, folder, "assignments").select("anchor_id", "dialect_family").distinct(), "anchor_id").join(family_table(spark, INVENTORY), "dialect_family")
+    rows = known_anchors(spark, folder, "text").select(F.col("key").alias("anchor_id"), "text").join(table(spark, folder, "assignments").select("anchor_id", "dialect_family").distinct(), "anchor_id").join(family_table(spark, INVENTORY), "dialect_family")
     return rows.select(an.trace_id(F.col("anchor_id"), F.col("dialect_family")).alias("trace_id"), trace.trace_prompt(TEMPLATE + "\n{OUTPUT_KEY}\n{FEATURE_INVENTORY_JSON}", "text", "dialect_family", "inventory_json").alias("prompt"))
