@@ -41,6 +41,8 @@ SAMPLE, SENTENCES = 1200, 6000
 LONGEST = 40
 #: How often a pair with refusing or foreign clauses counts in the fit.
 RARE = 6
+#: Share of its words that a copy has in runs of its prompt, checked after the tags.
+LEAST_SAID = 0.55
 #: Words in the runs that show an echo.
 RUN = 3
 
@@ -64,7 +66,7 @@ OPENING = re.compile(r"^\W*(?:(?:i am|i'm|im) (?:very )?sorry|sorry|i (?:must )?
 ENGLISH = frozenset("the a an and or but if so of to in on at by for with from as is are was were be been it its this that these those there their they them he she his her we our us you your i my me not no do did does had has have what when where which who how then because than into over out up down can could would will just about after before more some any all one their still sure why".split())
 FOREIGN = frozenset(
     "el la los las un una unos unas y o pero que de del en con por para se su sus es era fue como más muy mi lo al sin sobre entre cuando porque cada dos tres aquel nuestro hace"
-    " tudo assim outra vez muito dentro onde quando isso este esta esse essa dele dela mais já dois longo pelos pelas meus minhas são está estava tinha"
+    " a tudo assim outra vez muito dentro onde quando isso este esta esse essa dele dela mais já dois longo pelos pelas meus minhas são está estava tinha"
     " le les des et ou mais qui que dans avec pour sur sous est était ce cette ces son sa ses il elle nous vous je ne pas plus au aux du une mon ma notre chaque deux trois près après avant selon car"
     " der die das den dem ein eine einen einem und oder aber nicht mit von zu im am ist war sich er sie es wir ich auf für an bei nach vor unter neben aus zum zur unser mein jeden jenes laut weil alles wurde"
     " os as um uma e mas não com por para em no na nos nas do da dos das seu sua ele ela nós eu é foi ao à pelo pela perto atrás depois antes todo naquele nosso minha meu segundo acho"
@@ -302,6 +304,7 @@ def defects(answers: list[str | None], prompts: list[str | None], cut: list[bool
     n = len(answers)
     cover = np.stack([np.bincount(pair, size * (tag == k), minlength=n) for k in range(len(TAGS))]) if n else np.zeros((len(TAGS), 0))
     share = cover / np.maximum(1, cover.sum(axis=0))
+    said = np.bincount(pair, size * x[:, 1], minlength=n) / np.maximum(1, cover.sum(axis=0))
     last = np.full(n, -1)
     last[pair] = tag
     out: list[str | None] = []
@@ -310,7 +313,7 @@ def defects(answers: list[str | None], prompts: list[str | None], cut: list[bool
             out.append("empty")
         elif share[1, p] >= 0.5:
             out.append("refusal")
-        elif share[2, p] + (share[4, p] if x[pair == p][-1:, 2].any() else 0) >= 0.5:
+        elif share[2, p] + share[4, p] >= 0.5 and said[p] >= LEAST_SAID:  # a copy may break off in its only clause
             out.append("copy")
         elif share[3, p] >= 0.5:
             out.append("other_language")
