@@ -33,6 +33,8 @@ from variantloom.llm.textnorm import comparison_words
 from variantloom.session import cut, ship
 
 T, ROWS, BLOCK, AGREE = 320, 4, 512, 165
+#: Rows of bands that a task sorts, where the session's number of partitions would give it more.
+BANDS_A_TASK = 4_000_000
 _MAX = np.uint64(2**64 - 1)
 _K1, _K2, _K3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -192,7 +194,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_pairs(sketched: DataFrame) -> DataFrame:
     """Distinct pairs ``_a`` < ``_b`` of classes that share a band and whose bits agree."""
     bands = sketched.where(F.col("_bands").isNotNull()).select(F.explode("_bands").alias("_h"), "_cls")
-    parts = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, sketched.where(F.col("_bands").isNotNull()).count() * (T // ROWS) // BANDS_A_TASK)
     blocks = bands.repartition(parts, "_h").sortWithinPartitions("_h", "_cls").mapInArrow(_blocks, "_left array<bigint>, _right array<bigint>")
     pairs = (
         blocks.repartition(parts).select(F.explode("_left").alias("_a"), "_right").select("_a", F.explode("_right").alias("_b"))
