@@ -40,38 +40,44 @@ def sized(documents: DataFrame, path: str | None = None) -> DataFrame:
     return cut(token_counts(rows, "doc_id", "text", path, ["_key"]))
 
 
-def report_of(sizes: DataFrame, mixed: DataFrame | None, targets: DataFrame) -> DataFrame:
-    """A row for each target: tokens there are, share reached, and ``short`` if the weight is out of reach."""
-    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).scalar()
-    have = sizes.groupBy("_key").agg(F.sum("n_tokens").alias("source_tokens"), F.count("*").alias("n_documents"))
-    wanted = targets_of(targets)
-    out = wanted.join(have, "_key", "left").withColumn("total_tokens", total)
-    out = out.withColumns({"source_tokens": F.coalesce("source_tokens", F.lit(0)), "n_documents": F.coalesce("n_documents", F.lit(0))})
-    out = out.withColumn("short", F.col("max_repeats") * F.col("source_tokens") < F.col("target_weight") * F.col("total_tokens"))
-    if mixed is not None:
-        got = mixed.groupBy("_key").agg(F.sum("n_tokens").alias("mixed_tokens"), F.max("repeat").alias("passes"))
-        out = out.join(got, "_key", "left").withColumn("_mix", mixed.agg(F.sum("n_tokens")).scalar())
-        out = out.withColumns({"mixed_tokens": F.coalesce("mixed_tokens", F.lit(0)), "passes": F.coalesce("passes", F.lit(0))})
-        out = out.withColumn("actual_share", F.when(F.col("_mix") > 0, F.col("mixed_tokens") / F.col("_mix")).otherwise(F.lit(0.0))).drop("_mix")
-    return out.drop("_key")
-
-
-def queue(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix: ``doc_id``, ``_key``, ``n_tokens``, ``repeat`` (from 1), ``finish`` (virtual time), ``position`` (tokens up to and with it)."""
-    slices = slices_for(sizes.count())
+def timed(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+    """The queue: every copy a source may give, with ``repeat`` (from 1), ``queued`` (tokens of its source up to and with it) and ``finish`` (its virtual time)."""
     wanted = targets_of(targets).where("target_weight > 0 and max_repeats > 0")
     rows = sizes.where("n_tokens > 0").join(wanted.drop("source"), "_key")
     copies = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))))
     copies = copies.withColumn("_at", shuffled("doc_id", "repeat", seed=seed))
     place = (F.col("repeat") - 1 + F.col("_at")) / F.col("max_repeats")
-    timed = running_sum(copies, ["_key"], place, ["doc_id"], F.col("n_tokens"), "_sum", slices).withColumn("finish", F.col("_sum") / F.col("target_weight"))
-    whole = timed.withColumns({"_budget": sizes.agg(F.sum("n_tokens")).scalar(), "_last": timed.agg(F.max("finish")).scalar()})
-    placed = running_sum(whole.withColumn("_all", F.lit(0)), ["_all"], F.col("finish") / (F.col("_last") * 1.0000001), ["_key", "doc_id", "repeat"], F.col("n_tokens"), "position", slices)
+    summed = running_sum(copies, ["_key"], place, ["doc_id"], F.col("n_tokens"), "queued", slices_for(sizes.count()))
+    return summed.withColumn("finish", F.col("queued") / F.col("target_weight"))
+
+
+def served(sizes: DataFrame, queue: DataFrame) -> DataFrame:
+    """The mix: the queue's copies by virtual time until the budget is used; ``position`` is tokens up to and with a copy."""
+    whole = queue.withColumns({"_budget": sizes.agg(F.sum("n_tokens")).scalar(), "_last": queue.agg(F.max("finish")).scalar()})
+    placed = running_sum(whole.withColumn("_all", F.lit(0)), ["_all"], F.col("finish") / (F.col("_last") * 1.0000001), ["_key", "doc_id", "repeat"], F.col("n_tokens"), "position", slices_for(sizes.count()))
     return placed.where("position <= _budget").select("doc_id", "_key", "n_tokens", "repeat", "finish", "position")
 
 
+def report_of(sizes: DataFrame, queue: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    """A row for each target: its tokens, what it gave, its share, and ``short`` if its weight is out of reach.
+
+    A source is short if its last copy's virtual time comes before the budget: all it can queue is less than
+    its weight of the corpus.
+    """
+    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).scalar()
+    have = sizes.groupBy("_key").agg(F.sum("n_tokens").alias("source_tokens"), F.count("*").alias("n_documents"))
+    most = queue.groupBy("_key").agg(F.max("queued").alias("queued_tokens"))
+    got = mixed.groupBy("_key").agg(F.sum("n_tokens").alias("mixed_tokens"), F.max("repeat").alias("passes"))
+    out = targets_of(targets).join(have, "_key", "left").join(most, "_key", "left").join(got, "_key", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("source_tokens", "n_documents", "queued_tokens", "mixed_tokens", "passes")}
+    out = out.withColumns({**zero, "total_tokens": total, "_mix": mixed.agg(F.sum("n_tokens")).scalar()})
+    out = out.withColumn("short", F.col("queued_tokens") < F.col("target_weight") * F.col("total_tokens"))
+    return out.withColumn("actual_share", F.when(F.col("_mix") > 0, F.col("mixed_tokens") / F.col("_mix")).otherwise(F.lit(0.0))).drop("_key", "_mix")
+
+
 def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The mixed documents and the report."""
     sizes = sized(documents, path)
-    mixed = queue(sizes, targets, seed)
-    return mixed, report_of(sizes, mixed, targets)
+    queue = timed(sizes, targets, seed)
+    mixed = served(sizes, queue)
+    return mixed, report_of(sizes, queue, mixed, targets)

@@ -54,7 +54,7 @@ def pool_of(anchors: DataFrame, assignments: DataFrame, summary: DataFrame, fami
 
 
 def cells_of(pool: DataFrame, summary: DataFrame, families: DataFrame, fraction: float) -> DataFrame:
-    """Every cell of the two target tables with ``target``, ``min_rows``, ``pool_rows``, and what it lacks."""
+    """Every cell of the two target tables with ``target``, ``min_rows`` and ``pool_rows``."""
     counts = summary.where("dataset is not null and score_band is not null").groupBy("dataset", "score_band").agg(F.sum("count").alias("_n"))
     every = families.agg(F.collect_list(F.struct("dialect_family", "target_share", "min_rows")).alias("_f"))  # the families are a fixed table
     cells = counts.withColumns({"_f": F.explode(every.scalar()), "_all": counts.agg(F.sum("_n")).scalar()}).select("dataset", "score_band", "_f.*", "_n", "_all")
@@ -63,11 +63,14 @@ def cells_of(pool: DataFrame, summary: DataFrame, families: DataFrame, fraction:
     return out.select(
         *CELL, (F.col("_n") / F.col("_all") * F.coalesce("target_share", F.lit(0.0)) * F.col("_pool") * fraction).alias("target"),
         F.coalesce("min_rows", F.lit(0)).alias("min_rows"), F.coalesce("pool_rows", F.lit(0)).alias("pool_rows"),
-    ).withColumn("short", (F.col("pool_rows") < F.col("target")) | (F.col("pool_rows") < F.col("min_rows")))
+    )
 
 
 def sample(pool: DataFrame, cells: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The sampled rows with ``added`` (by the repair of floors), and the report of the cells."""
+    """The sampled rows with ``added`` (by the repair of floors), and the report of the cells.
+
+    A cell is ``short`` if its probabilities cannot add up to its target, or the repair could not reach its floor.
+    """
     start = ((seed * 0x9E3779B97F4A7C15 + 0x5851F42D4C957F2D) % 2**53) / 2**53
     chance = F.when(F.col("pool_rows") > 0, F.least(F.lit(1.0), F.col("target") / F.col("pool_rows"))).otherwise(F.lit(0.0))
     before = Window.orderBy(*CELL).rowsBetween(Window.unboundedPreceding, -1)  # over the cells, a fixed table
@@ -82,4 +85,4 @@ def sample(pool: DataFrame, cells: DataFrame, seed: int = 0) -> tuple[DataFrame,
     taken = joined.withColumn("_drawn", drawn).withColumn("added", ~F.col("_drawn") & (missed <= F.col("_add"))).where("_drawn or added").select("anchor_id", *CELL, "added")
     got = taken.groupBy(*CELL).agg(F.count("*").alias("sampled"), F.sum(F.col("added").cast("int")).alias("added"))
     report = cells.join(got, CELL, "left").withColumns({"sampled": F.coalesce("sampled", F.lit(0)), "added": F.coalesce("added", F.lit(0))})
-    return taken, report
+    return taken, report.withColumn("short", (F.col("target") > F.col("pool_rows")) | (F.col("sampled") < F.col("min_rows")))
