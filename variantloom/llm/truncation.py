@@ -36,6 +36,8 @@ SAMPLE = 6000
 DIMENSIONS = 1 << 18
 #: Fewer words are no answer. Share of bare texts at which the baseline of a source shifts nothing.
 LEAST_WORDS, USUAL_BARE = 4, 0.07
+#: Words of a sentence that are looked at, its last ones.
+REACH = 28
 #: Log-odds added where the tokens spent are known (before what exceeds the usual is added), and where they are not.
 USUAL_TOKENS, NO_TOKENS = -1.6, 0.5
 
@@ -149,6 +151,7 @@ class EndModel:
         return other if other and abs(len(other) - len(word)) <= 1 else word
 
     def features(self, words: list[str]) -> list[int]:
+        words = words[-REACH:]
         w = ["", "", "", *words[:-3], *(self.read(x) for x in words[-3:])]
         a, b, c = w[-3], w[-2], w[-1]
         known = c in self.vocabulary
