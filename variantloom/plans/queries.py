@@ -366,6 +366,12 @@ def review_lines(spark, folder):
     return reports.candidate_report(rows, about)
 
 
+@query()
+def trace_lines(spark, folder):
+    rows = cut(traced(spark, folder).withColumn("trace_id", F.col("candidate_id")))
+    return reports.trace_report(rows, trace.summary(rows))
+
+
 @query()
 def inventory_texts(spark, folder):
     return family_table(spark, INVENTORY)
