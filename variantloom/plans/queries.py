@@ -223,9 +223,16 @@ def char_jaccard(spark, folder):
     return sim.with_char_jaccard(spread(pairs(spark, folder)), "anchor_response", "candidate_response", "char_jaccard").select("candidate_id", "char_jaccard")
 
 
-@query()
+def _ascii(c: str | Column) -> Column:
+    """Other characters as ``_``: beside them word edges, and in them edits, differ between SQL engines."""
+    return F.regexp_replace(tx.text(c), r"[^\x00-\x7F]", "_")
+
+
+@query(rf"""WITH {_PAIRS}, l AS (SELECT candidate_id, regexp_replace(anchor_response, '[^\x00-\x7F]', '_', 'g') AS x, regexp_replace(said, '[^\x00-\x7F]', '_', 'g') AS y FROM pairs),
+e AS (SELECT *, levenshtein(x, y)::INT AS edits FROM l) SELECT candidate_id, edits, CASE WHEN greatest(length(x), length(y)) = 0 THEN 0.0 ELSE edits / greatest(length(x), length(y)) END AS share FROM e""")
 def edit_distance(spark, folder):
-    return spread(pairs(spark, folder)).select("candidate_id", sim.edit_distance("anchor_response", "candidate_response").alias("edits"), sim.edit_share("anchor_response", "candidate_response").alias("share"))
+    rows = spread(pairs(spark, folder)).select("candidate_id", _ascii("anchor_response").alias("x"), _ascii("candidate_response").alias("y"))
+    return rows.select("candidate_id", sim.edit_distance("x", "y").alias("edits"), sim.edit_share("x", "y").alias("share"))
 
 
 @query(f"WITH {_PAIRS} SELECT candidate_id, CASE WHEN length(anchor_response) = 0 THEN 0.0 ELSE length(said) / length(anchor_response) END AS length_ratio, trim(anchor_response, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) = trim(said, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS same FROM pairs")
@@ -250,11 +257,6 @@ def cosines(spark, folder):
 
 
 # verdicts ----------------------------------------------------------------------------------------------------
-def _ascii(c: str | Column) -> Column:
-    """Other characters as ``_``, as the word edges of SQL engines differ beside them."""
-    return F.regexp_replace(tx.text(c), r"[^\x00-\x7F]", "_")
-
-
 def _hits_sql() -> str:
     by: dict[str, list[str]] = {}
     for family, _, _, pattern in marker_rows(INVENTORY):
