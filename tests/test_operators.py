@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from variantloom.functions.alignment import Second
 from variantloom.operators import anchors as an
 from variantloom.operators import assign, audit, generate, records, repair, reports, trace, verdicts
 from variantloom.operators.order import numbered, numbered_within
@@ -122,6 +123,36 @@ def test_sibling_pairs_are_exact(spark):
         audit.BLOCK = old
 
 
+def test_sibling_maximum_is_over_all(spark):
+    import random
+
+    random.seed(3)
+    base = ["".join(random.choice("abcdefghijklmnopq ") for _ in range(n)).strip() for n in (90, 133, 400)]
+    part = base[0][: int(len(base[0]) * 0.6)] + "z" * (len(base[0]) - int(len(base[0]) * 0.6))
+    close = base[1][:40] + "z" + base[1][41:90] + "z" + base[1][91:]
+    rows = [(f"c{k}", a, k, "X", "", t, [], 0, [], True, "") for k, (a, t) in enumerate([("a", base[0]), ("a", part), ("b", base[1]), ("b", close), ("c", "alone")])]
+    got = {r.candidate_id: r for r in audit.audit(_audited(spark, rows)).collect()}
+    norm = lambda t: " ".join(t.split())
+    ratio = lambda x, y: SequenceMatcher(None, norm(x), norm(y)).ratio()
+    assert 0.55 < got["c0"].max_pairwise_sibling_similarity == round(ratio(base[0], part), 4) < 0.7 and got["c0"].pairwise_sibling_similarity is None
+    assert got["c4"].max_pairwise_sibling_similarity == 0.0
+    assert 0.98495 <= ratio(base[1], close) < 0.985 and got["c2"].sibling_similarity_over_threshold_count == 1 and got["c3"].duplicate_of_candidate_id is None
+    listed = {r.candidate_id: r for r in audit.audit(_audited(spark, rows), at_least=0).collect()}
+    assert [x.candidate_id for x in listed["c0"].pairwise_sibling_similarity] == ["c1"] and listed["c0"].sibling_similarity_over_threshold_count == 0
+
+    words = ["".join(random.choice("abcdefgqz") for _ in range(random.randint(1, 7))) for _ in range(60)]
+    texts = [" ".join(random.choice(words) for _ in range(random.choice((5, 30, 60, 90)))) for _ in range(40)] + ["", "", "a", "zq" * 150, "e" * 300]
+    brute = [[SequenceMatcher(None, x, y).ratio() for y in texts] for x in texts]
+    want = [max(brute[i][j] for j in range(len(texts)) if j != i) for i in range(len(texts))]
+    assert audit._search(texts, [float(texts.count(t) > 1) for t in texts], texts, True) == want and [Second(y).ratio(x) for x in texts for y in texts if x or y] == [brute[i][j] for i, x in enumerate(texts) for j, y in enumerate(texts) if x or y]
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "anchor_id int, _vl_row bigint, _vl_text string")
+    old, audit.CLOSEST_BLOCK = audit.CLOSEST_BLOCK, 18
+    try:
+        assert {r._vl_row: r._vl_best for r in audit.closest(df).collect()} == dict(enumerate(want))
+    finally:
+        audit.CLOSEST_BLOCK = old
+
+
 def test_records(spark):
     rows = spark.createDataFrame([("a", "1", 0.5, True, ["x"]), ("a", "2", 0.5, True, None), ("a", "3", None, True, []), ("a", "4", 9.0, None, ["x", "y"]), (None, "5", 1.0, True, [])], "anchor_id string, candidate_id string, quality_score double, passed_quality_filter boolean, rejection_reasons array<string>")
     rows = rows.withColumn("candidate_index", F.lit(1))

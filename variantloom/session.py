@@ -76,11 +76,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(done) if done.limit(rows + 1).count() <= rows else done
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many tasks as the session shuffles to (one a core at least), before work whose cost is not its bytes.
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` over as many tasks as the session shuffles to (one a core at least), by columns if given, before work whose cost is not its bytes.
 
     Adaptive execution joins small partitions by size, which would leave alignments of many short texts to
     one task; a given number of partitions is kept.
     """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
