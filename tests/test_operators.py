@@ -153,6 +153,33 @@ def test_sibling_maximum_is_over_all(spark):
         audit.CLOSEST_BLOCK = old
 
 
+def test_marker_and_edit_queries_read_original_texts(spark, tmp_path):
+    import re
+
+    from variantloom.plans import queries
+
+    def edits(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+        return last[-1]
+
+    dash, space, left, right = map(chr, (0x2014, 0xA0, 0x201C, 0x201D))
+    source = f"caf{chr(0xE9)} {left}no{right}"
+    texts = [f"He {left}finna{right} go{dash}finna{space}now", f"{chr(0xE9)}finna finna{chr(0xE9)} done", f"caf{chr(0xE8)} {right}no{left}", "", None]
+    spark.createDataFrame([("e1", None, source, "d", "low")], "essay_id string, anchor_id string, text string, dataset string, score_band string").write.parquet(f"{tmp_path}/anchors.parquet")
+    spark.createDataFrame([(f"c{k}", "e1", FAMILIES[5], k, t) for k, t in enumerate(texts)], "candidate_id string, anchor_id string, dialect_family string, candidate_index int, candidate_response string").write.parquet(f"{tmp_path}/candidates.parquet")
+    patterns = [(marker, pattern) for name, _, marker, pattern in inv.marker_rows(INVENTORY) if name == FAMILIES[5]]
+    hits = [[(m, len(re.findall(p, (t or "").lower()))) for m, p in patterns] for t in texts]
+    got = {r.candidate_id: (r.realizations, r.detected) for r in queries.QUERIES["marker_counts_whole"](spark, str(tmp_path)).collect()}
+    assert got == {f"c{k}": (sum(n for _, n in h), len({m for m, n in h if n})) for k, h in enumerate(hits)} and got["c0"] == (2, 1)
+    got = {r.candidate_id: (r.edits, r.share) for r in queries.QUERIES["edit_distance_whole"](spark, str(tmp_path)).collect()}
+    assert got == {f"c{k}": (edits(source, t or ""), edits(source, t or "") / max(len(source), len(t or ""))) for k, t in enumerate(texts)} and got["c2"][0] == 3
+
+
 def test_records(spark):
     rows = spark.createDataFrame([("a", "1", 0.5, True, ["x"]), ("a", "2", 0.5, True, None), ("a", "3", None, True, []), ("a", "4", 9.0, None, ["x", "y"]), (None, "5", 1.0, True, [])], "anchor_id string, candidate_id string, quality_score double, passed_quality_filter boolean, rejection_reasons array<string>")
     rows = rows.withColumn("candidate_index", F.lit(1))

@@ -314,6 +314,20 @@ def entry(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # operators SQL cannot express --------------------------------------------------------------------------------
+@query()
+def marker_counts_whole(spark, folder):
+    """On the original texts; ``marker_counts`` is the form whose word edges SQL engines agree on."""
+    rows = pairs(spark, folder).withColumn("hits", verdicts.marker_hits(F.col("candidate_response"), F.col("dialect_family"), INVENTORY))
+    return rows.select("candidate_id", verdicts.realizations(F.col("hits")).alias("realizations"), F.size(verdicts.detected(F.col("hits"))).alias("detected"))
+
+
+@query()
+def edit_distance_whole(spark, folder):
+    """On the original texts; ``edit_distance`` is the form whose characters SQL engines agree on."""
+    rows = spread(pairs(spark, folder))
+    return rows.select("candidate_id", sim.edit_distance("anchor_response", "candidate_response").alias("edits"), sim.edit_share("anchor_response", "candidate_response").alias("share"))
+
+
 @query()
 def alignments(spark, folder):
     rows = spread(pairs(spark, folder)).withColumn("m", alignment.align(F.col("anchor_response"), F.col("candidate_response")))
