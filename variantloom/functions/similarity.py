@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +9,20 @@ from variantloom.functions.text import col, lower_words, strip, text, token_set
 
 
 def rounded(c: Column, digits: int = 4) -> Column:
-    """Rounded from the binary value, as Python does; Spark's ``round`` works on the decimal form and differs at ties."""
-    return F.pandas_udf(lambda s: s.map(lambda x: x if pd.isna(x) else round(float(x), digits)).astype("float64"), "double")(c)
+    """Rounded from the binary value, as Python does, in the JVM; Spark's ``round`` works on the decimal form and differs near ties.
+
+    ``x * 10^digits`` is taken as an exact sum of two doubles (Veltkamp's split), so that the half is met
+    exactly; a true tie goes to the even digit. For values below 2^52 / 10^digits. Null stays null.
+    """
+    scale = float(10**digits)
+
+    def exact(v: Column) -> Column:
+        parts = F.transform(F.array(v), lambda x: F.struct((x * scale).alias("p"), (x * 134217729.0 - (x * 134217729.0 - x)).alias("h"), x.alias("x")))
+        parts = F.transform(parts, lambda s: F.struct(s["p"].alias("p"), ((s["h"] * scale - s["p"]) + (s["x"] - s["h"]) * scale).alias("e"), F.floor(s["p"]).cast("double").alias("k")))
+        above = lambda s: (s["p"] - s["k"] > 0.5) | (s["p"] - s["k"] == 0.5) & ((s["e"] > 0) | (s["e"] == 0) & (s["k"] % 2 != 0))
+        return F.transform(parts, lambda s: (s["k"] + above(s).cast("double")) / scale)[0]
+
+    return exact(c.cast("double"))
 
 
 def exact(a: str | Column, b: str | Column) -> Column:

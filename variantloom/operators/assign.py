@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from variantloom.functions.text import is_blank, replaced, text
 from variantloom.operators.anchors import anchor_text, domain, identifier, job_id, last_of_each, source
-from variantloom.operators.order import numbered, numbered_within
+from variantloom.operators.order import numbered, numbered_in_turn
 
 # Ranks of score bands; anything else comes last.
 BAND_RANK = {"low": 0, "mid": 1, "medium": 1, "high": 2}
@@ -24,20 +24,26 @@ def band_rank(c: str | Column) -> Column:
     return out
 
 
+def _narrow(df: DataFrame, order: list[str]) -> DataFrame:
+    """What assignments are made of, without texts: the identifier, its source, band and domain, and the order's columns."""
+    named = {"anchor_id": identifier(df), "source_corpus": source(df), **{c: (df[c] if c in df.columns else F.lit(None).cast("string")) for c in ("score_band", "domain")}}
+    strata = {f"_{c}": (df[c] if c in df.columns else F.lit("unknown")) for c in ("source_corpus", "score_band", "domain")}
+    return df.select(*(c.alias(n) for n, c in {**named, **strata}.items()), *(F.col(o).alias(f"_vl_o{k}") for k, o in enumerate(order)))
+
+
 def _rows(df: DataFrame, families: Sequence[str], candidates: int, strategy: str, place: str) -> DataFrame:
     names = F.array(*map(F.lit, families))
     return df.select(
-        identifier(df).alias("anchor_id"), F.element_at(names, (F.col(place) % len(families) + 1).cast("int")).alias("dialect_family"), F.lit(candidates).alias("target_candidates"),
-        F.lit(strategy).alias("assignment_strategy"), source(df).alias("source_corpus"), *(df[c] if c in df.columns else F.lit(None).cast("string").alias(c) for c in ("score_band", "domain")),
-        F.col(place).alias("position"),
+        "anchor_id", F.element_at(names, (F.col(place) % len(families) + 1).cast("int")).alias("dialect_family"), F.lit(candidates).alias("target_candidates"),
+        F.lit(strategy).alias("assignment_strategy"), "source_corpus", "score_band", "domain", F.col(place).alias("position"),
     )
 
 
 def greedy(anchors: DataFrame, families: Sequence[str], order: list[str], candidates: int = 3, limit: int | None = None) -> DataFrame:
-    """The i-th anchor in the order goes to family i mod n. ``position`` is i."""
+    """The i-th anchor in the order goes to family i mod n. ``position`` is i. Only keys and strata are sorted and written, no texts."""
     if not families:
         raise ValueError("no family to assign to")
-    rows = numbered(anchors, order, "_n")
+    rows = numbered(_narrow(anchors, order), [f"_vl_o{k}" for k in range(len(order))], "_n")
     return _rows(rows if limit is None else rows.where(F.col("_n") < limit), families, candidates, "greedy", "_n")
 
 
@@ -46,14 +52,14 @@ def balanced(anchors: DataFrame, families: Sequence[str], order: list[str], cand
 
     Strata are the raw values of ``source_corpus``, ``score_band`` and ``domain`` (a missing column counts as
     ``unknown``, a null as a stratum of its own that sorts as ``None``), in the order of band rank, source and
-    domain; strata equal in these stand as they were first seen.
+    domain; strata equal in these stand as they were first seen. One sort gives the order first seen and the
+    turn within a stratum, a second one the place; both carry keys and strata only.
     """
     if not families:
         raise ValueError("no family to assign to")
-    keys = {f"_{c}": (anchors[c] if c in anchors.columns else F.lit("unknown")) for c in ("source_corpus", "score_band", "domain")}
-    rows = numbered(anchors.withColumns(keys), order, "_seen")
-    rows = numbered_within(rows, list(keys), ["_seen"], "_turn")
-    first = rows.groupBy(*(F.col(k).alias(f"{k}_") for k in keys)).agg(F.min("_seen").alias("_first"))
+    keys = ["_source_corpus", "_score_band", "_domain"]
+    rows = numbered_in_turn(_narrow(anchors, order), keys, [f"_vl_o{k}" for k in range(len(order))], "_turn", "_seen").drop(*(f"_vl_o{k}" for k in range(len(order))))
+    first = rows.where("_turn = 0").select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("_seen").alias("_first"))
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variantloom.functions.text import first_filled, listed
-from variantloom.operators.order import numbered_within
 
 
 def split(rows: DataFrame, flag: str = "passed_quality_filter") -> tuple[DataFrame, DataFrame]:
@@ -19,21 +18,30 @@ def best_of_each(rows: DataFrame, n: int | None = None, key: str = "anchor_id",
     """Passing rows; with ``n`` the best of each key with ``selected_reason``.
 
     Ties go by ``order``, a null value counts as 0. The total in the reason is the key's passing rows.
-    Numbers within a key come from one range sort, so no key has to fit in a task.
+    A task hands on at most ``n`` rows of a key (Spark limits ranked windows before their shuffle), and the
+    totals are counts, so no key's rows meet in one task.
     """
     passing = split(rows, flag)[0]
     if n is None:
         return passing
-    ranked = numbered_within(passing.withColumn("_vl_value", -F.coalesce(F.col(value), F.lit(0.0))), [key], ["_vl_value", *order], "_vl_rank").drop("_vl_value")
-    totals = ranked.groupBy(F.col(key).alias("_vl_key")).agg(F.count("*").alias("_vl_total"))
-    top = ranked.where(F.col("_vl_rank") < n).join(totals, F.col(key).eqNullSafe(F.col("_vl_key")))
-    why = F.concat(F.lit("rank "), (F.col("_vl_rank") + 1).cast("string"), F.lit("/"), F.col("_vl_total").cast("string"), F.lit(" for anchor "), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    worth = F.coalesce(F.col(value), F.lit(0.0))
+    top = passing.withColumn("_vl_rank", F.row_number().over(Window.partitionBy(key).orderBy(worth.desc(), *order))).where(F.col("_vl_rank") <= n)
+    totals = passing.groupBy(F.col(key).alias("_vl_key")).agg(F.count("*").alias("_vl_total"))
+    top = top.join(totals, F.col(key).eqNullSafe(F.col("_vl_key")))
+    why = F.concat(F.lit("rank "), F.col("_vl_rank").cast("string"), F.lit("/"), F.col("_vl_total").cast("string"), F.lit(" for anchor "), F.coalesce(F.col(key).cast("string"), F.lit("")))
     return top.withColumn("selected_reason", why).drop("_vl_rank", "_vl_key", "_vl_total")
 
 
-def reason_tally(rows: DataFrame, top: int | None = None, flag: str = "passed_quality_filter") -> DataFrame:
-    """How often each reason rejects a row: ``reason``, ``n``, most first; ties by name. ``top`` keeps the first ones."""
-    counts = split(rows, flag)[1].select(F.explode("rejection_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+def reason_tally(rows: DataFrame, top: int | None = None, flag: str = "passed_quality_filter", order: list[str] = ("candidate_id",)) -> DataFrame:
+    """How often each reason rejects a row: ``reason``, ``n``, most first; ``top`` keeps the first ones.
+
+    Ties stand as they are first seen, rows taken by ``order`` (columns that ``rows`` lacks are passed over)
+    and a row's reasons in theirs; then by name.
+    """
+    seen = [F.col(c) for c in order if c in rows.columns]
+    told = split(rows, flag)[1].select(F.struct(*seen, F.lit(0).alias("_vl_none")).alias("_vl_row"), F.posexplode("rejection_reasons").alias("_vl_at", "reason"))
+    counts = told.groupBy("reason").agg(F.count("*").alias("n"), F.min(F.struct("_vl_row", "_vl_at")).alias("_vl_seen"))
+    counts = counts.orderBy(F.desc("n"), "_vl_seen", "reason").select("reason", "n")
     return counts if top is None else counts.limit(top)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variantloom.functions.text import strip, text
+from variantloom.operators.trace import summary, with_corrections
 
 ORDER = ["k1", "k2", "k3", "k4", "k5"]
 
@@ -40,9 +41,14 @@ def candidate_report(candidates: DataFrame, anchors: DataFrame, title: str = "Ca
     return top.unionByName(heads).unionByName(bodies)
 
 
-def trace_report(rows: DataFrame, totals: DataFrame, title: str = "Trace comparison") -> DataFrame:
-    """Lines of a comparison of traced rows; ``totals`` is :func:`variantloom.operators.trace.summary` of them."""
+def trace_report(rows: DataFrame, totals: DataFrame | None = None, title: str = "Trace comparison", known: list[str] = ()) -> DataFrame:
+    """Lines of a comparison of traced rows; ``totals`` is :func:`variantloom.operators.trace.summary` of them, made here by default.
+
+    With known forms, rows without stored corrections have theirs found anew.
+    """
     none = F.lit("")
+    rows = with_corrections(rows, known)
+    totals = summary(rows) if totals is None else totals
     says = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))
     top = _lines(totals, [F.lit(f"# {title}"), none, says("Total trace records", "records"), says("Records with changed output", "changed"), says("Applied feature count", "applied_features"), says("Records with possible student-text corrections", "with_corrections"), none], 0, none, none, F.lit(0))
     changed = strip(text("candidate_response")) != strip(text("anchor_text"))

@@ -15,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -29,12 +30,16 @@ def get_spark(master: str | None = None, app: str = "variantloom", **conf: str)
     return builder.getOrCreate()
 
 
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package, once per session.
+def ship(spark: SparkSession | None = None) -> None:
+    """Let executors import this package, once per session (the active one by default).
 
     On a cluster whose workers do not share the driver's path, the package is sent as a zip; where the
-    workers can see the source folder (or in local mode) this only adds one small file.
+    workers can see the source folder (or in local mode) this only adds one small file. Every operator whose
+    plan runs this package's Python on executors calls it.
     """
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
     context = spark.sparkContext
     if getattr(context, "_variantloom_shipped", False):
         return
@@ -52,12 +57,15 @@ def ship(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` and cut its lineage through the folder all executors share.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests, a laptop) a
-    folder of this machine is used.
+    The folder is ``spark.checkpoint.dir`` of the session. Where that is unset, a local session (tests, a
+    laptop) uses a folder of this machine; on a cluster it is an error. Sessions made by :func:`get_spark`
+    delete a checkpoint once nothing refers to it any more.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="variantloom-checkpoint"))
     return df.checkpoint(eager=True)
 
@@ -76,11 +84,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(done) if done.limit(rows + 1).count() <= rows else done
 
 
+#: Bytes of source files a task of costly work gets, and the most tasks that are asked for.
+SPREAD_BYTES, SPREAD_TASKS = 64 << 20, 100_000
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """``df`` over as many tasks as the session shuffles to (one a core at least), by columns if given, before work whose cost is not its bytes.
+    """``df`` over enough tasks for work whose cost is not its bytes, by columns if given.
 
     Adaptive execution joins small partitions by size, which would leave alignments of many short texts to
-    one task; a given number of partitions is kept.
+    one task; a given number of partitions is kept. The number follows the bytes of the tables and the
+    partitions of the checkpoints ``df`` is read from, so that a task's share stays the same at any size, and
+    is at least twice the session's cores.
     """
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
+    leaves, read, held = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0, 0
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.nodeName() == "LogicalRDD":  # a checkpoint, whose bytes Spark does not know
+            held = max(held, leaf.rdd().getNumPartitions())
+        else:
+            read += int(str(leaf.stats().sizeInBytes()))
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, held, read // SPREAD_BYTES)
+    return df.repartition(int(min(SPREAD_TASKS, tasks)), *columns)

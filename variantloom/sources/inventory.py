@@ -93,10 +93,10 @@ def markers(config: dict) -> list[str]:
 
 
 def marker_pattern(marker: str) -> str:
-    """A pattern for lower-case text that finds the marker itself, with word edges beside letters and digits."""
+    """A pattern for lower-case text that finds the marker itself; no letter, digit or ``_`` of any script may touch an end that is one."""
     low = marker.lower().strip()
     quoted = re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", low)
-    return (r"\b" if low[:1].isalnum() else "") + quoted + (r"\b" if low[-1:].isalnum() else "")
+    return (r"(?<![\p{L}\p{N}_])" if low[:1].isalnum() else "") + quoted + (r"(?![\p{L}\p{N}_])" if low[-1:].isalnum() else "")
 
 
 def marker_rows(inventory: dict[str, dict]) -> list[tuple[str, int, str, str]]:
@@ -107,7 +107,7 @@ def marker_rows(inventory: dict[str, dict]) -> list[tuple[str, int, str, str]]:
             pattern = PATTERNS.get(str(f.get("id", "")).lower()) or PATTERNS.get(str(f.get("feature", "")).lower())
             name = str(f.get("feature") or f.get("id") or "").strip()
             if pattern and name:
-                found.append((name, pattern))
+                found.append((name, "(?U)" + pattern))  # word edges and white space of any script
         rows += [(family, k, m, p) for k, (m, p) in enumerate(found)]
     return rows
 
@@ -126,38 +126,36 @@ def family_table(spark: SparkSession, inventory: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, "dialect_family string, markers array<struct<marker string, pattern string>>, labels array<string>, inventory_text string, notes_text string, inventory_json string")
 
 
+# The sentences of notes on an inventory that is not approved yet.
+DRAFT = "Draft status: {} requires team and/or linguist review before final benchmark use."
+
+
+def _section(heading: str, values: list, glue: str) -> list[str]:
+    return [f"{heading}: {glue.join(map(str, values))}"] if values else []
+
+
+def _named(feature: dict) -> str:
+    extras = [(" ({})", feature.get("description")), (" Avoid: {}", feature.get("blocked_context"))]
+    return str(feature["feature"]) + "".join(form.format(value) for form, value in extras if value)
+
+
 def described(config: dict) -> str:
-    """The allowed features by category, as lines for a prompt."""
-    lines = []
-    for category, heading in CATEGORIES.items():
-        if "features" in config:
-            parts = [
-                str(f["feature"]) + (f" ({f['description']})" if f.get("description") else "") + (f" Avoid: {f['blocked_context']}" if f.get("blocked_context") else "")
-                for f in _allowed(config) if f.get("category") == category
-            ]
-        else:
-            parts = [str(v) for v in config.get(f"allowed_{category}_features") or []]
-        if parts:
-            lines.append(f"{heading}: {'; '.join(parts)}")
-    if "features" in config and config.get("review_status"):
-        lines.append(f"Review status: {config['review_status']}")
-    if "features" not in config and config.get("usage_notes"):
-        lines.append("Usage notes: " + " ".join(map(str, config["usage_notes"])))
-    return "\n".join(lines)
+    """The allowed features by category, as lines for a prompt; a section without entries is left out."""
+    new = "features" in config
+    by = {c: [_named(f) for f in _allowed(config) if f.get("category") == c] if new else config.get(f"allowed_{c}_features") or [] for c in CATEGORIES}
+    sections = [(heading, by[c], "; ") for c, heading in CATEGORIES.items()]
+    status = config.get("review_status")
+    sections.append(("Review status", [status] if status else [], "") if new else ("Usage notes", config.get("usage_notes") or [], " "))
+    return "\n".join(line for section in sections for line in _section(*section))
 
 
 def warned(config: dict) -> str:
     """Disallowed features and notes, as lines for a prompt."""
-    lines = []
-    for key, heading, glue in (("disallowed_features", "Disallowed features", "; "), ("safety_notes", "Safety notes", " ")):
-        if config.get(key):
-            lines.append(f"{heading}: {glue.join(map(str, config[key]))}")
+    sections = [("Disallowed features", config.get("disallowed_features") or [], "; "), ("Safety notes", config.get("safety_notes") or [], " ")]
+    lines = [line for section in sections for line in _section(*section)]
     status = config.get("review_status")
-    if status and status != "approved":
-        lines.append(f"Draft status: {status} requires team and/or linguist review before final benchmark use.")
-    elif config.get("needs_linguist_review"):
-        lines.append("Draft status: this inventory requires team and/or linguist review before final benchmark use.")
-    return "\n".join(lines)
+    open_review = status if status and status != "approved" else "this inventory" if config.get("needs_linguist_review") else None
+    return "\n".join(lines + [DRAFT.format(open_review)] * bool(open_review))
 
 
 def checked(features: DataFrame) -> DataFrame:

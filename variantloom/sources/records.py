@@ -6,7 +6,7 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,9 +28,27 @@ def read_records(spark: SparkSession, path: str, schema: StructType | str | None
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file``, ``line`` (text) of lines that are no JSON object; blank lines are fine."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "^" + chr(0xFEFF), "").alias("line"))
-    return lines.where((F.trim("line") != "") & (F.try_parse_json("line").isNull() | ~F.trim("line").startswith("{")))
+    """``file``, ``number`` (from 1) and ``line`` (text) of lines that are no JSON object; blank lines are fine.
+
+    Files may be read in blocks: a line's number is its place in its block and the lines of the blocks before.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "^" + chr(0xFEFF), "").alias("line"),
+    )
+    blocks = lines.groupBy("_path", "_block").agg(F.min("_at").alias("_least"), F.count("*").alias("_size"))
+    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = blocks.select("_path", "_block", "_least", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
+    bad = lines.where((F.trim("line") != "") & (F.try_parse_json("line").isNull() | ~F.trim("line").startswith("{")))
+    return bad.join(firsts, ["_path", "_block"]).select("file", (F.col("_at") - F.col("_least") + F.col("_first") + 1).alias("number"), "line")
+
+
+def read_checked_jsonl(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """:func:`read_jsonl`, after a pass over the lines; a bad one is a ValueError that names its file and number."""
+    first = bad_lines(spark, path).orderBy("file", "number").limit(1).collect()
+    if first:
+        raise ValueError(f"no JSON object on line {first[0].number} of {first[0].file}")
+    return read_jsonl(spark, path, schema)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -14,8 +14,12 @@ def arriving(spark: SparkSession, path: str, schema: str, form: str = "json", fi
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).format(form).load(path)
 
 
-def once(stream: DataFrame, key: str, at: str, late: str = "1 hour") -> DataFrame:
-    """Each key once within the watermark; records without a key or time are left out."""
+def once(stream: DataFrame, key: str, at: str, late: str = "30 days") -> DataFrame:
+    """Each key once within the watermark; records without a key or time are left out.
+
+    Records are repeated days later: ``late`` must be longer than the longest such time, as what comes later
+    still is dropped. :func:`into` needs no such bound.
+    """
     timed = stream.where(F.col(key).isNotNull()).withColumn("_at", F.try_to_timestamp(F.col(at))).where("_at is not null")
     return timed.withWatermark("_at", late).dropDuplicatesWithinWatermark([key])
 
@@ -31,11 +35,11 @@ def into(stream: DataFrame, folder: str, checkpoint: str, step: Callable[[DataFr
 
     def add(batch: DataFrame, _: int) -> None:
         spark, made = batch.sparkSession, step(batch)
-        try:
-            made = made.join(spark.read.parquet(folder).select(key).distinct(), key, "left_anti")
-        except Exception as error:  # the folder is not there before the first batch
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
+        jvm = spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            seen = spark.read.schema(made.schema).parquet(folder).select(key)  # of all columns only the key is read
+            made = made.join(seen.join(made.select(key).distinct(), key, "left_semi"), key, "left_anti")
         made.write.mode("append").parquet(folder)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
