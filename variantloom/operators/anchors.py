@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from variantloom.functions.text import first_filled, text
+from variantloom.functions.text import first_filled, strip, text
 
 
 def _have(df: DataFrame, *names: str) -> list[Column]:
@@ -44,8 +44,9 @@ PRECEDENCE = {
 
 
 def candidate_text(df: DataFrame, step: str) -> Column:
-    """A candidate's text in the order of ``step``; '' without any."""
-    return text(first_filled(*_have(df, *PRECEDENCE[step]), F.lit("")))
+    """A candidate's text in the order of ``step``; for scores and pre-filter the trimmed raw output comes last; '' without any."""
+    last = [strip(c) for c in _have(df, "raw_output")] if step in ("score", "prefilter") else []
+    return text(first_filled(*_have(df, *PRECEDENCE[step]), *last, F.lit("")))
 
 
 def domain(df: DataFrame) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from variantloom.functions.alignment import repair
+from variantloom.operators.anchors import candidate_text
 from variantloom.operators.records import latest
 
 
@@ -17,7 +18,7 @@ def repaired(raw: DataFrame, scored: DataFrame, order: list[str] = ("candidate_i
     """
     flags = latest(scored, "candidate_id", list(order)).select(F.col("candidate_id").alias("_id"), F.col("anchor_response").alias("_anchor"), F.col("student_text_corrections").alias("_flags"))
     rows = raw.join(flags.where("size(_flags) > 0"), F.col("candidate_id") == F.col("_id"), "left")
-    touched = rows.where("_id is not null").withColumn("_r", repair(F.col("_anchor"), F.col("candidate_response"), F.col("_flags")))
+    touched = rows.where("_id is not null").withColumn("_r", repair(F.col("_anchor"), candidate_text(raw, "score"), F.col("_flags")))
     mended = F.size("_r.repairs") > 0  # flags that fit no change leave both texts alone
     texts = {c: F.when(mended, F.col("_r.text")).otherwise(F.col(c)) for c in ("candidate_response", "raw_output")}
     touched = touched.withColumns({**texts, "mechanical_cleanup_repairs": F.col("_r.repairs")}).drop("_r")

@@ -345,7 +345,7 @@ def _by_family(of) -> str:
 
 #: Candidates once, with the status and raw output of their last record, and their anchor's text.
 _ONCE = f"""{_KNOWN}, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY finished_at DESC NULLS LAST, generation_status DESC NULLS LAST, raw_output DESC NULLS LAST) AS nth FROM candidates WHERE candidate_id IS NOT NULL) WHERE nth = 1),
-full_pairs AS MATERIALIZED (SELECT o.candidate_id AS id, o.anchor_id, o.dialect_family, o.candidate_index, o.generation_status, o.model, coalesce(o.candidate_response, '') AS y, coalesce(o.raw_output, '') AS raw, coalesce(k.text, '') AS x, {_by_family(labels)} AS excused,
+full_pairs AS MATERIALIZED (SELECT o.candidate_id AS id, o.anchor_id, o.dialect_family, o.candidate_index, o.generation_status, o.model, coalesce(o.candidate_response, '') AS response, coalesce(nullif(o.candidate_response, ''), {oracle.strip("coalesce(o.raw_output, '')")}) AS y, coalesce(o.raw_output, '') AS raw, coalesce(k.text, '') AS x, {_by_family(labels)} AS excused,
  {_by_family(markers)} AS shown FROM once o LEFT JOIN known k ON o.anchor_id = k.key)"""
 
 
@@ -368,7 +368,8 @@ _LABEL_FIX = oracle.corrections("w", "full_pairs")
 SELECT p.id AS candidate_id, c.ratio AS char_ratio, n.ratio AS norm_ratio, w.ratio AS word_ratio, w.unmatched AS changed_words, coalesce(chunks.n, 0)::INT AS changed_chunks, len({oracle.WORDS.format('x')})::INT AS anchor_words, {oracle.joined('fixes')} AS corrections
 FROM full_pairs p JOIN c_ratio c USING (id) JOIN n_ratio n USING (id) JOIN w_ratio w USING (id) LEFT JOIN chunks USING (id) LEFT JOIN w_fix USING (id)""")
 def alignments(spark, folder):
-    rows = spread(whole_pairs(spark, folder)).withColumn("m", alignment.align(F.col("anchor_response"), F.col("candidate_response")))
+    rows = spread(whole_pairs(spark, folder))
+    rows = rows.withColumn("m", alignment.align(F.col("anchor_response"), an.candidate_text(rows, "score")))
     return rows.select("candidate_id", "m.*").withColumn("corrections", F.array_join("corrections", "|"))
 
 
@@ -437,7 +438,7 @@ put AS MATERIALIZED (SELECT * FROM flagged WHERE list_contains(list_transform(fi
 word AS (SELECT id, unnest({oracle.WORDS.format('y')}) AS w, unnest(regexp_split_to_array(y, '[A-Za-z][A-Za-z'']*')) AS gap, generate_subscripts(regexp_split_to_array(y, '[A-Za-z][A-Za-z'']*'), 1) - 1 AS k FROM filtered WHERE id IN (SELECT id FROM put)),
 made AS (SELECT id, string_agg(CASE WHEN b0 IS NULL THEN gap || coalesce(w, '') WHEN k = b0 THEN gap || before ELSE '' END, '' ORDER BY k) AS made FROM word LEFT JOIN put ON word.id = put.id AND k >= b0 AND k < b1 GROUP BY ALL),
 done AS (SELECT id, string_agg(before || ' -> ' || after, '|' ORDER BY b0) AS repairs FROM put GROUP BY id)
-SELECT p.id AS candidate_id, coalesce(made, y) AS candidate_response, coalesce(made, raw) AS raw_output, coalesce(repairs, '') AS repairs FROM full_pairs p LEFT JOIN made USING (id) LEFT JOIN done USING (id)""".replace("SELECT id, string_agg(CASE WHEN b0", "SELECT word.id AS id, string_agg(CASE WHEN b0").replace("b1 GROUP BY ALL", "b1 GROUP BY word.id"))
+SELECT p.id AS candidate_id, coalesce(made, response) AS candidate_response, coalesce(made, raw) AS raw_output, coalesce(repairs, '') AS repairs FROM full_pairs p LEFT JOIN made USING (id) LEFT JOIN done USING (id)""".replace("SELECT id, string_agg(CASE WHEN b0", "SELECT word.id AS id, string_agg(CASE WHEN b0").replace("b1 GROUP BY ALL", "b1 GROUP BY word.id"))
 def repaired(spark, folder):
     rows = cut(filtered_rows(spark, folder).select("candidate_id", "anchor_response", "student_text_corrections"))
     raw = whole_pairs(spark, folder).select("candidate_id", tx.text("candidate_response").alias("candidate_response"), tx.text("raw_output").alias("raw_output"))
@@ -562,7 +563,7 @@ def _said_as_json(rows: DataFrame) -> DataFrame:
     return rows.withColumn("raw_output", F.when(turn == 1, F.concat(F.lit("```json\n"), "own", F.lit("\n```"))).when(turn == 2, F.concat(F.lit("Here it is: "), "own", F.lit(" as asked."))).otherwise(tx.text("raw_output"))).drop("whole", "own")
 
 
-_TRACED = f"""{_ONCE}, answered AS MATERIALIZED (SELECT id, anchor_id, dialect_family, x, y AS said, raw, coalesce(candidate_index, 0) % 3 AS turn, {oracle.strip("regexp_replace(" + oracle.strip('raw') + ", '^```(?:json)?\\s*|\\s*```$', '', 'gi')")} AS bare, {oracle.strip("lower(coalesce(dialect_family, ''))")} AS k FROM full_pairs),
+_TRACED = f"""{_ONCE}, answered AS MATERIALIZED (SELECT id, anchor_id, dialect_family, x, response AS said, raw, coalesce(candidate_index, 0) % 3 AS turn, {oracle.strip("regexp_replace(" + oracle.strip('raw') + ", '^```(?:json)?\\s*|\\s*```$', '', 'gi')")} AS bare, {oracle.strip("lower(coalesce(dialect_family, ''))")} AS k FROM full_pairs),
 tried AS MATERIALIZED (SELECT *, CASE WHEN json_valid(bare) THEN bare WHEN json_valid(regexp_extract(bare, '(?s)\\{{.*\\}}')) THEN regexp_extract(bare, '(?s)\\{{.*\\}}') ELSE 'null' END AS inside FROM answered),
 read AS MATERIALIZED (SELECT *, turn IN (1, 2) AS made, turn IN (1, 2) OR json_type(inside) = 'OBJECT' AS ok FROM tried),
 voiced AS MATERIALIZED (SELECT id, anchor_id, dialect_family, x, {oracle.strip("CASE WHEN made THEN said WHEN ok AND json_type(inside, '$.' || " + _KEY_SQL + ") = 'VARCHAR' THEN json_extract_string(inside, '$.' || " + _KEY_SQL + ") ELSE raw END")} AS y, made, ok, CASE WHEN made THEN ['it'] ELSE []::VARCHAR[] END AS excused,
