@@ -1,6 +1,7 @@
 """Operators on small fixtures, with nulls, ties, repeated rows and empty tables."""
 
 import json
+import os
 from difflib import SequenceMatcher
 from itertools import combinations
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from variantloom.functions.alignment import Second
 from variantloom.operators import anchors as an
-from variantloom.operators import assign, audit, generate, records, repair, reports, trace, verdicts
+from variantloom.operators import assign, audit, generate, order, records, repair, reports, trace, verdicts
 from variantloom.operators.order import numbered, numbered_within
 from variantloom.plans.fixture import FAMILIES, INVENTORY, PLAIN_TEMPLATE, offline_client
 from variantloom.plans.workflow import Flow
@@ -169,14 +170,15 @@ def test_marker_and_edit_queries_read_original_texts(spark, tmp_path):
 
     dash, space, left, right = map(chr, (0x2014, 0xA0, 0x201C, 0x201D))
     source = f"caf{chr(0xE9)} {left}no{right}"
-    texts = [f"He {left}finna{right} go{dash}finna{space}now", f"{chr(0xE9)}finna finna{chr(0xE9)} done", f"caf{chr(0xE8)} {right}no{left}", "", None]
+    texts = [f"He {left}finna{right} go{dash}finna{space}now", f"{chr(0xE9)}finna finna{chr(0xE9)} done", f"caf{chr(0xE8)} {right}no{left}", "", f"they be{space}going", None]
     spark.createDataFrame([("e1", None, source, "d", "low")], "essay_id string, anchor_id string, text string, dataset string, score_band string").write.parquet(f"{tmp_path}/anchors.parquet")
     spark.createDataFrame([(f"c{k}", "e1", FAMILIES[5], k, t) for k, t in enumerate(texts)], "candidate_id string, anchor_id string, dialect_family string, candidate_index int, candidate_response string").write.parquet(f"{tmp_path}/candidates.parquet")
-    patterns = [(marker, pattern) for name, _, marker, pattern in inv.marker_rows(INVENTORY) if name == FAMILIES[5]]
+    edge = lambda c: r"\b" if c.isalnum() else ""
+    patterns = [(m, edge(m[0]) + re.escape(m.lower()) + edge(m[-1])) for m in inv.markers(INVENTORY[FAMILIES[5]])] + [("habitual be", inv.HABITUAL)]
     hits = [[(m, len(re.findall(p, (t or "").lower()))) for m, p in patterns] for t in texts]
-    got = {r.candidate_id: (r.realizations, r.detected) for r in queries.QUERIES["marker_counts_whole"](spark, str(tmp_path)).collect()}
-    assert got == {f"c{k}": (sum(n for _, n in h), len({m for m, n in h if n})) for k, h in enumerate(hits)} and got["c0"] == (2, 1)
-    got = {r.candidate_id: (r.edits, r.share) for r in queries.QUERIES["edit_distance_whole"](spark, str(tmp_path)).collect()}
+    got = {r.candidate_id: (r.realizations, len(r.detected.split("|")) if r.detected else 0) for r in queries.QUERIES["marker_counts"](spark, str(tmp_path)).collect()}
+    assert got == {f"c{k}": (sum(n for _, n in h), len({m for m, n in h if n})) for k, h in enumerate(hits)} and got["c0"] == (2, 1) and got["c4"] == (1, 1)
+    got = {r.candidate_id: (r.edits, r.share) for r in queries.QUERIES["edit_distance"](spark, str(tmp_path)).collect()}
     assert got == {f"c{k}": (edits(source, t or ""), edits(source, t or "") / max(len(source), len(t or ""))) for k, t in enumerate(texts)} and got["c2"][0] == 3
 
 
@@ -209,7 +211,15 @@ def test_generation(spark):
         return call
 
     assert generate.generate(jobs, broken, "m").first().generation_status == "api_error"
-    waits, calls = [], iter([RuntimeError("HTTP 429"), RuntimeError("rate_limit"), {"text": "x"}])
+
+    def echo():
+        return lambda prompt: {"id": "x", "text": prompt, "usage": json.dumps({"input_tokens": 5})}
+
+    two = jobs.unionAll(jobs.withColumns({"job_id": F.lit("j2"), "candidate_index": F.lit(2)}))
+    said = {r.candidate_id: r for r in generate.generate(two, echo, "m", total=4).collect()}
+    assert said["j2"].candidate_response.startswith("p\n\nCandidate attempt: 2 of 4.\nIf more than one") and said["j1"].candidate_response != said["j2"].candidate_response
+    assert (said["j1"].tokens_in, said["j1"].tokens_out) == (5, None)
+    waits, calls = [], iter([RuntimeError("HTTP 429"), RuntimeError("Rate_Limit: Temporarily"), {"text": "x"}])
 
     def client(prompt):
         answer = next(calls)
@@ -220,8 +230,14 @@ def test_generation(spark):
     assert generate.called(client, "p", 4, 8.0, waits.append) == {"text": "x"} and waits == [8.0, 16.0]
     with pytest.raises(RuntimeError):
         generate.http_client("http://127.0.0.1:9/none", "k", "m", timeout=1)("p")
-    usage = spark.createDataFrame([((0, 7, 3, 0),), ((None, None, 3, None),), (None,)], "usage struct<input_tokens:bigint,prompt_tokens:bigint,output_tokens:bigint,completion_tokens:bigint>")
-    assert [tuple(r) for r in usage.select(*generate.token_counts()).collect()] == [(7, 3), (None, None), (None, None)]
+    usage = [(0, 7, 3, 0), (None, None, 3, None), (0, None, 5, None), (5, None, None, None), (None, 0, 4, 2), (None,) * 4]
+    names = ("input_tokens", "prompt_tokens", "output_tokens", "completion_tokens")
+    rows = spark.createDataFrame([(u,) for u in usage] + [(None,)], "usage struct<input_tokens:bigint,prompt_tokens:bigint,output_tokens:bigint,completion_tokens:bigint>")
+    want = [generate.counted(dict(zip(names, u))) for u in usage] + [(None, None)]
+    assert [tuple(r) for r in rows.select(*generate.token_counts()).collect()] == want == [(7, 3), (None, 3), (None, 5), (5, None), (0, 4), (None, None), (None, None)]
+    odd = spark.createDataFrame([(("x", "4"),), (("3", "4"),)], "usage struct<input_tokens:string,output_tokens:string>")
+    assert [tuple(r) for r in odd.select(*generate.token_counts(have=("input_tokens", "output_tokens"))).collect()] == [(None, None), (3, 4)]
+    assert generate.counted({"input_tokens": "x", "output_tokens": 4}) == (None, None)
     out = spark.createDataFrame([(" x ", None), (None, [("m", [("output_text", "a"), ("other", "b"), ("output_text", "c")])])], "o string, p array<struct<type:string,content:array<struct<type:string,text:string>>>>")
     assert [r[0] for r in out.select(generate.output_text("o", "p")).collect()] == ["x", "a\nc"]
 
@@ -238,6 +254,63 @@ def test_trace(spark):
     assert lines[0] == "# Trace comparison" and "- Status: `parse_error`" in lines
 
 
+def test_traced_generation(spark):
+    anchors = spark.createDataFrame([("a", "cam home"), ("b", "fine")], "essay_id string, text string")
+    asked = spark.createDataFrame([("a", FAMILIES[0]), ("b", FAMILIES[1]), ("b", FAMILIES[1]), ("x", FAMILIES[0])], "anchor_id string, dialect_family string")
+    flow = Flow(INVENTORY, "{ANCHOR_RESPONSE} {OUTPUT_KEY}", "v1", lambda: lambda p: {"id": "1", "text": json.dumps({p.split()[-1]: "came home"})}, "m", ["essay_id"])
+    first = flow.traced(anchors, asked, limit=1)
+    assert [(r.trace_id, r.candidate_response, r.generation_status) for r in first.collect()] == [("a_Southern_American_English_trace", "came home", "needs_review_student_text_correction")]
+    both = flow.traced(anchors, asked, done=first)
+    assert sorted(r.anchor_id for r in both.collect()) == ["a", "b"] and flow.traced(anchors, asked.limit(0)).count() == 0
+    assert trace.read_answer("[1]")["error"] == "json_decode_error: parsed output is not an object" and trace.read_answer("x {y} z")["error"].startswith("json_decode_error after substring extraction: ")
+    bare = trace.with_corrections(first.withColumn("detected_student_corrections", F.array().cast("array<string>")), ["cam"])
+    assert bare.first().detected_student_corrections == ["cam -> came"]
+    keys = spark.createDataFrame([("Gulf-Coast (South)",), ("AAE",)], "f string").select(trace.output_key("f"))
+    assert [r[0] for r in keys.collect()] == ["gulf-coast_(south)_output", "aae_output"]
+
+
+def test_hot_anchor_retries_and_order(spark):
+    """One anchor holds half of all rows: numbers, selections and prompts stay right and prompts stay short."""
+    rows = [(f"c{k:03}", "hot" if k % 2 else f"a{k}", k, "word " * 12 + str(k), ["r"] if k == 99 else [], k != 99, k / 200) for k in range(200)]
+    df = spark.createDataFrame(rows, "candidate_id string, anchor_id string, candidate_index int, candidate_response string, rejection_reasons array<string>, passed_quality_filter boolean, quality_score double")
+    df = df.withColumn("student_text_corrections", F.array().cast("array<string>"))
+    jobs = df.select(F.col("candidate_id").alias("job_id"), "anchor_id", F.lit("f").alias("dialect_family"), "candidate_index", F.lit("v").alias("prompt_version"), F.lit("p").alias("generation_prompt"))
+    todo = records.to_retry(df, ["r"])
+    prompt = generate.retry_prompts(todo, jobs, df).first().generation_prompt
+    assert [int(x.split()[-1]) for x in prompt.split("\n") if x.startswith("- ")] == [91, 93, 95, 97, 101, 103, 105, 107]
+    assert generate.sibling_rows(todo, df).count() == 99
+    best = records.best_of_each(df, 2).where("anchor_id = 'hot'").collect()
+    assert sorted(r.selected_reason for r in best) == ["rank 1/99 for anchor hot", "rank 2/99 for anchor hot"] and {r.candidate_id for r in best} == {"c199", "c197"}
+    placed = order.numbered_in_turn(df.repartition(7), ["anchor_id"], ["candidate_index"], "i", "n").collect()
+    assert [r.n for r in sorted(placed, key=lambda r: r.candidate_index)] == list(range(200)) and sorted(r.i for r in placed if r.anchor_id == "hot") == list(range(100))
+    ties = spark.createDataFrame([("1", ["z", "a"]), ("2", ["a", "z"])], "candidate_id string, rejection_reasons array<string>").withColumn("passed_quality_filter", F.lit(False))
+    assert [tuple(r) for r in records.reason_tally(ties).collect()] == [("z", 2), ("a", 2)]
+
+
+def test_workers_need_no_source_folder(tmp_path):
+    """Spark started in another folder, with the package on the driver's path only."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from variantloom.functions.alignment import align
+from variantloom.operators import audit, generate, trace
+from variantloom.plans.fixture import offline_client
+print(spark.createDataFrame([("a b", "a c")], "x string, y string").select(align(F.col("x"), F.col("y"))["changed_words"]).first()[0])
+rows = spark.createDataFrame([("a", "c1", 1, "f", "one two", "one three"), ("a", "c2", 2, "f", "one two", "one four")], "anchor_id string, candidate_id string, candidate_index int, dialect_family string, anchor_response string, candidate_response string")
+rows = rows.withColumns({{"detected_features": F.array().cast("array<string>"), "feature_realization_count": F.lit(0), "rejection_reasons": F.array().cast("array<string>"), "passed_quality_filter": F.lit(True)}})
+print(audit.audit(rows).count(), trace.traced(spark.createDataFrame([("x", "f", "no")], "anchor_text string, dialect_family string, raw_output string")).first().generation_status)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=150)
+    assert out.stdout.split() == ["2", "2", "parse_error"], out.stderr[-2000:]
+
+
 def test_repair(spark):
     raw = spark.createDataFrame([("1", "over there now, right?", "x"), ("2", "fine", "fine")], "candidate_id string, candidate_response string, raw_output string")
     flags = spark.createDataFrame([("1", "over ther now", ["ther -> there"])], "candidate_id string, anchor_response string, student_text_corrections array<string>")

@@ -24,7 +24,10 @@ def test_jsonl(spark, tmp_path):
     (tmp_path / "in.jsonl").write_text('﻿{"a": 1}\n\n{"a": 2}\n')
     assert files.read_jsonl(spark, str(tmp_path / "in.jsonl"), "a int").count() == 2
     (tmp_path / "bad.jsonl").write_text('{"a": 1}\nnot json\n')
-    assert [r.line for r in files.bad_lines(spark, str(tmp_path / "bad.jsonl")).collect()] == ["not json"]
+    assert [(r.number, r.line) for r in files.bad_lines(spark, str(tmp_path / "bad.jsonl")).collect()] == [(2, "not json")]
+    with pytest.raises(ValueError, match="line 2"):
+        files.read_checked_jsonl(spark, str(tmp_path / "bad.jsonl"), "a int")
+    assert files.read_checked_jsonl(spark, str(tmp_path / "in.jsonl"), "a int").count() == 2
     with pytest.raises(Exception):
         files.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "a int").collect()
     assert files.page(spark.range(5).toDF("id"), 2, 2)[0].id == 2
