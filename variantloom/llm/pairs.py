@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from variantloom.llm.neardup import mix, runs_of
 from variantloom.llm.prefix import bounded_sample
 from variantloom.llm.textnorm import _KEY, INVISIBLE, base_form, comparison_words
-from variantloom.llm.truncation import EndModel, _read_model, cut_score, source_baselines
+from variantloom.llm.truncation import EndModel, read_model
 from variantloom.session import ship, small
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")

@@ -40,11 +40,13 @@ def shuffled(*columns: str, seed: int = 0) -> Column:
 
 
 def bounded_sample(df: DataFrame, size: int) -> list:
-    """At most ``size`` rows, those of least hash, so that the same rows give the same sample.
+    """At most ``size`` distinct rows, those of least hash, so that the same rows give the same sample and copies of one fill no more than its place.
 
-    A count sets a threshold on the hash first; each task then hands over its part of about 1.5 times
+    Rows are made distinct by their hash, which is aggregated before it is shuffled. A count of them sets a threshold on the hash first; each task then hands over its part of about 1.5 times
     ``size`` rows in all, not ``size`` rows of its own.
     """
-    n = df.count()
-    share = min(1.0, (1.5 * size + 50) / max(n, 1))
-    return [r[:-1] for r in df.withColumn("_at", shuffled(*df.columns, seed=11)).where(F.col("_at") <= share).orderBy("_at", *df.columns).limit(size).collect()]
+    placed = df.withColumn("_vl_at", shuffled(*df.columns, seed=11))
+    n = placed.select("_vl_at").agg(F.approx_count_distinct("_vl_at", 0.02)).first()[0]
+    share = min(1.0, (1.6 * size + 50) / max(n, 1))
+    few = placed.where(F.col("_vl_at") <= share).groupBy("_vl_at").agg(F.first(F.struct(*df.columns)).alias("_vl_row"))
+    return [tuple(r[1]) for r in few.orderBy("_vl_at").limit(size).collect()]

@@ -7,9 +7,12 @@ The form of a text, in this order:
    them;
 2. special spaces become U+0020, line and paragraph separators a line feed, special hyphens ``-``;
 3. compatibility forms and separate accents are composed (NFKC);
-4. look-alike letters: the dominant script of a token decides. In tokens that mix scripts, foreign letters
-   are replaced by their Latin look-alike when the result is a word of the corpus vocabulary. A token
-   wholly of look-alikes counts as mixed when the text around it is Latin.
+4. look-alike letters: the dominant script of a token decides. In a token that mixes scripts, letters of the
+   others are replaced by look-alikes of the dominant script (Latin, Cyrillic, Greek or Armenian) when the
+   result is a word of the corpus; else the token's next script is tried. Only tokens of one script are
+   corpus words. A token wholly of another script than the words on both its sides is no mixed token: it is
+   left alone as a quotation, unless it is one letter that looks like a word of one Latin letter, or the
+   same text also has it in Latin letters.
 
 Ordinary accented letters, curly quotes, dashes, emoji and ASCII white space are left alone; so are texts
 wholly in another script. A null text stays null, an empty one stays empty.
@@ -61,7 +64,7 @@ GREEK = {
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ά": "á", "έ": "é", "ί": "í", "ό": "ó", "ύ": "ú",
 }
 # Letters of other blocks.
-OTHERS = {"օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "ı": "i", "ɑ": "a", "ɡ": "g", "ǃ": "!"}
+OTHERS = {"օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "ı": "i", "ɑ": "a", "ɡ": "g"}
 
 LOOKALIKES = {**CYRILLIC, **GREEK, **OTHERS}
 FOLD = {ord(k): v for k, v in LOOKALIKES.items()}
@@ -74,8 +77,17 @@ _NEEDS = re.compile(_class((0x600, 0x8FF), (0x900, 0xDFF), (0x1000, 0x109F), (0x
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _FOREIGN = re.compile("[" + "".join(LOOKALIKES) + "]")
 #: Letters outside Latin, Greek, Cyrillic and Armenian never take part in look-alike repair.
-_LATIN = re.compile("[A-Za-z" + _class((0xC0, 0x24F), (0x1E00, 0x1EFF))[1:])
-_OTHER_LETTER = re.compile(_class((0x370, 0x58F)))
+_SCRIPTS = {
+    "Latin": re.compile("[A-Za-z" + _class((0xC0, 0x24F), (0x250, 0x2AF), (0x1E00, 0x1EFF))[1:]), "Greek": re.compile(_class((0x370, 0x3FF), (0x1F00, 0x1FFF))),
+    "Cyrillic": re.compile(_class((0x400, 0x52F))), "Armenian": re.compile(_class((0x530, 0x58F))),
+}
+_LATIN = _SCRIPTS["Latin"]
+_OTHER_LETTER = re.compile(_class((0x370, 0x58F), (0x1F00, 0x1FFF)))
+#: Of each script but Latin, its letter for a Latin one; the first that the tables name.
+_INTO = {name: {v: k for k, v in reversed(table.items())} for name, table in (("Cyrillic", CYRILLIC), ("Greek", GREEK), ("Armenian", {k: v for k, v in OTHERS.items() if "\u0530" <= k <= "\u058f"}))}
+# Greek letters that resemble a Latin one without looking the same; alone they stay.
+_UNLIKE = set("αεηικντυχγωρ")
+_OPEN, _CLOSE = set("\"'«“‘„([<*_`"), set("\"'»”’“)]>*_`")
 
 
 def _joiner(m: re.Match) -> str:
@@ -105,28 +117,67 @@ _ODD = re.compile("[" + re.escape("".join(map(chr, _FIRST))) + "]")
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1b\x7f]")
 
 
-def suspects(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and Latin reading of each token of a base form whose look-alikes may have to be replaced."""
+def _script(c: str) -> str | None:
+    return next((name for name, letters in _SCRIPTS.items() if letters.match(c)), None)
+
+
+def _written_in(token: str, script: str) -> str | None:
+    """The token with every letter in one script; None if a letter has no look-alike there."""
+    out = []
+    for c in token:
+        if not c.isalpha() or _script(c) == script and not (script == "Latin" and c in FOLD_LATIN):
+            out.append(c)
+            continue
+        latin = LOOKALIKES.get(c, c)
+        other = latin if script == "Latin" else _INTO[script].get(latin)
+        if other is None or script == "Latin" and not _LATIN.match(other):
+            return None
+        out.append(other)
+    return "".join(out)
+
+
+#: Letters of Latin blocks that are look-alikes of others.
+FOLD_LATIN = {c for c in OTHERS if _LATIN.match(c)}
+
+
+def suspects(text: str) -> list[tuple[int, int, list[str]]]:
+    """Start, end and readings, the likeliest first, of each token of a base form whose look-alikes may have to be replaced."""
     if text.isascii() or not _FOREIGN.search(text):
         return []
-    latin_text = len(_LATIN.findall(text)) >= len(_OTHER_LETTER.findall(text))
-    out = []
-    for m in _TOKEN.finditer(text):
+    tokens, out = list(_TOKEN.finditer(text)), []
+    plain = None
+    for k, m in enumerate(tokens):
         token = m.group()
         if token.isascii() or not _FOREIGN.search(token):
             continue
-        mixed = bool(_LATIN.search(token)) or latin_text
-        read = token.translate(FOLD)
-        if mixed and not _OTHER_LETTER.search(read):
-            out.append((m.start(), m.end(), read))
+        count = Counter("lookalike" if c in FOLD_LATIN else _script(c) for c in token if c.isalpha())
+        if None in count:
+            continue
+        if len(count) > 1:
+            order = sorted((name for name in count if name != "lookalike"), key=lambda n: (-count[n], n != "Latin"))
+            readings = [r for r in (_written_in(token, name) for name in order) if r and r != token]
+        else:
+            if text[m.start() - 1 : m.start()] in _OPEN and text[m.end() : m.end() + 1] in _CLOSE and m.start() and m.end() < len(text):
+                continue  # in marks of its own
+            if "lookalike" not in count and not all(t is None or _LATIN.match(t.group()[0]) for t in (tokens[k - 1] if k else None, tokens[k + 1] if k + 1 < len(tokens) else None)):
+                continue
+            readings = [r for r in [_written_in(token, "Latin")] if r]
+            if len(token) == 1 and "lookalike" not in count:
+                readings = [] if token in _UNLIKE or len(tokens) < 2 else readings
+            elif readings:
+                plain = plain if plain is not None else {t.group().lower() for t in tokens if t.group().isascii()}
+                readings = [r for r in readings if r.lower() in plain]
+        if readings:
+            out.append((m.start(), m.end(), readings))
     return out
 
 
 def repaired(text: str, words: set[str]) -> str:
-    """Step 4 on a base form; ``words`` holds the lower-case Latin readings that are corpus words."""
-    found = [s for s in suspects(text) if s[2].lower() in words]
-    for start, end, read in reversed(found):
-        text = text[:start] + read + text[end:]
+    """Step 4 on a base form; ``words`` holds the lower-case readings that are corpus words."""
+    for start, end, readings in reversed(suspects(text)):
+        read = next((r for r in readings if r.lower() in words), None)
+        if read:
+            text = text[:start] + read + text[end:]
     return text
 
 
@@ -148,10 +199,10 @@ def comparison_words(text: str) -> list[str]:
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Base form and Latin readings of suspect tokens of each text."""
+    """Base form and readings of suspect tokens of each text."""
     for batch in batches:
         base = [None if t is None else base_form(t) for t in batch.column("_t").to_pylist()]
-        words = [sorted({x[2].lower() for x in suspects(b)}) if b else [] for b in base]
+        words = [sorted({r.lower() for x in suspects(b) for r in x[2]}) if b else [] for b in base]
         yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_t"), pa.array(base, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["_k", "_t", "_b", "_w"])
 
 
@@ -167,7 +218,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for t in batch.column(0).to_pylist():
             if t:
-                count.update(_TOKEN.findall(t.lower()))
+                count.update(_TOKEN.findall(t.lower()) if t.isascii() else [w for w in _TOKEN.findall(t.lower()) if w.isascii() or len({_script(c) for c in w if c.isalpha()}) == 1])
         if len(count) > 200_000:
             yield flush()
     yield flush()

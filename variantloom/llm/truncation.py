@@ -1,45 +1,49 @@
 """Texts that were cut off, and how often each source cuts.
 
-Three kinds of evidence meet in one log-odds score:
-
-1. A stack automaton walks over the whole text and keeps what it opened: quotes, brackets, tags, code fences,
-   JSON strings; at the end it says what stayed open, whether the text ends in a broken byte sequence, a
-   dangling escape or entity, a lone hyphen, or a mark such as ``[cut]``, and whether a terminator was seen.
-2. Where the terminator is missing, the last sentence is judged by a logistic model on its words: whether
-   sentences that begin and run like this one end after these words. The model is fitted here, on terminated
-   sentences of ``SAMPLE`` texts (the rows of least hash), cut at places inside them (negative) and left
-   whole (positive).
-3. Tokens spent: a source's usual tokens per character come from all of its terminated texts; an answer that
-   cost far more than its characters explain was longer before.
-
-The prior of (2) is the source's own baseline: the share of its texts without a terminator.
-Null, empty and blank texts are no cases; a terminated text is none, nor one that ends in an ellipsis.
+1. A stack automaton walks over every text to its end and keeps what it opened: quotes, brackets, markup tags,
+   code fences and, in a text that begins as JSON, its objects, lists and strings with their escapes. At the
+   end it says what stayed open, whether the text ends in a broken byte sequence, a half-written escape,
+   entity or tag, a lone hyphen, or a mark such as ``[cut]``, and whether a terminator was seen. A broken end
+   or a cut mark decides alone.
+2. What an open structure of a kind, or a terminator, says is measured: texts of a sample are cut at random
+   places, and the shares of cut and of whole texts that show it give a log-odds weight.
+3. Where the terminator is missing the automaton cannot tell a bare end from a cut, so the last sentence is
+   read by a model of where sentences end: whether sentences that run like this one end after these words. It
+   is fitted on the same sample's sentences, whole and cut; its vocabulary comes from all texts.
+4. Tokens spent: a source's usual tokens per character, and how they scatter, come from all of its terminated
+   texts; an answer that cost more than its characters explain was longer before.
+5. The baseline of a source decides: how often its texts lack a terminator and, by expectation-maximisation
+   over the evidence of all of its bare texts, which share of these was cut. A text is cut off if its evidence
+   exceeds the odds of its source.
+
+Null, blank and placeholder texts (:mod:`variantloom.llm.blank`) are no cases.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from variantloom.llm.blank import is_empty
 from variantloom.llm.prefix import bounded_sample
 from variantloom.llm.textnorm import INVISIBLE, base_form, folded
-from variantloom.session import ship, small
+from variantloom.session import cut, ship, small
 
-#: Upper bound of the sample the sentence model is fitted on.
-SAMPLE = 6000
+#: Upper bounds of the sample and of the vocabulary the sentence model is fitted with (words by their number of occurrences in all texts).
+SAMPLE, VOCABULARY = 6000, 100_000
 DIMENSIONS = 1 << 18
-#: Fewer words are no answer. Share of bare texts at which the baseline of a source shifts nothing.
-LEAST_WORDS, USUAL_BARE = 4, 0.07
-#: Words of a sentence that are looked at, its last ones.
-REACH = 28
-#: Log-odds added where the tokens spent are known (before what exceeds the usual is added), and where they are not.
-USUAL_TOKENS, NO_TOKENS = -1.6, 0.5
+#: Share of cut answers whose tokens are those of the whole answer, for the weight of tokens spent.
+TELLING = 0.9
+#: Evidence is counted in steps of a quarter between these bounds for the baselines.
+LEAST, MOST, STEPS = -20.0, 20.0, 4
 
 # What ends a text that was complete, and marks that follow an ending.
 TERMINATORS = ".!?…。！？؟।．"
@@ -53,27 +57,65 @@ _SENTENCE = re.compile(r"[.!?…．]+[\"'”’»)\]]*(?=\s|$)|\n{2,}")
 _EMOJI = re.compile("[" + chr(0x2190) + "-" + chr(0x2BFF) + chr(0x1F000) + "-" + chr(0x1FAFF) + chr(0xFE0F) + "]$")
 
 
-def automaton(text: str) -> list[str]:
-    """What stays open or broken at the end of a text, in order of opening, and ``terminated`` or ``bare``."""
+_PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+_MARKS = re.compile(r"```|</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>|[()\[\]{}“”«»\"]")
+_JSON = re.compile(r'\\.|["{}\[\]]', re.S)
+# Tags that have no end tag.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr p li td tr th".split())
+
+
+def _close(stack: list[str], mark: str) -> None:
+    if mark in stack:
+        while stack.pop() != mark:
+            pass
+
+
+def _json_stack(text: str) -> list[str]:
+    """Objects, lists and a string of JSON that stay open; escapes inside strings are passed over."""
     stack: list[str] = []
-    pairs = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
-    fence = text.count("```") % 2
-    for m in _OPENERS.finditer(text):
+    for m in _JSON.finditer(text):
         c = m.group()
-        if c in "([{“«":
-            stack.append(c)
-        elif c in pairs:
-            if pairs[c] in stack:
-                while stack.pop() != pairs[c]:
-                    pass
+        if stack[-1:] == ["json string"]:
+            if c == '"':
+                stack.pop()
         elif c == '"':
-            if '"' in stack:
-                while stack.pop() != '"':
-                    pass
-            elif _opens_quote(text, m.start()):
-                stack.append('"')
-    if fence:
-        stack.append("```")
+            stack.append("json string")
+        elif c in "{[":
+            stack.append(c)
+        elif c in "}]":
+            _close(stack, _PAIRS[c])
+    return stack
+
+
+def _text_stack(text: str) -> list[str]:
+    stack: list[str] = []
+    for m in _MARKS.finditer(text):
+        c = m.group()
+        if c == "```":
+            _close(stack, c) if c in stack else stack.append(c)
+        elif "```" in stack:
+            continue  # code is not read
+        elif c[0] == "<":
+            name = re.match(r"</?([A-Za-z0-9-]+)", c).group(1).lower()
+            if c[1] == "/":
+                _close(stack, f"<{name}>")
+            elif name not in VOID and not c.endswith("/>"):
+                stack.append(f"<{name}>")
+        elif c in "([{“«":
+            stack.append(c)
+        elif c in _PAIRS:
+            _close(stack, _PAIRS[c])
+        elif '"' in stack:
+            _close(stack, c)
+        elif _opens_quote(text, m.start()):
+            stack.append(c)
+    return stack
+
+
+def automaton(text: str) -> list[str]:
+    """What stays open at the end of a text, in order of opening, and how it ends: ``cut mark``, ``broken``, ``dangling``, ``terminated`` or ``bare``."""
+    begin = text.lstrip()[:1]
+    stack = _json_stack(text) if begin == "{" or begin == "[" and text.lstrip()[1:2] in '"{[' and len(text.lstrip()) > 1 else _text_stack(text)
     end = text.rstrip()
     if CUT_MARK.search(end):
         return [*stack, "cut mark"]
@@ -87,9 +129,13 @@ def automaton(text: str) -> list[str]:
     return [*stack, "bare"]
 
 
-#: Ends that need no second look, for the JVM: a terminator or an emoji, then white space or invisible characters.
-PLAIN_END = "[.!?" + chr(0xFF0E) + chr(0xFF01) + chr(0xFF1F) + r"\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}][\s" + INVISIBLE + r"]*$"
-_OPENERS = re.compile("[()\\[\\]{}“”«»\"]")
+#: A terminator or an emoji, then white space, closers or invisible characters: for baselines in the JVM.
+PLAIN_END = "[.!?" + chr(0xFF0E) + chr(0xFF01) + chr(0xFF1F) + r"\x{2026}\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}][\s\"')\]" + chr(0x201D) + chr(0x2019) + INVISIBLE + r"]*$"
+KINDS = ("(", "[", "{", "“", "«", '"', "```", "<>", "json string")
+
+
+def _kind(mark: str) -> str:
+    return "<>" if mark[0] == "<" else mark
 
 
 def _opens_quote(text: str, at: int) -> bool:
@@ -111,10 +157,11 @@ def sentences(text: str) -> tuple[list[list[str]], list[str], bool]:
 class EndModel:
     """P(a sentence ends here) from its words so far: hashed features, logistic regression, fitted by Adagrad."""
 
-    def __init__(self, texts: list[str], rounds: int = 4, seed: int = 7):
+    def __init__(self, texts: list[str], words: dict[str, int] | None = None, rounds: int = 4, seed: int = 7):
+        """``words`` counts those of all texts, by default of the sample."""
         rng = np.random.default_rng(seed)
         split = [sentences(t)[0] for t in texts]
-        count = Counter(w for s in split for x in s for w in x)
+        count = Counter(words if words is not None else (w for s in split for x in s for w in x))
         self.vocabulary = {w for w, n in count.items() if n >= 3}
         self.prefixes = {w[:k] for w in self.vocabulary for k in range(1, len(w))}
         self.spelling: dict[str, str] = {}
@@ -151,7 +198,6 @@ class EndModel:
         return other if other and abs(len(other) - len(word)) <= 1 else word
 
     def features(self, words: list[str]) -> list[int]:
-        words = words[-REACH:]
         w = ["", "", "", *words[:-3], *(self.read(x) for x in words[-3:])]
         a, b, c = w[-3], w[-2], w[-1]
         known = c in self.vocabulary
@@ -202,70 +248,139 @@ def plain(text: str) -> str:
     return folded(base_form(text))
 
 
-def _read_model(sample: DataFrame, text: str, size: int) -> EndModel:
-    """Fit the sentence model on the ``size`` terminated texts of least hash."""
-    rows = bounded_sample(sample.where(F.col(text).rlike(r"[.!?]\s*$")).select(text), size)
-    return EndModel([plain(r[0]) for r in rows])
-
-
-def cut_score(model: EndModel, text: str, tokens: float | None, usual: float | None, bare: float | None) -> float:
-    """Log-odds of a text being cut off; -inf for what is no case. ``usual``: tokens per character of the source; ``bare``: its share of texts without a terminator."""
-    if text.rstrip()[-1:] in (".", "!", "?"):  # what the automaton would find
-        return float("-inf")
-    text = plain(text)
-    state = automaton(text)
-    if len(_WORD.findall(text)) < LEAST_WORDS:
-        return float("-inf")
-    if state[-1] in ("cut mark", "broken", "dangling"):
-        return 20.0
-    if state[-1] == "terminated":
-        return float("-inf")
-    rest = sentences(text)[1]
-    if not rest:
-        return float("-inf")
-    score = -model.log_odds(rest) + 2.0 * (len(state) > 1)
-    if tokens and usual:
-        score += USUAL_TOKENS + min(7.0, 40 * max(0.0, tokens / len(text) / usual - 1.12))
-    else:
-        score += NO_TOKENS
-    if bare:
-        score += min(1.0, max(-1.0, 0.5 * np.log(USUAL_BARE / bare)))
-    return score
+class Evidence:
+    """Log-odds of a text being cut off against being whole, before the odds of its source."""
+
+    def __init__(self, texts: list[str], words: dict[str, int] | None = None, seed: int = 5):
+        self.ends = EndModel(texts, words)
+        rng = np.random.default_rng(seed)
+        whole, cut, ended = Counter(), Counter(), 0
+        for t in texts:
+            whole.update({_kind(k) for k in automaton(t)[:-1]})
+            part = automaton(t[: int(len(t) * rng.uniform(0.1, 0.97))])
+            cut.update({_kind(k) for k in part[:-1]})
+            ended += part[-1] == "terminated"
+        n = len(texts) + 20  # 20 made-up texts, of which one cut one and next to no whole one shows a kind
+        self.open = {k: float(np.log((cut[k] + 1) / n) - np.log((whole[k] + 0.02) / n)) for k in KINDS}
+        self.ended = float(np.log((ended + 1) / n))
+        self.shares = np.linspace(0.2, 0.97, 40)
+
+    def of_tokens(self, tokens: float | None, length: int, usual: float | None, scatter: float | None) -> float:
+        """What tokens say, given the usual log of tokens per character of the source and its scatter."""
+        if not tokens or tokens <= 0 or usual is None or not length:
+            return 0.0
+        z = np.log(tokens / length) - usual
+        s = max(scatter or 0.0, 0.02)
+        # cut at a share f of its characters the answer has 1/f times the tokens per character
+        far = np.exp(-np.minimum(700, ((z + np.log(self.shares)) / s) ** 2 / 2)).mean()
+        near = np.exp(-min(700.0, (z / s) ** 2 / 2))
+        return float(np.log(TELLING * far + (1 - TELLING) * near + 1e-12) - np.log(near + 1e-12))
+
+    def of(self, text: str | None, tokens: float | None = None, usual: float | None = None, scatter: float | None = None) -> tuple[float, bool]:
+        """The evidence, and whether the text ends without a terminator; -inf for what is no case."""
+        if text is None or is_empty(text):
+            return float("-inf"), False
+        text = plain(text)
+        state = automaton(text)
+        if state[-1] in ("cut mark", "broken", "dangling"):
+            return MOST, True
+        score = sum(self.open[k] for k in {_kind(k) for k in state[:-1]})
+        if state[-1] == "terminated":
+            return score + self.ended + min(0.0, self.of_tokens(tokens, len(text), usual, scatter)), False
+        rest = sentences(text)[1]
+        if not rest:
+            return score + self.ended, False
+        # two cuts were fitted on for each whole sentence
+        return score - self.ends.log_odds(rest) - float(np.log(2)) + self.of_tokens(tokens, len(text), usual, scatter), True
 
 
 def _ended() -> Column:
     return F.coalesce(F.col("_t").rlike(PLAIN_END), F.lit(True))
 
 
-def source_baselines(rows: DataFrame) -> DataFrame:
-    """Of each source of rows ``_s``, ``_t`` (text), ``_n`` (tokens): ``_usual`` tokens per character of its terminated texts and ``_bare``, the share of its texts without a terminator."""
-    per = F.col("_n") / F.length("_t")
-    return rows.groupBy(F.col("_s").alias("_source")).agg(
-        F.percentile_approx(F.when(_ended() & (F.length("_t") >= 100) & (per > 0), per), 0.5, 1000).alias("_usual"),
-        F.try_divide(F.count_if(~_ended()), F.count_if(F.col("_t").isNotNull())).alias("_bare"),
-    )
+def read_model(rows: DataFrame, size: int = SAMPLE, words: int = VOCABULARY) -> Evidence:
+    """The model of rows with a text ``_t``: fitted on ``size`` distinct terminated texts, its vocabulary the ``words`` most frequent ones of all texts."""
+    sample = bounded_sample(rows.where(F.col("_t").rlike(r"[.!?]\s*$")).select("_t"), size)
+    counts = rows.select("_t").mapInArrow(_words, "_word string, _n bigint").groupBy("_word").agg(F.sum("_n").alias("_n")).where("_n >= 3")
+    known = dict(tuple(r) for r in counts.orderBy(F.desc("_n"), "_word").limit(words).collect())
+    return Evidence([plain(r[0]) for r in sample], known or None)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a partition as the sentence model reads them, with their counts, handed on whenever there are many."""
+    count: Counter[str] = Counter()
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["_word", "_n"])
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            if t:
+                count.update(_WORD.findall((t if t.isascii() else plain(t)).lower()))
+        if len(count) > 200_000:
+            yield flush()
+            count = Counter()
+    yield flush()
+
+
+def source_tokens(rows: DataFrame) -> DataFrame:
+    """Of each source of rows ``_s``, ``_t`` (text), ``_n`` (tokens): ``_usual`` (log of tokens per character of its terminated texts, the median) and ``_scatter`` (half of the middle two thirds)."""
+    per = F.log(F.col("_n") / F.length("_t"))
+    at = F.percentile_approx(F.when(_ended() & (F.length("_t") >= 100) & (F.col("_n") > 0), per), F.array(F.lit(1 / 6), F.lit(0.5), F.lit(5 / 6)), F.lit(1000))
+    return rows.groupBy(F.col("_s").alias("_source")).agg(at.alias("_q")).select("_source", F.col("_q")[1].alias("_usual"), ((F.col("_q")[2] - F.col("_q")[0]) / 2).alias("_scatter"))
+
+
+def weighed(rows: DataFrame, model: Evidence) -> DataFrame:
+    """``_k``, ``_s``, ``_e`` (evidence) and ``_bare`` of every row of ``_k``, ``_s``, ``_t``, ``_n``; the model is a broadcast whose size its sample bounds."""
+    told = rows.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(t: pd.Series, n: pd.Series, usual: pd.Series, scatter: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([told.value.of(*x) for x in zip(t, *(v.astype(object).where(v.notna(), None) for v in (n, usual, scatter)))], columns=["e", "bare"])
+
+    sources = small(source_tokens(rows))
+    both = rows.join(sources, F.col("_s").eqNullSafe(F.col("_source"))).withColumn("_w", F.pandas_udf(weigh, "e double, bare boolean")("_t", "_n", "_usual", "_scatter"))
+    return both.select("_k", "_s", F.col("_w.e").alias("_e"), F.col("_w.bare").alias("_bare"))
+
+
+def baselines(evidence: DataFrame) -> DataFrame:
+    """Of each source: ``_odds`` of a bare text having been cut, and ``_ended_odds`` of a terminated one, as logs.
+
+    Evidence is counted in steps over all rows, at most 161 counts a source; the share of cut texts among a
+    source's bare ones is where expectation-maximisation from one half ends.
+    """
+    step = F.round(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), "_e")) * STEPS).cast("int")
+    counts = evidence.where(F.col("_e") > float("-inf")).groupBy("_s", "_bare", step.alias("_step")).agg(F.count("*").alias("_n"))
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        bare = group[group["_bare"]]
+        e, n, share = bare["_step"].to_numpy() / STEPS, bare["_n"].to_numpy().astype(float), 0.5
+        for _ in range(500):
+            odds = np.log(share / (1 - share))
+            after = (float((n / (1 + np.exp(-np.clip(e + odds, -500, 500)))).sum()) + 0.5) / (n.sum() + 1)
+            after = min(1 - 1e-9, max(1e-9, after))
+            done, share = abs(after - share) < 1e-9, after
+            if done:
+                break
+        every = share * n.sum() / max(1.0, group["_n"].sum())
+        every = min(1 - 1e-9, max(1e-9, every))
+        return pd.DataFrame({"_source": [group["_s"].iloc[0]], "_odds": [np.log(share / (1 - share))], "_ended_odds": [np.log(every / (1 - every))]})
+
+    kind = evidence.schema["_s"].dataType.simpleString()
+    return small(counts.groupBy("_s").applyInPandas(settle, f"_source {kind}, _odds double, _ended_odds double"))
+
+
+def decided() -> Column:
+    return F.coalesce(F.col("_e") + F.when(F.col("_bare"), F.col("_odds")).otherwise(F.col("_ended_odds")) > 0, F.lit(False))
 
 
 def judged(df: DataFrame, key: str = "candidate_id", text: str = "candidate_response", source: str = "model", tokens: Column | None = None, size: int = SAMPLE) -> DataFrame:
     """``key``, ``source`` and ``cut`` (boolean) of every row.
 
-    Texts with a plain terminator are settled in the JVM. Each source's usual tokens per character and its
-    share of bare texts come from all of its rows, with partial aggregation. Only bare texts reach Python,
-    with the model as a broadcast whose size is bounded by the sample.
+    Every text is walked over once; its evidence, a narrow row, is written, and the sources' baselines over
+    all of it decide. Rows whose text is null, blank or a placeholder are no cases.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(text).alias("_t"), (F.lit(None).cast("double") if tokens is None else tokens.cast("double")).alias("_n"))
-    rows = rows.withColumn("_ended", _ended())
-    sources = small(source_baselines(rows))
-    model = df.sparkSession.sparkContext.broadcast(_read_model(df, text, size))
-
-    def scores(t: pd.Series, n: pd.Series, usual: pd.Series, bare: pd.Series) -> pd.Series:
-        return pd.Series([cut_score(model.value, *x) > 0 for x in zip(t, *(v.astype(object).where(v.notna(), None) for v in (n, usual, bare)))])
-
-    bare = rows.where(~F.col("_ended")).join(sources, F.col("_s").eqNullSafe(F.col("_source")))
-    bare = bare.withColumn("cut", F.pandas_udf(scores, "boolean")("_t", "_n", "_usual", "_bare"))
-    out = rows.where("_ended").select("_k", "_s", F.lit(False).alias("cut")).unionByName(bare.select("_k", "_s", "cut"))
-    return out.withColumnsRenamed({"_k": key, "_s": source})
+    evidence = cut(weighed(rows, read_model(rows, size)))
+    out = evidence.join(baselines(evidence), F.col("_s").eqNullSafe(F.col("_source")), "left").withColumn("cut", decided())
+    return out.select(F.col("_k").alias(key), F.col("_s").alias(source), "cut")
 
 
 def report(df: DataFrame, key: str = "candidate_id", text: str = "candidate_response", source: str = "model", tokens: Column | None = None) -> DataFrame:
