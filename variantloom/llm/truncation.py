@@ -11,7 +11,8 @@
    read by a model of where sentences end: whether sentences that run like this one end after these words. It
    is fitted on the same sample's sentences, whole and cut; its vocabulary comes from all texts.
 4. Tokens spent: a source's usual tokens per character, and how they scatter, come from all of its terminated
-   texts; an answer that cost more than its characters explain was longer before.
+   texts; an answer that cost more than its characters explain was longer before. Numbers of tokens at which a
+   source's texts lack a terminator far more often than its others are limits of the source.
 5. The baseline of a source decides: how often its texts lack a terminator and, by expectation-maximisation
    over the evidence of all of its bare texts, which share of these was cut. A text is cut off if its evidence
    exceeds the odds of its source.
@@ -41,9 +42,11 @@ from variantloom.session import cut, ship, small
 SAMPLE, VOCABULARY = 6000, 100_000
 DIMENSIONS = 1 << 18
 #: Share of cut answers whose tokens are those of the whole answer, for the weight of tokens spent.
-TELLING = 0.9
+TELLING = 0.6
 #: Evidence is counted in steps of a quarter between these bounds for the baselines.
 LEAST, MOST, STEPS = -20.0, 20.0, 4
+#: Bare texts of a source with the same number of tokens from which on the number may be a limit.
+LIMIT_ROWS = 10
 
 # What ends a text that was complete, and marks that follow an ending.
 TERMINATORS = ".!?…。！？؟।．"
@@ -276,8 +279,8 @@ class Evidence:
         near = np.exp(-min(700.0, (z / s) ** 2 / 2))
         return float(np.log(TELLING * far + (1 - TELLING) * near + 1e-12) - np.log(near + 1e-12))
 
-    def of(self, text: str | None, tokens: float | None = None, usual: float | None = None, scatter: float | None = None) -> tuple[float, bool]:
-        """The evidence, and whether the text ends without a terminator; -inf for what is no case."""
+    def of(self, text: str | None, tokens: float | None = None, usual: float | None = None, scatter: float | None = None, limit: float | None = None) -> tuple[float, bool]:
+        """The evidence, ``limit`` being that of the number of tokens as a limit, and whether the text ends without a terminator; -inf for what is no case."""
         if text is None or is_empty(text):
             return float("-inf"), False
         text = plain(text)
@@ -291,7 +294,7 @@ class Evidence:
         if not rest:
             return score + self.ended, False
         # two cuts were fitted on for each whole sentence
-        return score - self.ends.log_odds(rest) - float(np.log(2)) + self.of_tokens(tokens, len(text), usual, scatter), True
+        return score - self.ends.log_odds(rest) - float(np.log(2)) + max(limit or LEAST, self.of_tokens(tokens, len(text), usual, scatter)), True
 
 
 def _ended() -> Column:
@@ -327,15 +330,30 @@ def source_tokens(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("_s").alias("_source")).agg(at.alias("_q")).select("_source", F.col("_q")[1].alias("_usual"), ((F.col("_q")[2] - F.col("_q")[0]) / 2).alias("_scatter"))
 
 
+def source_limits(rows: DataFrame) -> DataFrame:
+    """Numbers of tokens (``_tokens`` of ``_source``) whose texts are bare more often than the source's: the log ratio of odds, ``_limit``."""
+    counts = rows.where("_n > 0").groupBy(F.col("_s").alias("_source"), F.col("_n").alias("_tokens")).agg(F.count_if(~_ended()).alias("_bare"), F.count_if(_ended()).alias("_whole"))
+    every = counts.groupBy("_source").agg(F.sum("_bare").alias("_b"), F.sum("_whole").alias("_w")).withColumnRenamed("_source", "_every")
+    odds = F.log((F.col("_bare") + 1) / (F.col("_whole") + 1)) - F.log((F.col("_b") + 1) / (F.col("_w") + 1))
+    found = counts.where(F.col("_bare") >= LIMIT_ROWS).join(every, F.col("_source").eqNullSafe(F.col("_every"))).withColumn("_limit", odds)
+    return found.where("_limit > 0").select("_source", "_tokens", "_limit")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with what their sources' tokens say: ``_usual``, ``_scatter`` and ``_limit``."""
+    usual, limits = small(source_tokens(rows)), small(source_limits(rows)).withColumnRenamed("_source", "_bound")
+    both = rows.join(usual, F.col("_s").eqNullSafe(F.col("_source")), "left")
+    return both.join(limits, F.col("_s").eqNullSafe(F.col("_bound")) & (F.col("_n") == F.col("_tokens")), "left").drop("_source", "_bound", "_tokens")
+
+
 def weighed(rows: DataFrame, model: Evidence) -> DataFrame:
     """``_k``, ``_s``, ``_e`` (evidence) and ``_bare`` of every row of ``_k``, ``_s``, ``_t``, ``_n``; the model is a broadcast whose size its sample bounds."""
     told = rows.sparkSession.sparkContext.broadcast(model)
 
-    def weigh(t: pd.Series, n: pd.Series, usual: pd.Series, scatter: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([told.value.of(*x) for x in zip(t, *(v.astype(object).where(v.notna(), None) for v in (n, usual, scatter)))], columns=["e", "bare"])
+    def weigh(t: pd.Series, n: pd.Series, usual: pd.Series, scatter: pd.Series, limit: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([told.value.of(*x) for x in zip(t, *(v.astype(object).where(v.notna(), None) for v in (n, usual, scatter, limit)))], columns=["e", "bare"])
 
-    sources = small(source_tokens(rows))
-    both = rows.join(sources, F.col("_s").eqNullSafe(F.col("_source"))).withColumn("_w", F.pandas_udf(weigh, "e double, bare boolean")("_t", "_n", "_usual", "_scatter"))
+    both = placed(rows).withColumn("_w", F.pandas_udf(weigh, "e double, bare boolean")("_t", "_n", "_usual", "_scatter", "_limit"))
     return both.select("_k", "_s", F.col("_w.e").alias("_e"), F.col("_w.bare").alias("_bare"))
 
 
