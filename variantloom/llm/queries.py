@@ -54,18 +54,19 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _defects(spark: SparkSession, folder: str) -> DataFrame:
+    """One defect, or none, of each candidate; of copies of a record that differ the defective one counts."""
     candidates = _table(spark, folder, "candidates")
-    return pairs.judged(candidates, _table(spark, folder, "prompt_jobs"), _spent(candidates))
+    return pairs.judged(candidates, _table(spark, folder, "prompt_jobs"), _spent(candidates)).groupBy("candidate_id").agg(F.max("defect").alias("defect"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Defective pairs of prompt and response, each with its defect."""
-    return _defects(spark, folder).where("defect is not null").distinct()
+    return _defects(spark, folder).where("defect is not null")
 
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct candidates by defect; null for sound pairs."""
-    return _defects(spark, folder).distinct().groupBy("defect").agg(F.count("*").alias("n"))
+    return _defects(spark, folder).groupBy("defect").agg(F.count("*").alias("n"))
 
 
 def _sampled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -114,13 +115,18 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_levels(spark, folder).where("level = 4").select("doc_id").distinct()
 
 
+def p8_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest move of a score in each round of the propagation."""
+    return spark.createDataFrame(reading.harmonic(_table(spark, folder, "documents"), _table(spark, folder, "reading_labels"))[1], "round int, largest_move double")
+
+
 def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Levels by source."""
     documents = _table(spark, folder, "documents").withColumn("source", mixing.source_key("source"))
     return reading.profile(p8_levels(spark, folder), documents)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_sources, p2_found, p2_groups, p3_found, p3_counts, p4_found, p4_report, p4_sample, p5_found, p5_consistent, p6_ids, p7_found, p7_report, p7_mix, p8_found, p8_levels, p8_profile)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_sources, p2_found, p2_groups, p3_found, p3_counts, p4_found, p4_report, p4_sample, p5_found, p5_consistent, p6_ids, p7_found, p7_report, p7_mix, p8_found, p8_levels, p8_rounds, p8_profile)}
 _CELLS = r"""WITH d AS (SELECT regexp_replace(lower(dataset), '[\s_-]+', '', 'g') AS k, min(dataset) AS dataset FROM dart_anchor_summary GROUP BY 1),
 b AS (SELECT DISTINCT upper(trim(score_band)) AS k, score_band FROM dart_anchor_summary),
 f AS (SELECT regexp_replace(lower(x), '[\s_-]+', '', 'g') AS k, min(dialect_family) AS dialect_family FROM (SELECT dialect_family, unnest([part, regexp_replace(part, '\s+english$', '', 'i'), regexp_replace(part, '(\s+american)?\s+english$', '', 'i')]) AS x
