@@ -1,8 +1,9 @@
 """Near-duplicate texts by Jaccard similarity of their word runs, over a collection of any size.
 
 1. Every text becomes lower-case words under which look-alikes, accents' spelling and invisible characters
-   make no difference (:func:`variantloom.llm.textnorm.comparison_words`). Texts with the same words form a
-   *class*; only classes are compared, so a text handed in a million times costs one comparison.
+   make no difference (:func:`variantloom.llm.textnorm.comparison_words`). Texts with the same words (by 128
+   bits of hash) form a *class*; only classes are compared, so a text handed in a million times costs one
+   comparison.
 2. Each class gets a fast similarity sketch of ``T`` coordinates: in round i every word run is hashed to one
    bin and the smallest hash stays in each bin that earlier rounds left empty; after ``T`` such rounds, round
    T + j puts every run into bin j, so that all coordinates are filled. Two sketches agree in each coordinate
@@ -13,8 +14,9 @@
 4. A candidate stays if the one-bit sketches of both agree in ``AGREE`` of 256 places, and is then verified
    exactly on the words themselves.
 
-Losses: a pair at the threshold of 0.5 shares no band with probability (1 - 0.5**4)**80 = 0.6 %, one at
-0.6 with 2e-5; the bit test loses 5e-5 at 0.5 and less above. Texts of fewer than ``min_words`` words, null
+The number of coordinates of a band follows from the number of texts, that of the bands from the threshold
+(:func:`plan_for`). Losses: a pair at the threshold shares no band with probability ``LOSS`` = 0.6 %, at 0.6
+instead of 0.5 with 2e-5; the bit test loses 5e-5 at 0.5 and less above. Texts of fewer than ``min_words`` words, null
 and empty texts have no partners.
 """
 
@@ -30,15 +32,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from variantloom.llm.textnorm import comparison_words
-from variantloom.session import cut, ship
+from variantloom.operators.order import numbered_within
+from variantloom.session import cut, ship, small
 
-T, ROWS, BLOCK, AGREE = 320, 4, 512, 165
+BLOCK = 512
+#: Chance that a pair at the threshold shares no band; similarity of unrelated texts and candidates of a text by chance that are put up with, which set a band's coordinates.
+LOSS, UNRELATED, BY_CHANCE = 0.006, 0.02, 64
 #: Rows of bands that a task sorts, where the session's number of partitions would give it more.
 BANDS_A_TASK = 4_000_000
 _MAX = np.uint64(2**64 - 1)
 _K1, _K2, _K3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
+def plan_for(texts: int, threshold: float) -> tuple[int, int, int]:
+    """Coordinates of a band, of a sketch, and agreeing bits of 256 that are asked for.
+
+    Wider bands have fewer candidates by chance, whose number grows with the square of the collection, but
+    need more bands for the same loss. Half of the bits that do not agree by similarity agree by chance; five
+    standard deviations are left below that.
+    """
+    rows = bands = 0
+    for rows in range(4, 11):
+        bands = int(np.ceil(np.log(LOSS) / np.log(1 - threshold**rows)))
+        if texts * bands * UNRELATED**rows <= BY_CHANCE:
+            break
+    t = rows * max(bands, -(-256 // rows))
+    p = (1 + threshold) / 2
+    return rows, t, int(256 * p - 3.9 * np.sqrt(256 * p * (1 - p)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; works in place on a fresh array."""
     x ^= x >> np.uint64(30)
@@ -62,7 +84,7 @@ def runs_of(words: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(h[inside]), doc[:n][inside]
 
 
-def sketches(values: np.ndarray, doc: np.ndarray, n: int, t: int = T) -> np.ndarray:
+def sketches(values: np.ndarray, doc: np.ndarray, n: int, t: int) -> np.ndarray:
     """Fast similarity sketches, one row of t coordinates for each of n sets; a set without elements keeps the maximum."""
     out = np.full(n * t, _MAX, dtype=np.uint64)
     left = np.full(n, t)
@@ -90,14 +112,14 @@ def sketches(values: np.ndarray, doc: np.ndarray, n: int, t: int = T) -> np.ndar
     return out.reshape(n, t)
 
 
-def bands_of(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """Hash of each band; the band's number is part of it."""
+def bands_of(sketch: np.ndarray, rows: int) -> np.ndarray:
+    """Hash of each band, 40 bits; the band's number is part of it."""
     n, t = sketch.shape
     s = sketch.reshape(n, t // rows, rows)
     h = np.broadcast_to(np.arange(1, t // rows + 1, dtype=np.uint64) * _K3, (n, t // rows)).copy()
     for j in range(rows):
         h = mix(h) + s[:, :, j]
-    return mix(h).view(np.int64)
+    return (mix(h) >> np.uint64(24)).view(np.int64)
 
 
 def bits_of(sketch: np.ndarray) -> np.ndarray:
@@ -106,8 +128,8 @@ def bits_of(sketch: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def classes(df: DataFrame, key: str, text: str, k: int, min_words: int, t: int = T) -> DataFrame:
-    """``_id``, ``_cls``, the four bit words and, for the first row of a class in its partition, ``_bands``."""
+def classes(df: DataFrame, key: str, text: str, k: int, min_words: int, rows: int, t: int) -> DataFrame:
+    """``_id``, ``_cls``, ``_cls2`` (the second half of the class's hash), the four bit words and, for the first row of a class in its partition, ``_bands``."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +144,14 @@ def classes(df: DataFrame, key: str, text: str, k: int, min_words: int, t: int =
                         words.append(w)
                 if not ids:
                     continue
-                cls = np.array([xxhash.xxh3_64_intdigest(" ".join(w)) for w in words], dtype=np.uint64).view(np.int64)
+                digests = [xxhash.xxh3_128_intdigest(" ".join(w)) for w in words]
+                cls, cls2 = (np.array([d >> shift & (1 << 64) - 1 for d in digests], dtype=np.uint64).view(np.int64) for shift in (0, 64))
                 first: dict[int, int] = {}
-                for p, c in enumerate(cls.tolist()):
-                    first.setdefault(c, p)
-                new = [p for c, p in first.items() if c not in seen]
+                for p, d in enumerate(digests):
+                    first.setdefault(d, p)
+                new = [p for d, p in first.items() if d not in seen]
+                if len(seen) > 2_000_000:
+                    seen.clear()
                 seen.update(first)
                 if len(known) > 500_000:
                     known = {}
@@ -144,15 +169,15 @@ def classes(df: DataFrame, key: str, text: str, k: int, min_words: int, t: int =
                     bands[p], quad[p] = row, row
                 where = np.array([-1 if b is None else b for b in bands])
                 has = where >= 0
-                hashes = bands_of(sketch)
+                hashes = bands_of(sketch, rows)
                 width = hashes.shape[1]
                 offsets = np.r_[0, np.cumsum(np.where(has, width, 0))].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[where[has]].ravel()))
                 columns = [pa.array([0 if not h else int(bits[r, j]) for r, h in zip(where, has)], type=pa.int64(), mask=~has) for j in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, type=batch.schema.field(0).type), pa.array(cls), *columns, lists], names=["_id", "_cls", "_b0", "_b1", "_b2", "_b3", "_bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, type=batch.schema.field(0).type), pa.array(cls), pa.array(cls2), *columns, lists], names=["_id", "_cls", "_cls2", "_b0", "_b1", "_b2", "_b3", "_bands"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"_id {kind}, _cls bigint, _b0 bigint, _b1 bigint, _b2 bigint, _b3 bigint, _bands array<bigint>")
+    return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"_id {kind}, _cls bigint, _cls2 bigint, _b0 bigint, _b1 bigint, _b2 bigint, _b3 bigint, _bands array<bigint>")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,11 +216,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from full(*held)
 
 
-def candidate_pairs(sketched: DataFrame) -> DataFrame:
+def candidate_pairs(sketched: DataFrame, bands_each: int, least_agree: int) -> DataFrame:
     """Distinct pairs ``_a`` < ``_b`` of classes that share a band and whose bits agree."""
     bands = sketched.where(F.col("_bands").isNotNull()).select(F.explode("_bands").alias("_h"), "_cls")
     least = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, sketched.where(F.col("_bands").isNotNull()).count() * (T // ROWS) // BANDS_A_TASK)
+    parts = max(least, sketched.where(F.col("_bands").isNotNull()).count() * bands_each // BANDS_A_TASK)
     blocks = bands.repartition(parts, "_h").sortWithinPartitions("_h", "_cls").mapInArrow(_blocks, "_left array<bigint>, _right array<bigint>")
     pairs = (
         blocks.repartition(parts).select(F.explode("_left").alias("_a"), "_right").select("_a", F.explode("_right").alias("_b"))
@@ -204,7 +229,7 @@ def candidate_pairs(sketched: DataFrame) -> DataFrame:
     bits = sketched.where(F.col("_bands").isNotNull()).groupBy("_cls").agg(*(F.first(f"_b{i}").alias(f"_b{i}") for i in range(4)))
     side = lambda s: bits.select(F.col("_cls").alias(f"_{s}"), *(F.col(f"_b{i}").alias(f"_{s}{i}") for i in range(4)))
     agree = F.lit(256) - sum((F.bit_count(F.col(f"_a{i}").bitwiseXOR(F.col(f"_b{i}"))) for i in range(4)), F.lit(0))
-    return pairs.join(side("a"), "_a").join(side("b"), "_b").where(agree >= AGREE).select("_a", "_b")
+    return pairs.join(side("a"), "_a").join(side("b"), "_b").where(agree >= least_agree).select("_a", "_b")
 
 
 def exact_similarity(a: str, b: str, k: int) -> float:
@@ -214,18 +239,24 @@ def exact_similarity(a: str, b: str, k: int) -> float:
     return len(x & y) / union if union else 0.0
 
 
-def similar_classes(df: DataFrame, key: str, text: str, threshold: float = 0.8, k: int = 5, min_words: int = 5) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, key: str, text: str, threshold: float = 0.8, k: int = 5, min_words: int = 5, plan: tuple[int, int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Links between classes, and the members of each class.
 
     Links: ``_a``, ``_b`` (classes, _a < _b), ``similarity``; members: ``_id``, ``_cls``, one row per distinct
-    id. Rows whose id is null are left out, repeated rows count once. The sketches are kept in memory or on
-    disk, and computed anew where an executor is lost.
+    id. Rows whose id is null are left out, repeated rows count once. ``plan`` is by default that of
+    :func:`plan_for`. The sketches are kept in memory or on disk until candidates and members are written, and
+    computed anew where an executor is lost.
     """
-    sketched = classes(df, key, text, k, min_words).persist(StorageLevel.MEMORY_AND_DISK)
-    members = sketched.select("_id", "_cls").distinct()
-    pairs = cut(candidate_pairs(sketched))
+    rows, t, agree = plan or plan_for(df.count(), threshold)
+    made = classes(df, key, text, k, min_words, rows, t).persist(StorageLevel.MEMORY_AND_DISK)
+    # texts of one class differ in the second half of their hashes once in some 2^64 pairs: these get classes of their own
+    twice = small(made.groupBy("_cls").agg(F.min("_cls2").alias("_low"), F.max("_cls2").alias("_high")).where("_low != _high").select(F.col("_cls").alias("_torn")))
+    sketched = made.join(twice, F.col("_cls") == F.col("_torn"), "left").withColumn("_cls", F.when(F.col("_torn").isNull(), F.col("_cls")).otherwise(F.xxhash64("_cls", "_cls2")))
+    members = cut(sketched.select("_id", "_cls").distinct())
+    pairs = cut(candidate_pairs(sketched, t // rows, agree))
+    made.unpersist()
     wanted = pairs.select(F.col("_a").alias("_cls")).union(pairs.select("_b")).distinct()
-    one = members.join(wanted, "_cls", "left_semi").groupBy("_cls").agg(F.min("_id").alias("_id"))
+    one = small(members.join(wanted, "_cls", "left_semi").groupBy("_cls").agg(F.min("_id").alias("_id")))
     texts = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where("_text is not null").join(one, "_id").groupBy("_cls").agg(F.first("_text").alias("_text"))
     judged = F.pandas_udf(_judge(k), "double")
     links = (
@@ -235,6 +266,15 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     return links, members
 
 
+def _dealt(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members`` with ``_block``, and of each class the number of its last block; a block has ``BLOCK`` members at most."""
+    several = members.groupBy("_cls").agg(F.count("*").alias("_many")).where("_many > 1")
+    placed = numbered_within(members.join(several.select("_cls"), "_cls", "left_semi"), ["_cls"], ["_id"], "_place")
+    copies = cut(placed.select("_id", "_cls", F.floor(F.col("_place") / BLOCK).cast("int").alias("_block")))
+    alone = members.join(several.select("_cls"), "_cls", "left_anti").withColumn("_block", F.lit(0))
+    return alone.unionByName(copies), copies.groupBy("_cls").agg(F.max("_block").alias("_last"))
+
+
 def _judge(k: int):
     import pandas as pd
 
@@ -244,12 +284,18 @@ def _judge(k: int):
 def similar_pairs(df: DataFrame, key: str = "candidate_id", text: str = "candidate_response", threshold: float = 0.5, k: int = 3, min_words: int = 30) -> DataFrame:
     """All pairs of different ids whose texts are similar: ``<key>_a`` < ``<key>_b`` and ``similarity``."""
     links, members = similar_classes(df, key, text, threshold, k, min_words)
-    a = members.select(F.col("_id").alias("_ia"), F.col("_cls").alias("_a"))
-    b = members.select(F.col("_id").alias("_ib"), F.col("_cls").alias("_b"))
-    across = links.join(a, "_a").join(b, "_b").select("_ia", "_ib", "similarity")
-    several = members.groupBy("_cls").count().where("count > 1").select("_cls")
-    copies = members.join(several, "_cls", "left_semi")
-    within = copies.select(F.col("_id").alias("_ia"), "_cls").join(copies.select(F.col("_id").alias("_ib"), "_cls"), "_cls").where("_ia < _ib").select("_ia", "_ib", F.lit(1.0).alias("similarity"))
+    dealt, last = _dealt(members)
+    # members of linked classes meet block by block, and so do copies, so that a class of any size is many keys
+    side = lambda name: dealt.select(F.col("_id").alias(f"_i{name}"), F.col("_cls").alias(f"_{name}"), F.col("_block").alias(f"_block{name}"))
+    across = links
+    for name in ("a", "b"):
+        known = last.select(F.col("_cls").alias(f"_{name}"), F.col("_last").alias(f"_last{name}"))
+        across = across.join(known, f"_{name}", "left").withColumn(f"_block{name}", F.explode(F.sequence(F.lit(0), F.coalesce(f"_last{name}", F.lit(0)))))
+    across = across.join(side("a"), ["_a", "_blocka"]).join(side("b"), ["_b", "_blockb"]).select("_ia", "_ib", "similarity")
+    copies = dealt.join(last, "_cls")
+    first = copies.select(F.col("_id").alias("_ia"), "_cls", F.col("_block").alias("_x"), F.explode(F.sequence("_block", "_last")).alias("_y"))
+    second = copies.select(F.col("_id").alias("_ib"), "_cls", F.explode(F.sequence(F.lit(0), "_block")).alias("_x"), F.col("_block").alias("_y"))
+    within = first.join(second, ["_cls", "_x", "_y"]).where("_ia < _ib").select("_ia", "_ib", F.lit(1.0).alias("similarity"))
     both = across.unionByName(within)
     return both.select(F.least("_ia", "_ib").alias(f"{key}_a"), F.greatest("_ia", "_ib").alias(f"{key}_b"), "similarity").where(F.col(f"{key}_a") != F.col(f"{key}_b")).distinct()
 
