@@ -2,11 +2,11 @@
 
 Texts are split by the published pattern; every distinct piece of a batch is encoded once. Pieces are put
 in buckets by their length in bytes and padded to one integer matrix a bucket. In each round every row
-merges its leftmost pair of minimum rank: the ranks of all neighbouring pairs come from one lookup in an
-open-addressing hash table over (left id, right id), ``argmin`` names the pair of each row, and the
-columns right of it move up by one. Rows without a pair left are compacted out of the matrix. Rows longer
-than ``LONG`` bytes merge all places of their minimum pair at once, from the left and without overlap;
-as a merge never creates a pair of lower rank than its own, the result is the same.
+merges its leftmost pair of minimum rank and, from there to the right and without overlap, the same pair's
+other places, which would be next: a merge never creates a pair of lower rank than its own. The ranks of all
+neighbouring pairs come from one lookup in an open-addressing hash table over (left id, right id). Rows are
+compacted after each round, and those without a pair left leave the matrix. Pieces of every length go the
+same way, so one of a million bytes takes as many rounds as it has different merges.
 
 Null and empty texts have the empty list; strings of special tokens are ordinary text.
 """
@@ -27,9 +27,8 @@ from variantloom.session import ship
 #: The pattern that splits text before the merges (a fixed value, published with the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Upper bounds of the length buckets in bytes; longer rows take the all-places way.
-BUCKETS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64)
-LONG = BUCKETS[-1]
+#: Upper bounds of the length buckets in bytes, doubled beyond the last; cells of one matrix.
+BUCKETS, CELLS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64), 1 << 21
 #: Pieces kept in a worker's cache; it starts anew beyond this.
 CACHE = 200_000
 _NONE = np.int32(2**31 - 1)
@@ -92,51 +91,36 @@ class BytePairs:
         return out.reshape(left.shape)
 
     def _bucket(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of at most ``LONG`` bytes, padded to one matrix."""
+        """Ids of pieces, padded to one matrix."""
         lengths = np.array([len(p) for p in pieces])
         width = int(lengths.max())
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(len(pieces), width)
         m = np.where(np.arange(width) < lengths[:, None], self.byte[raw], np.int32(-1))
         out: list[np.ndarray] = [None] * len(pieces)
         rows = np.arange(len(pieces))
-        columns = np.arange(width)
         while len(rows):
-            if m.shape[1] > 1:
-                ranks = self.pair_ranks(m[:, :-1], m[:, 1:])
-                at = ranks.argmin(axis=1)
-                best = ranks[np.arange(len(rows)), at]
-                ended = best == _NONE
-            else:
-                ended = np.ones(len(rows), dtype=bool)
-            for k in np.flatnonzero(ended):
+            columns = np.arange(m.shape[1] - 1)
+            ranks = self.pair_ranks(m[:, :-1], m[:, 1:])
+            best = ranks.min(axis=1) if m.shape[1] > 1 else np.full(len(rows), _NONE)
+            for k in np.flatnonzero(best == _NONE):
                 out[rows[k]] = m[k][m[k] >= 0]
-            keep = ~ended
-            rows, m = rows[keep], m[keep]
+            keep = best != _NONE
+            rows, m, ranks, best = rows[keep], m[keep], ranks[keep], best[keep]
             if not len(rows):
                 break
-            at, best = at[keep], best[keep]
-            m[np.arange(len(rows)), at] = best
-            source = columns[: m.shape[1] - 1] + (columns[: m.shape[1] - 1] > at[:, None])
-            m = np.take_along_axis(m, source, axis=1)
+            # of a run of touching places, every second one from its start
+            here = ranks == best[:, None]
+            before = np.maximum.accumulate(np.where(here, -1, columns), axis=1)
+            here &= (columns - before) % 2 == 1
+            m[:, :-1] = np.where(here, best[:, None], m[:, :-1])
+            left = m >= 0
+            left[:, 1:] &= ~here
+            size = left.sum(axis=1)
+            packed = np.full((len(rows), int(size.max())), -1, dtype=np.int32)
+            packed[np.arange(packed.shape[1]) < size[:, None]] = m[left]
+            m = packed
         return out
 
-    def _long(self, piece: bytes) -> np.ndarray:
-        ids = self.byte[np.frombuffer(piece, dtype=np.uint8)]
-        while len(ids) > 1:
-            ranks = self.pair_ranks(ids[:-1], ids[1:])
-            best = ranks.min()
-            if best == _NONE:
-                break
-            places = np.flatnonzero(ranks == best)
-            if len(places) > 1:  # of a run of touching places, every second one from its start
-                start = np.r_[True, np.diff(places) > 1]
-                run = np.maximum.accumulate(np.where(start, np.arange(len(places)), 0))
-                places = places[(np.arange(len(places)) - run) % 2 == 0]
-            ids = ids.copy()
-            ids[places] = best
-            ids = np.delete(ids, places + 1)
-        return ids
-
     def encode_pieces(self, pieces: list[str]) -> None:
         """Put the ids of new pieces into the cache."""
         todo = list({p for p in pieces if p not in self.cache})
@@ -146,13 +130,11 @@ class BytePairs:
         raw = sorted((p.encode("utf-8"), p) for p in todo)
         by: dict[int, list[tuple[bytes, str]]] = {}
         for b, p in raw:
-            if len(b) > LONG:
-                self.cache[p] = self._long(b)
-            else:
-                by.setdefault(next(k for k in BUCKETS if len(b) <= k), []).append((b, p))
-        for group in by.values():
-            for lo in range(0, len(group), 65_536):
-                part = group[lo : lo + 65_536]
+            by.setdefault(next((k for k in BUCKETS if len(b) <= k), 1 << (len(b) - 1).bit_length()), []).append((b, p))
+        for width, group in by.items():
+            many = max(1, CELLS // width)
+            for lo in range(0, len(group), many):
+                part = group[lo : lo + many]
                 for (_, p), ids in zip(part, self._bucket([b for b, _ in part])):
                     self.cache[p] = ids
 
