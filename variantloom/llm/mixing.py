@@ -13,7 +13,7 @@ Repeated target rows of a source add up their weights and take the larger repeat
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variantloom.llm.prefix import running_sum, shuffled, slices_for
@@ -52,10 +52,18 @@ def timed(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def served(sizes: DataFrame, queue: DataFrame) -> DataFrame:
-    """The mix: the queue's copies by virtual time until the budget is used; ``position`` is tokens up to and with a copy."""
-    whole = queue.withColumns({"_budget": sizes.agg(F.sum("n_tokens")).scalar(), "_last": queue.agg(F.max("finish")).scalar()})
-    placed = running_sum(whole.withColumn("_all", F.lit(0)), ["_all"], F.col("finish") / (F.col("_last") * 1.0000001), ["_key", "doc_id", "repeat"], F.col("n_tokens"), "position", slices_for(sizes.count()))
-    return placed.where("position <= _budget").select("doc_id", "_key", "n_tokens", "repeat", "finish", "position")
+    """The mix: the queue's copies by virtual time until the budget is used; ``position`` is tokens up to and with a copy.
+
+    Copies are range-sorted once by virtual time (Spark puts the bounds of its ranges by a sample, so they hold
+    like many rows) and written; the sums of the ranges, a row each, give each its start.
+    """
+    rows = queue.select("doc_id", "_key", "n_tokens", "repeat", "finish").orderBy("finish", "_key", "doc_id", "repeat")
+    placed = cut(rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    sums = placed.groupBy("_part").agg(F.sum("n_tokens").alias("_sum"))
+    starts = F.broadcast(sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start")))
+    within = F.sum("n_tokens").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    whole = placed.withColumn("position", within).join(starts, "_part").withColumns({"position": F.col("position") + F.col("_start"), "_budget": sizes.agg(F.sum("n_tokens")).scalar()})
+    return whole.where("position <= _budget").select("doc_id", "_key", "n_tokens", "repeat", "finish", "position")
 
 
 def report_of(sizes: DataFrame, queue: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def cells_of(pool: DataFrame, summary: DataFrame, families: DataFrame, fraction:
 def sample(pool: DataFrame, cells: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The sampled rows with ``added`` (by the repair of floors), and the report of the cells.
 
-    A cell is ``short`` if its probabilities cannot add up to its target, or the repair could not reach its floor.
+    A cell is ``short`` if the draw took every row it has and stays below its target, or the repair could not reach its floor.
     """
     start = ((seed * 0x9E3779B97F4A7C15 + 0x5851F42D4C957F2D) % 2**53) / 2**53
     chance = F.when(F.col("pool_rows") > 0, F.least(F.lit(1.0), F.col("target") / F.col("pool_rows"))).otherwise(F.lit(0.0))
@@ -85,4 +85,5 @@ def sample(pool: DataFrame, cells: DataFrame, seed: int = 0) -> tuple[DataFrame,
     taken = joined.withColumn("_drawn", drawn).withColumn("added", ~F.col("_drawn") & (missed <= F.col("_add"))).where("_drawn or added").select("anchor_id", *CELL, "added")
     got = taken.groupBy(*CELL).agg(F.count("*").alias("sampled"), F.sum(F.col("added").cast("int")).alias("added"))
     report = cells.join(got, CELL, "left").withColumns({"sampled": F.coalesce("sampled", F.lit(0)), "added": F.coalesce("added", F.lit(0))})
-    return taken, report.withColumn("short", (F.col("target") > F.col("pool_rows")) | (F.col("sampled") < F.col("min_rows")))
+    drawn = F.col("sampled") - F.col("added")
+    return taken, report.withColumn("short", (drawn == F.col("pool_rows")) & (drawn < F.col("target")) | (F.col("sampled") < F.col("min_rows")))
