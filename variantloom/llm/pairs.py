@@ -43,7 +43,7 @@ from variantloom.llm.neardup import mix, runs_of
 from variantloom.llm.prefix import bounded_sample
 from variantloom.llm.textnorm import _KEY, INVISIBLE, base_form, comparison_words
 from variantloom.llm.truncation import SAMPLE as SENTENCES
-from variantloom.llm.truncation import baselines, placed, read_model, weighed
+from variantloom.llm.truncation import LEAST, baselines, decided, placed, read_model
 from variantloom.session import cut, ship
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
@@ -93,6 +93,14 @@ def word_hashes(words: list[str], known: dict[str, int]) -> list[int]:
         return [known[w] for w in words]
 
 
+def among(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each of ``a`` is in ``b``, by sorting, which is several times faster here than ``numpy.isin``."""
+    if not len(b):
+        return np.zeros(len(a), dtype=bool)
+    b = np.sort(b)
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+
+
 class Language:
     """Words of the prompts with the number of prompts they occur in, and a character model of them."""
 
@@ -128,12 +136,14 @@ class Language:
         rarity = np.where(there, self.rarity[at] if len(self.keys) else 0.0, most)
         if len(self.read) > 500_000:
             self.read.clear()
-        fit = np.empty(len(hashes))
-        for k, (h, w) in enumerate(zip(hashes.tolist(), words)):
+        every, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        fit = np.empty(len(every))
+        for k, (h, j) in enumerate(zip(every.tolist(), first.tolist())):
             v = self.read.get(h)
             if v is None:
-                v = self.read[h] = self.fit_of(w)
+                v = self.read[h] = self.fit_of(words[j])
             fit[k] = v
+        fit = fit[back]
         common = there & self.common[at] if len(self.keys) else there
         return there, common, rarity / most, fit
 
@@ -183,14 +193,14 @@ class Clauses:
         runs, run_at = runs_of(words, of_pair, RUN)
         starts = np.concatenate([np.arange(a, a + max(0, n - RUN + 1)) for a, n in zip(np.r_[0, np.cumsum(of_pair)[:-1]], of_pair)]) if len(runs) else np.empty(0, np.int64)
         told, told_at = runs_of(prompt_words, prompt_size, RUN)
-        hit = np.isin(mix(runs + run_at.astype(np.uint64) * salt), mix(told + told_at.astype(np.uint64) * salt))
+        hit = among(mix(runs + run_at.astype(np.uint64) * salt), mix(told + told_at.astype(np.uint64) * salt))
         covered = np.zeros(len(words) + RUN)
         for j in range(RUN):
             covered[starts[hit] + j] = 1.0
         mean = lambda v: np.bincount(clause, v, minlength=m) / self.size
         there, common, rarity, fit = language.of(words, words_of)
         owner = self.pair[clause]
-        said = np.isin(mix(words + owner.astype(np.uint64) * salt), mix(prompt_words + np.repeat(np.arange(self.n), prompt_size).astype(np.uint64) * salt))
+        said = among(mix(words + owner.astype(np.uint64) * salt), mix(prompt_words + np.repeat(np.arange(self.n), prompt_size).astype(np.uint64) * salt))
         weight = rarity * there + 1e-3  # words that no prompt has share nothing with one
         share = np.bincount(clause, weight * said, minlength=m) / np.bincount(clause, weight, minlength=m)
         whole = np.bincount(owner, weight * said, minlength=self.n) / np.maximum(1e-9, np.bincount(owner, weight, minlength=self.n))
@@ -208,11 +218,22 @@ class Clauses:
         two = words[:-1] * salt + words[1:]
         inside = clause[:-1] == clause[1:]
         key = np.r_[mix(words.copy()), mix(two[inside])] % np.uint64(HASHED)
-        both = np.unique(np.r_[clause, clause[:-1][inside]] * HASHED + key.astype(np.int64))
+        both = np.sort(np.r_[clause, clause[:-1][inside]] * HASHED + key.astype(np.int64))
+        both = both[np.r_[True, both[1:] != both[:-1]]]
         self.at, self.idx = both // HASHED, both % HASHED
         self.scale = 1 / np.sqrt(np.maximum(1, np.bincount(self.at, minlength=m)))[self.at]  # a long clause is not louder than a short one
 
 
+    def only(self, pairs: np.ndarray) -> "Clauses":
+        """The clauses of some of the pairs, which keep their numbers."""
+        out, keep = object.__new__(Clauses), pairs[self.pair]
+        place = np.cumsum(keep) - 1
+        words = keep[self.at] if len(self.at) else np.empty(0, bool)
+        out.n, out.pair, out.size, out.x = self.n, self.pair[keep], self.size[keep], self.x[keep].copy()
+        out.at, out.idx, out.scale = (place[self.at[words]] if len(self.at) else self.at), self.idx[words], self.scale[words]
+        return out
+
+
 def swapped(text: str, seed: int) -> str:
     """The text with its letters exchanged, vowels for vowels and others for others, in all but some of its words, as languages share a few."""
     r = random.Random(seed)
@@ -334,30 +355,45 @@ class Chain:
         return out[row, column]
 
 
-def defects(answers: list[str | None], prompts: list[str | None], cut_off: list[bool], chain: Chain, language: Language, known: dict[str, int]) -> list[str | None]:
-    """The defect of each pair, or None."""
+def defects(answers: list[str | None], prompts: list[str | None], cut_off: list[bool], chain: Chain, language: Language, known: dict[str, int]) -> list[tuple[str | None, str | None]]:
+    """Of each pair its defect, or None, if the answer is whole, and if it is cut off; the second is that of the first where ``cut_off`` is false."""
     texts = ["" if is_empty(a) else base_form(a) for a in answers]
-    c = Clauses(texts, prompts, cut_off, language, known)
-    tag, n = chain.tags(c), len(answers)
-    cover = np.stack([np.bincount(c.pair, c.size * (tag == k), minlength=n) for k in range(len(TAGS))]) if n else np.zeros((len(TAGS), 0))
-    words = cover.sum(axis=0)
-    share = cover / np.maximum(1, words)
+    c = Clauses(texts, prompts, [False] * len(answers), language, known)
+    n = len(answers)
+    words = np.bincount(c.pair, c.size, minlength=n)
     said = np.bincount(c.pair, c.size * c.x[:, 1], minlength=n) / np.maximum(1, words)
-    last = np.full(n, -1)
-    last[c.pair] = tag
-    out: list[str | None] = []
-    for p in range(n):
-        if not words[p]:
-            out.append("empty")
-        elif share[1, p] >= 0.5:
-            out.append("refusal")
-        elif share[2, p] + share[4, p] >= 0.5 and said[p] >= LEAST_SAID:  # a copy may break off in its only clause
-            out.append("copy")
-        elif share[3, p] >= 0.5:
-            out.append("other_language")
+    last = np.r_[c.pair[1:] != c.pair[:-1], True] if len(c.pair) else np.empty(0, bool)
+    both = []
+    for off in (False, True):
+        if off:
+            some = np.array(cut_off, dtype=bool)
+            if not some.any():
+                both.append(both[0])
+                break
+            part = c.only(some)
+            part.x[last[some[c.pair]], 12] = 1.0
         else:
-            out.append("truncated" if last[p] == 4 and cut_off[p] else None)
-    return out
+            part = c
+        tag = chain.tags(part)
+        share = np.stack([np.bincount(part.pair, part.size * (tag == k), minlength=n) for k in range(len(TAGS))]) / np.maximum(1, words) if n else np.zeros((len(TAGS), 0))
+        end = np.full(n, -1)
+        end[part.pair] = tag
+        out: list[str | None] = []
+        for p in range(n):
+            if off and not some[p]:
+                out.append(both[0][p])
+            elif not words[p]:
+                out.append("empty")
+            elif share[1, p] >= 0.5:
+                out.append("refusal")
+            elif share[2, p] + share[4, p] >= 0.5 and said[p] >= LEAST_SAID:  # a copy may break off in its only clause
+                out.append("copy")
+            elif share[3, p] >= 0.5:
+                out.append("other_language")
+            else:
+                out.append("truncated" if off and end[p] == 4 else None)
+        both.append(out)
+    return list(zip(*both))
 
 
 def answers_of(candidates: DataFrame, tokens: Column) -> DataFrame:
@@ -391,14 +427,16 @@ def language_of(prompts: DataFrame, words: int = VOCABULARY) -> Language:
 
 
 def judged(candidates: DataFrame, jobs: DataFrame, tokens: Column, sample: int = SAMPLE, sentences: int = SENTENCES) -> DataFrame:
-    """``candidate_id`` and ``defect`` (null for none) of every record."""
+    """``candidate_id`` and ``defect`` (null for none) of every record.
+
+    Each answer is read once, and tagged once as whole and, unless the automaton accepts its end, once as cut
+    off; these narrow rows are written, and the sources' baselines over all of them choose.
+    """
     spark = candidates.sparkSession
     ship(spark)
     rows = answers_of(candidates, tokens)
     prompts = jobs.where("job_id is not null").select(F.col("job_id").alias("_k"), F.col("generation_prompt").alias("_p"))
     ends, language = read_model(rows, sentences), language_of(prompts)
-    evidence = cut(weighed(rows, ends))
-    base = baselines(evidence)
     low = F.regexp_replace(F.lower(F.ltrim("_t")), chr(0x2019), "'")
     few = bounded_sample(rows.where("_t is not null").select("_k", "_t"), sample) + bounded_sample(rows.where(low.rlike(SEEDS.pattern)).select("_k", "_t"), REFUSING)
     few = list(dict.fromkeys(few))
@@ -412,15 +450,17 @@ def judged(candidates: DataFrame, jobs: DataFrame, tokens: Column, sample: int =
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.iloc[lo : lo + 512]
-                a, p, *told = ([None if v is None or v != v else v for v in part[c].tolist()] for c in ("_t", "_p", "_n", "_usual", "_scatter", "_limit", "_odds", "_ended_odds"))
-                off = []
-                for t, n, usual, scatter, limit, odds, ended in zip(a, *told):
-                    e, bare = end.of(t, n, usual, scatter, limit)
-                    off.append(e + ((odds if bare else ended) or 0.0) > 0)
-                yield pd.DataFrame({"candidate_id": part["_k"].tolist(), "defect": pd.Series(defects(a, p, off, crf, read, known), dtype=object)})
-
-    whole = placed(rows).join(base, F.col("_s").eqNullSafe(F.col("_source")), "left").join(prompts, "_k", "left")
-    return whole.select("_k", "_t", "_p", "_n", "_usual", "_scatter", "_limit", "_odds", "_ended_odds").mapInPandas(run, "candidate_id string, defect string")
+                a, p, *told = ([None if v is None or v != v else v for v in part[c].tolist()] for c in ("_t", "_p", "_n", "_usual", "_scatter", "_limit"))
+                weight = [end.of(*x) for x in zip(a, *told)]
+                found = defects(a, p, [e > LEAST for e, _ in weight], crf, read, known)
+                frame = {"_k": part["_k"].tolist(), "_s": part["_s"].tolist(), "_e": [e for e, _ in weight], "_bare": [b for _, b in weight]}
+                yield pd.DataFrame({**frame, "_whole": pd.Series([x for x, _ in found], dtype=object), "_cut": pd.Series([x for _, x in found], dtype=object)})
+
+    kind = rows.schema["_k"].dataType.simpleString()
+    whole = placed(rows).join(prompts, "_k", "left").select("_k", "_s", "_t", "_p", "_n", "_usual", "_scatter", "_limit")
+    seen = cut(whole.mapInPandas(run, f"_k {kind}, _s string, _e double, _bare boolean, _whole string, _cut string"))
+    out = seen.join(baselines(seen.select("_s", "_e", "_bare")), F.col("_s").eqNullSafe(F.col("_source")), "left")
+    return out.select(F.col("_k").alias("candidate_id"), F.when(decided(), F.col("_cut")).otherwise(F.col("_whole")).alias("defect"))
 
 
 def fitted(answers: list[str | None], prompts: list[str | None], language: Language, breaks_off, seed: int = 3) -> Chain:

@@ -53,7 +53,10 @@ TERMINATORS = ".!?…。！？؟।．"
 CLOSERS = "\"'”’»)]}*_`"
 # Marks that programs leave where they cut.
 CUT_MARK = re.compile(r"[\[(<{]\s*(?:\.\.\.|…|cut(?:\s*off)?|truncated|continued|continues|more|snip(?:ped)?|max(?:imum)?[ _](?:length|tokens)(?: reached)?|length limit)\s*[\])>}]\s*$", re.I)
-BROKEN = re.compile(r"(?:�|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:[a-zA-Z]{1,8}|#x?[0-9a-fA-F]{0,6})|%[0-9A-Fa-f]?|<[/a-zA-Z][^<>]*|Ã|â€?)$")
+BROKEN = re.compile(r"(?:�|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:[a-zA-Z]{1,8}|#x?[0-9a-fA-F]{0,6})|%[0-9A-Fa-f]?|Ã|â€?)$")
+HALF_TAG = re.compile(r"<[/a-zA-Z][^<>]*$")
+#: Characters at the end that hold any of these marks.
+MARK = 200
 DANGLING = re.compile(r"\s[-–—]$|[(\[{<]$")
 _WORD = re.compile(r"@?\w+(?:['’]\w+)*")
 _SENTENCE = re.compile(r"[.!?…．]+[\"'”’»)\]]*(?=\s|$)|\n{2,}")
@@ -120,11 +123,12 @@ def automaton(text: str) -> list[str]:
     begin = text.lstrip()[:1]
     stack = _json_stack(text) if begin == "{" or begin == "[" and text.lstrip()[1:2] in '"{[' and len(text.lstrip()) > 1 else _text_stack(text)
     end = text.rstrip()
-    if CUT_MARK.search(end):
+    tail, tag = end[-MARK:], end.rfind("<")
+    if CUT_MARK.search(tail):
         return [*stack, "cut mark"]
-    if BROKEN.search(end):
+    if BROKEN.search(tail) or tag >= 0 and HALF_TAG.match(end, tag):
         return [*stack, "broken"]
-    if DANGLING.search(end):
+    if DANGLING.search(tail[-2:]):
         return [*stack, "dangling"]
     bare = end.rstrip(CLOSERS).rstrip()
     if end and (_EMOJI.search(end) or (bare or end)[-1] in TERMINATORS):
@@ -287,6 +291,8 @@ class Evidence:
         state = automaton(text)
         if state[-1] in ("cut mark", "broken", "dangling"):
             return MOST, True
+        if len(state) == 1 and state[-1] == "terminated":
+            return LEAST, False  # the automaton accepts it
         score = sum(self.open[k] for k in {_kind(k) for k in state[:-1]})
         if state[-1] == "terminated":
             return score + self.ended + min(0.0, self.of_tokens(tokens, len(text), usual, scatter)), False
@@ -392,7 +398,7 @@ def judged(df: DataFrame, key: str = "candidate_id", text: str = "candidate_resp
     """``key``, ``source`` and ``cut`` (boolean) of every row.
 
     Every text is walked over once; its evidence, a narrow row, is written, and the sources' baselines over
-    all of it decide. Rows whose text is null, blank or a placeholder are no cases.
+    all of it decide. A text that ends in a terminator with nothing open is whole. Rows whose text is null, blank or a placeholder are no cases.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(text).alias("_t"), (F.lit(None).cast("double") if tokens is None else tokens.cast("double")).alias("_n"))
