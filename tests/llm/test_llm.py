@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from variantloom.llm import mixing, neardup, pairs, prefix, reading, sampling, textnorm, tokens, truncation
+from variantloom.llm import blank, mixing, neardup, pairs, prefix, reading, sampling, textnorm, tokens, truncation
 
 SUBJECTS = ["the coach", "the nurse", "my cousin", "the writer", "our class", "the baker", "a new student", "the crew"]
 VERBS = ["found", "moved", "washed", "carried", "dropped", "painted", "hid", "saved"]
@@ -49,6 +49,15 @@ def test_base_form():
         assert fix(once) == once
 
 
+def test_dominant_script():
+    fix = textnorm.repaired
+    assert fix("The Russian word рот means mouth", {"pot"}) == "The Russian word рот means mouth"
+    assert fix("He wrote «сор» there, not cop.", {"cop"}) == "He wrote «сор» there, not cop."
+    assert fix("всем привeт", {"привет"}) == "всем привет" and fix("Xорошо мне", {"хорошо"}) == "Хорошо мне"
+    assert fix("thе ореn door", {"the", "open"}) == "the open door" and fix("an angle α is", {"a"}) == "an angle α is"
+    assert fix("poco a росо se", {"poco"}) == "poco a poco se" and fix("привeт", {"other"}) == "привeт"
+
+
 def test_consistent_form(spark):
     rows = [("1", "thе cat sat"), ("2", "the cat sat"), ("3", "Всё хорошо"), ("4", None), ("5", ""), ("6", "xуz the Я"), ("1", "thе cat sat"), ("7", "the" + chr(0x200B)), (None, "а cat the"), ("8", "a" * 50000 + chr(0xA0)), ("9", "a cat")]
     got = textnorm.consistent_form(spoilt(spark, rows, "candidate_id string, candidate_response string")).collect()
@@ -95,6 +104,10 @@ def test_sketch_estimates():
         s = neardup.sketches(np.r_[a, b], np.r_[np.zeros(len(a), int), np.ones(len(b), int)], 2, 2048)
         true = 200 / (200 + 2 * only)
         assert abs((s[0] == s[1]).mean() - true) < 0.05
+    for texts in (1000, 10**7, 10**9):  # wider bands keep the loss at the threshold
+        for threshold in (0.5, 0.8):
+            rows, t, agree = neardup.plan_for(texts, threshold)
+            assert (1 - threshold**rows) ** (t // rows) <= neardup.LOSS + 1e-9 and t >= 256 and agree < 128 * (1 + threshold)
     few = neardup.sketches(np.array([7, 7, 9], dtype=np.uint64), np.zeros(3, int), 2, 64)
     assert (few[0] != neardup._MAX).all() and (few[1] == neardup._MAX).all()
 
@@ -125,6 +138,10 @@ def test_similar_pairs(spark):
     found = neardup.similar_pairs(df).collect()
     got = {(x.candidate_id_a, x.candidate_id_b) for x in found}
     assert len(found) == len(got) and got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
+    # so does every width of bands
+    other = (5, 810, 164)
+    links, members = neardup.similar_classes(df, "candidate_id", "candidate_response", 0.5, 3, 30, other)
+    assert links.count() >= 0.99 * neardup.similar_classes(df, "candidate_id", "candidate_response", 0.5, 3, 30)[0].count() > 50
     # hot buckets are cut into blocks without losing a pair
     old, neardup.BLOCK = neardup.BLOCK, 3
     try:
@@ -146,6 +163,23 @@ def test_similar_pairs(spark):
     assert neardup.similar_pairs(df.limit(0)).count() == 0 and neardup.groups(df.limit(0)).count() == 0
 
 
+def test_hot_copies(spark):
+    """Half of all rows are copies of one text, which has near-duplicates as well: all pairs, from blocks."""
+    r = random.Random(3)
+    hot, other = essay(r, 6), [essay(r, 6) for _ in range(30)]
+    rows = [(f"h{k:02}", hot.upper() if k % 2 else hot) for k in range(40)] + [(f"n{k}", hot + f" And {k} more words came.") for k in range(3)] + [(f"o{k}", t) for k, t in enumerate(other)]
+    df = spark.createDataFrame(rows, "candidate_id string, candidate_response string")
+    old, neardup.BLOCK = neardup.BLOCK, 7
+    try:
+        got = {(x.candidate_id_a, x.candidate_id_b) for x in neardup.similar_pairs(df).collect()}
+    finally:
+        neardup.BLOCK = old
+    ids = [i for i, _ in rows if i[0] in "hn"]
+    assert got == set(combinations(sorted(ids), 2))
+    torn = neardup.classes(df, "candidate_id", "candidate_response", 3, 30, 4, 320).where("_id like 'h%'")
+    assert torn.select("_cls", "_cls2").distinct().count() == 1
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (12, 10), (20, 21)] + [(100 + k, 101 + k) for k in range(40)]
     got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "_a bigint, _b bigint")).collect()}
@@ -158,7 +192,21 @@ def test_automaton():
     assert state('He said "no') == ['"', "bare"] and state("a (b [c] d) e.") == ["terminated"] and state("x {[(") == ["{", "[", "(", "dangling"]
     assert state("broken �")[-1] == state("broken\\u00")[-1] == state("end &am")[-1] == state("an <ins")[-1] == "broken"
     assert state("was then [cut]")[-1] == "cut mark" and state("and so on…") == ["terminated"] and state("fine 🙂") == ["terminated"] and state("") == ["bare"]
-    assert state("```\ncode.")[0] == "```"
+    assert state("```\ncode.")[0] == "```" and state("```\nx (\n``` done.") == ["terminated"]
+    # a terminator does not hide what is open before it: markup, JSON strings with escapes, quotes
+    assert state("<div>One <b>two.") == ["<div>", "<b>", "terminated"] and state("<p>One<br>two</p> x.") == ["terminated"]
+    assert state('{"a": "say \\"hi\\" (now.') == ["{", "json string", "terminated"] and state('{"a": ["b", "c"]}') == ["bare"] and state("[1] A note.") == ["terminated"]
+    assert state("word " * 200_000 + '(and "so.') == ["(", '"', "terminated"]
+
+
+def test_evidence():
+    r = random.Random(2)
+    model = truncation.Evidence([essay(r) for _ in range(400)])
+    whole = essay(r)
+    assert model.of(None) == (float("-inf"), False) and model.of('{"output": ""}')[0] == float("-inf") and model.of("FAIL")[0] == float("-inf")
+    assert model.of(whole)[0] < 0 and model.of("The bo�")[0] > 5 and model.of(whole[: len(whole) // 2].rsplit(" ", 2)[0] + " the")[0] > 0
+    assert model.of('{"a": {"b": "' + whole)[0] > model.of(whole)[0] + 5  # open structures weigh against a final stop
+    assert model.of_tokens(200, 400, float(np.log(0.25)), 0.05) > 3 and model.of_tokens(100, 400, float(np.log(0.25)), 0.05) < 0 and model.of_tokens(None, 400, 0.1, 0.1) == 0
 
 
 def test_truncation(spark):
@@ -191,10 +239,12 @@ def test_truncation(spark):
 
 # p3 --------------------------------------------------------------------------------------------------------
 def test_empty():
+    wrapped = '{"output": "' + " " * 500 + '", "note": null}'
+    assert blank.is_empty(wrapped) and blank.is_empty("<div>" * 100 + "</div>" * 100) and blank.is_empty("```json\n{}\n```") and not blank.is_empty('{"output": "' + "A text. " * 100 + '"}')
     for t in (None, "", " \n", chr(0xFEFF), "FAIL", '{"output": ""}', '{"output": null}', "{}", "[]", "```\n```", '""', "(empty)", "N/A", "-", "...", "None", "<p></p>", "[no output]"):
-        assert pairs.is_empty(t), t
+        assert blank.is_empty(t), t
     for t in ("I fail to see it.", '{"output": "A text."}', "No output was given to us by the teacher."):
-        assert not pairs.is_empty(t), t
+        assert not blank.is_empty(t), t
 
 
 def test_chain_is_exact():
@@ -202,7 +252,7 @@ def test_chain_is_exact():
     x, pair = r.normal(size=(9, 3)), np.array([0, 0, 0, 0, 1, 1, 2, 2, 2])
     k = len(pairs.TAGS)
     chain = pairs.Chain(r.normal(size=(k, 3)), r.normal(size=(k, k)))
-    got = chain.tags(x, pair)
+    got = chain._viterbi(x @ chain.emission.T, pair)
     from itertools import product
 
     for p in range(3):
@@ -259,6 +309,48 @@ def test_defects(spark):
     assert pairs.judged(df.limit(0), asked, F.lit(None).cast("double")).count() == 0
 
 
+# None of these languages or wordings stands in a list of the operator.
+UNSEEN = [
+    "Moim zdaniem chłopiec zgubił niebieski rower nad rzeką, a potem długo go szukał. W domu nikt nie wiedział, co się stało. Dlatego wszyscy byli bardzo smutni tego wieczoru.",
+    "Bence çocuk mavi bisikletini nehir kenarında kaybetti ve uzun süre aradı. Evde kimse ne olduğunu bilmiyordu. Bu yüzden o akşam herkes çok üzgündü.",
+    "Menurut saya anak itu kehilangan sepeda birunya di tepi sungai dan lama mencarinya. Di rumah tidak ada yang tahu apa yang terjadi. Karena itu semua orang sangat sedih malam itu.",
+    "Podle mého názoru chlapec ztratil modré kolo u řeky a dlouho ho hledal. Doma nikdo nevěděl, co se stalo. Proto byli ten večer všichni velmi smutní.",
+    "Minun mielestäni poika kadotti sinisen pyöränsä joen rannalle ja etsi sitä pitkään. Kotona kukaan ei tiennyt mitä oli tapahtunut. Siksi kaikki olivat sinä iltana hyvin surullisia.",
+]
+UNSEEN_REFUSALS = [
+    "This falls outside what I do here, so please ask someone else to look at it.",
+    "Making such a version is not something that fits my role, and another tool may serve you better.",
+    "It would be best for me to leave this one alone.",
+]
+
+
+def test_unseen_defects(spark):
+    r = random.Random(14)
+    rows, jobs, want = [], [], {}
+
+    def add(i, text, anchor, defect):
+        rows.append((i, None, text, None, "m"))
+        jobs.append((i, f"Rewrite the student answer below and print nothing else.\n\nPrompt:\nWhy did the settlers disagree about the canal?\n\nAnchor Response:\n{anchor}"))
+        want[i] = defect
+
+    for k in range(500):
+        anchor = essay(r, 6)
+        words = anchor.split()
+        for _ in range(45):
+            words[r.randrange(len(words) - 1)] = r.choice(["right", "done", "reckon", "yonder"])
+        add(f"c{k}", *((r.choice(REFUSALS), anchor, "refusal") if k % 10 == 0 else (" ".join(words), anchor, None)))
+    for k, t in enumerate(UNSEEN):
+        add(f"l{k}", t, essay(r, 6), "other_language")
+    for k, t in enumerate(UNSEEN_REFUSALS):
+        add(f"r{k}", t, essay(r, 6), "refusal")
+    df = spark.createDataFrame(rows, "candidate_id string, generation_status string, candidate_response string, raw_output string, model string")
+    asked = spark.createDataFrame(jobs, "job_id string, generation_prompt string")
+    got = {x.candidate_id: x.defect for x in pairs.judged(df, asked, F.lit(None).cast("double")).collect()}
+    assert {i: got[i] for i in got if i[0] in "lr"} == {i: want[i] for i in got if i[0] in "lr"}
+    wrong = Counter((want[i], got[i]) for i in want if got[i] != want[i])
+    assert sum(wrong.values()) <= 5, wrong
+
+
 # p4 and p7 -------------------------------------------------------------------------------------------------
 def test_running_sum(spark):
     rows = [(g, k, (k * 37) % 101 / 101, k % 5) for g in ("a", "b", None) for k in range(101)]
@@ -316,6 +408,15 @@ def test_mixing(spark):
     assert none.count() == 0 and lines.count() == 5
 
 
+def test_mix_of_one_source(spark):
+    """A small weight and one very long source stretch the virtual times."""
+    rows = [(k, "word " * (1 + k % 7), "big") for k in range(400)] + [(1000 + k, "tail " * 30, "rare") for k in range(5)]
+    targets = spark.createDataFrame([("big", 0.999, 1), ("rare", 0.001, 3)], "source string, target_weight double, max_repeats int")
+    mixed, report = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), targets)
+    order = sorted(mixed.collect(), key=lambda x: (x.finish, x._key, x.doc_id, x.repeat))
+    assert [x.position for x in order] == list(np.cumsum([x.n_tokens for x in order])) and report.count() == 2
+
+
 # p8 --------------------------------------------------------------------------------------------------------
 def test_cuts():
     assert reading.cuts_of([]) == []
@@ -332,14 +433,23 @@ def test_levels(spark):
         level = k % 4 + 1
         rows.append((k, "Note 3: " * (k % 3 == 0) + ". ".join(" ".join(["the", *r.choices(words[level], k=6), "and", "was"]) for _ in range(6)) + ".", ["en", "EN", "en-US", None][k % 4 if k % 7 else 3], "s"))
         truth[k] = level
+    rows += [(2000 + k, t, None, "s") for k, t in enumerate(UNSEEN)]  # languages that no document is labelled with
     rows += [(1000, None, "en", "s"), (1001, "", "en", None), (1002, "Según el relato, el abuelo perdió la bicicleta en la plaza y no la encontró.", None, "s"), (1003, "El texto", "es", "s"), (1004, " \n ", "en", "s"), (1005, "methodology " * 20000, "en", "s")]
     labels = [(k, "r", truth[k] if r.random() > 0.05 else max(1, truth[k] - 1)) for k in range(0, 400, 5)] + [(0, "r2", 1), (0, "r", 1), (99999, "r", 4), (None, "r", 2), (5, "r", None)]
     docs = spoilt(spark, rows, "doc_id bigint, text string, lang string, source string", "score int, grade int, node int, level int")
     graded = spoilt(spark, labels, "doc_id bigint, rater string, level int", "text string")
     leveled = reading.levels(docs, graded)
     got = {x.doc_id: x.level for x in leveled.collect()}
-    assert not set(got) & {1000, 1001, 1002, 1003, 1004} and got[1005] == 4
+    assert not set(got) & {1000, 1001, 1002, 1003, 1004, *range(2000, 2005)} and got[1005] == 4
     assert sum(got[k] == truth[k] for k in truth) >= 0.98 * len(truth)
     assert reading.profile(leveled, docs).first().n == 401
+    moves = reading.harmonic(docs, graded)[1]
+    assert moves[-1][1] <= reading.TOLERANCE < moves[0][1] and len(moves) < 20
+    # the same where most nodes are too many to broadcast
+    old, reading.HOT = reading.HOT, 9
+    try:
+        assert {x.doc_id: x.level for x in reading.levels(docs, graded).collect()} == got
+    finally:
+        reading.HOT = old
     assert reading.levels(docs, graded.limit(0)).where("level is not null").count() == 0
     assert reading.levels(docs.limit(0), graded).count() == 0
