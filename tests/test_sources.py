@@ -40,6 +40,20 @@ def test_env(tmp_path, monkeypatch):
     assert files.load_env(str(tmp_path / ".env")) == {"VL_A": "one"} and files.load_env(str(tmp_path / "none")) == {}
 
 
+def test_small_sources(spark, tmp_path, monkeypatch):
+    monkeypatch.delenv("VL_KEY", raising=False)
+    (tmp_path / ".env").write_text("VL_KEY=abc\n")
+    with pytest.raises(ValueError):
+        files.required_key("VL_KEY")
+    assert files.required_key("VL_KEY", str(tmp_path / ".env")) == "abc"
+    (tmp_path / "empty.jsonl").write_text("\n")
+    with pytest.raises(ValueError):
+        files.browsed(spark, str(tmp_path / "empty.jsonl"), "a int")
+    (tmp_path / "t.txt").write_bytes("\ufeffA {PROMPT}".encode())
+    assert files.read_template(str(tmp_path / "t.txt")) == "A {PROMPT}"
+    assert inv.marker_table(spark, {"X": {"features": [{"id": "x_double_modal", "feature": "two", "allowed_for_generation": True}]}}).count() == 4
+
+
 def test_inventory(spark, tmp_path):
     feature = {"id": "f", "category": "lexical", "feature": "y'all", "description": "you", "blocked_context": "none", "source_reference": "s", "allowed_for_generation": True}
     (tmp_path / "x.json").write_text(json.dumps({"dialect_family": "X", "review_status": "draft", "features": [feature], "disallowed_features": ["d"], "safety_notes": ["n"]}))

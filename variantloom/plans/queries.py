@@ -445,6 +445,34 @@ def repaired(spark, folder):
     return repair.repaired(raw, rows).select("candidate_id", "candidate_response", "raw_output", F.array_join("mechanical_cleanup_repairs", "|").alias("repairs"))
 
 
+@query(f"WITH {_KNOWN}, plan AS (SELECT DISTINCT anchor_id, dialect_family, assignment_strategy AS demo_reason FROM assignments) SELECT plan.anchor_id, plan.dialect_family, 3 AS target_candidates, 'curated_demo' AS assignment_strategy, nullif(dataset, '') AS source_corpus, score_band, nullif(domain, '') AS domain, demo_reason FROM plan JOIN known ON plan.anchor_id = key")
+def demo_assignments(spark, folder):
+    """Assignments of a given plan."""
+    plan = table(spark, folder, "assignments").select(F.col("anchor_id").alias("essay_id"), "dialect_family", F.col("assignment_strategy").alias("demo_reason")).distinct()
+    return assign.planned(table(spark, folder, "anchors"), plan, ORDER)
+
+
+@query("SELECT candidate_id, what FROM (SELECT job_id AS candidate_id, prompt_version AS what, NULL AS model FROM prompt_jobs UNION ALL SELECT candidate_id, NULL, model FROM candidates)")
+def appended_records(spark, folder):
+    """Jobs, then all records, with the columns of both."""
+    jobs = table(spark, folder, "prompt_jobs").select(F.col("job_id").alias("candidate_id"), F.col("prompt_version").alias("what"))
+    return records.appended(jobs, table(spark, folder, "candidates").select("candidate_id", "model")).select("candidate_id", "what")
+
+
+@query(f"WITH {_RULES} SELECT DISTINCT candidate_id FROM ruled WHERE outside AND candidate_id NOT IN (SELECT candidate_id FROM candidates WHERE {_FAILED} AND candidate_id IS NOT NULL)")
+def retries_left(spark, folder):
+    """Records to be made anew for their length, without those whose retry is done (here: those that failed)."""
+    made = table(spark, folder, "candidates")
+    done = made.where(verdicts.is_failed(made)).select(F.col("candidate_id").alias("retry_of_candidate_id"))
+    return records.to_retry(ruled(spark, folder), ["length_outside_tolerance"], done)
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), ','), lambda x: {oracle.strip('x')}), lambda x: x <> ''), '|') AS parts FROM documents".replace("array_to_string(list_filter", "coalesce(array_to_string(list_filter").replace("'|') AS parts", "'|'), '') AS parts"))
+def comma_lists(spark, folder):
+    """Texts read as comma-separated lists."""
+    return table(spark, folder, "documents").select("doc_id", F.array_join(tx.listed("text"), "|").alias("parts"))
+
+
 # audit ---------------------------------------------------------------------------------------------------------
 _NORM = f"array_to_string({oracle.LOWER.format('y')}, ' ')"
 _LOW_LABELS = f"list_filter(list_transform(detected, lambda m: regexp_replace(regexp_replace({oracle.strip('lower(m)')}, '^[.,!?;:]+|[.,!?;:]+$', '', 'g'), '\\s+', ' ', 'g')), lambda m: m <> '')"
@@ -583,6 +611,20 @@ def traced(spark, folder):
     return rows.select("candidate_id", F.col("parsed_output.ok").alias("ok"), "candidate_response", F.array_join("detected_student_corrections", "|").alias("corrections"), F.size("parsed_output.applied").alias("applied"), "generation_status")
 
 
+@query(f"""WITH RECURSIVE {_TRACED} SELECT count(*) AS records, count(*) FILTER ({oracle.strip('y')} <> {oracle.strip('x')}) AS changed, sum(made::INT)::BIGINT AS applied_features, count(*) FILTER (len(fixes) > 0) AS with_corrections FROM traced""")
+def trace_totals(spark, folder):
+    return trace.summary(traced_rows(spark, folder))
+
+
+@query(f"""WITH RECURSIVE {_ONCE}, {_WORDWISE}, {_PLAIN_FIX} SELECT id AS candidate_id, string_agg(DISTINCT lower(before) || '>' || lower(after), '|' ORDER BY lower(before) || '>' || lower(after)) AS forms
+FROM (SELECT id, string_split(f, ' -> ')[1] AS before, string_split(f, ' -> ')[2] AS after FROM (SELECT id, unnest(fixes) AS f FROM w_fix)) GROUP BY 1""")
+def correction_forms(spark, folder):
+    """Corrections read back as pairs of forms."""
+    rows = spread(whole_pairs(spark, folder))
+    rows = rows.select("candidate_id", alignment.align(F.col("anchor_response"), an.candidate_text(rows, "score"), chars="none")["corrections"].alias("fixes")).where("size(fixes) > 0")
+    return rows.select("candidate_id", F.array_join(F.array_sort(F.transform(tx.correction_pairs("fixes"), lambda p: F.concat(p["before"], F.lit(">"), p["after"]))), "|").alias("forms"))
+
+
 @query(f"""WITH {_KNOWN}, {_family_sql()}, a AS (SELECT DISTINCT anchor_id, dialect_family FROM assignments), n AS (SELECT *, {oracle.strip('lower(dialect_family)')} AS k FROM a)
 SELECT n.anchor_id || '_' || replace(replace(n.dialect_family, ' ', '_'), '/', '_') || '_trace' AS trace_id, {_render(TEMPLATE + chr(10) + '{OUTPUT_KEY}' + chr(10) + '{FEATURE_INVENTORY_JSON}', ('ANCHOR_RESPONSE', "coalesce(text, '')"), ('DIALECT_FAMILY', 'n.dialect_family'), ('OUTPUT_KEY', _KEY_SQL), ('FEATURE_INVENTORY_JSON', 'inventory_json'))} AS prompt
 FROM n JOIN known ON n.anchor_id = key JOIN fam USING (dialect_family)""")

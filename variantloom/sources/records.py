@@ -93,3 +93,21 @@ def page(df: DataFrame, n: int, size: int = 1, order: list[str] | None = None) -
     """Rows of page ``n`` (from 1) in a stable order."""
     keys = order or df.columns
     return df.orderBy(*keys).offset(max(0, n - 1) * size).limit(size).collect()
+
+
+def browsed(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """Records to page through; a ValueError if there is none."""
+    rows = read_jsonl(spark, path, schema)
+    if rows.isEmpty():
+        raise ValueError(f"no record in {path}")
+    return rows
+
+
+def required_key(name: str, env_file: str | None = None) -> str:
+    """An environment variable, or the one of an ``.env`` file; a ValueError if it is missing or empty."""
+    if env_file:
+        load_env(env_file)
+    key = os.environ.get(name, "").strip()
+    if not key:
+        raise ValueError(f"{name} is not set")
+    return key
