@@ -58,10 +58,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` and cut its lineage through the folder all executors share.
 
     The folder is ``spark.checkpoint.dir`` of the session. Where that is unset, a local session (tests, a
-    laptop) uses a folder of this machine; on a cluster it is an error. Sessions made by :func:`get_spark`
-    delete a checkpoint once nothing refers to it any more.
+    laptop) uses a folder of this machine; on a cluster it is an error. A checkpoint is deleted once nothing
+    refers to it any more.
     """
     context = df.sparkSession.sparkContext
+    context._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
