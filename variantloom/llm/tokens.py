@@ -20,7 +20,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from variantloom.session import ship
 
@@ -158,18 +159,28 @@ def byte_pairs(path: str = VOCABULARY) -> BytePairs:
     return BytePairs(path)
 
 
-def path_of(path: str | None) -> str:
-    return path or os.environ.get("VARIANTLOOM_VOCABULARY", VOCABULARY)
+def path_of(spark: SparkSession, path: str | None) -> str:
+    """The vocabulary's path, whose file is sent with the job, once a session, for workers that do not have it there."""
+    where, context = path or os.environ.get("VARIANTLOOM_VOCABULARY", VOCABULARY), spark.sparkContext
+    sent = context.__dict__.setdefault("_variantloom_files", set())
+    if where not in sent:
+        context.addFile(where)
+        sent.add(where)
+    return where
+
+
+def at_worker(where: str) -> str:
+    return where if os.path.exists(where) else SparkFiles.get(os.path.basename(where))
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``key`` and ``ids`` (list of int) of every row; the rows keep their partitions, nothing is shuffled."""
     ship(df.sparkSession)
-    where = path_of(path)
+    where = path_of(df.sparkSession, path)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_pairs(where)
+        bpe = byte_pairs(at_worker(where))
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -184,11 +195,11 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
 def token_counts(df: DataFrame, key: str, text: str = "text", path: str | None = None, carry: list[str] = ()) -> DataFrame:
     """``key``, the columns of ``carry`` and ``n_tokens`` (0 for null and empty texts) of every row."""
     ship(df.sparkSession)
-    where = path_of(path)
+    where = path_of(df.sparkSession, path)
     fields = [key, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_pairs(where)
+        bpe = byte_pairs(at_worker(where))
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
