@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from variantloom.llm.blank import is_empty
 from variantloom.llm.neardup import mix, runs_of
 from variantloom.llm.prefix import bounded_sample
-from variantloom.llm.textnorm import _KEY, INVISIBLE, base_form, comparison_words
+from variantloom.llm.textnorm import INVISIBLE, base_form, comparison_words, plain_words
 from variantloom.llm.truncation import SAMPLE as SENTENCES
 from variantloom.llm.truncation import LEAST, baselines, decided, placed, read_model
 from variantloom.session import cut, ship
@@ -169,7 +169,7 @@ class Clauses:
             low = answer.lower().replace(chr(0x2019), "'")
             plain, start = low.isascii(), len(lengths)
             for clause in clauses_of(low):
-                words = _KEY.findall(clause) if plain else comparison_words(clause)
+                words = plain_words(clause) if plain else comparison_words(clause)
                 if not words:
                     continue
                 count = 0 if plain else len(_LETTERS.findall(clause))

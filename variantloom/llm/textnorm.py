@@ -184,6 +184,15 @@ def repaired(text: str, words: set[str]) -> str:
 _KEY = re.compile(r"[^\W_]+")
 
 
+#: ASCII characters that part words, as spaces.
+_PARTS = {c: " " for c in range(128) if not chr(c).isalnum()}
+
+
+def plain_words(low: str) -> list[str]:
+    """Runs of letters and digits of a lower-case ASCII text; several times faster than the pattern."""
+    return low.translate(_PARTS).split()
+
+
 def folded(text: str) -> str:
     """Every look-alike letter as its Latin reading."""
     if text.isascii():
@@ -195,6 +204,8 @@ def folded(text: str) -> str:
 
 def comparison_words(text: str) -> list[str]:
     """Lower-case runs of letters and digits under which look-alikes and invisible characters make no difference."""
+    if text.isascii() and not _CONTROL.search(text):
+        return plain_words(text.lower())
     return _KEY.findall(folded(base_form(text).lower()))
 
 
