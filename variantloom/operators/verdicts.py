@@ -131,6 +131,7 @@ def score(pairs: DataFrame, inventory: dict[str, dict], least_change: float = 0.
 
 
 def rule_reasons(anchor: Column, candidate: Column, most_delta: float = 0.20, least_words: int = 10) -> Column:
-    """The scoring rules that need no alignment: length and shortness."""
-    a, c = word_count(anchor), word_count(candidate)
-    return reasons(("length_outside_tolerance", (a > 0) & (c > 0) & (F.abs(c - a) / a > most_delta)), ("candidate_too_short", c < least_words))
+    """The scoring rules that need no alignment: length and shortness. Words are counted once, wherever the plan moves the rules."""
+    counts = F.array(F.struct(word_count(anchor).alias("a"), word_count(candidate).alias("c")))
+    rules = lambda s: reasons(("length_outside_tolerance", (s["a"] > 0) & (s["c"] > 0) & (F.abs(s["c"] - s["a"]) / s["a"] > most_delta)), ("candidate_too_short", s["c"] < least_words))
+    return F.transform(counts, rules)[0]
