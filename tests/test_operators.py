@@ -140,6 +140,16 @@ def test_sibling_maximum_is_over_all(spark):
     assert 0.98495 <= ratio(base[1], close) < 0.985 and got["c2"].sibling_similarity_over_threshold_count == 1 and got["c3"].duplicate_of_candidate_id is None
     listed = {r.candidate_id: r for r in audit.audit(_audited(spark, rows), at_least=0).collect()}
     assert [x.candidate_id for x in listed["c0"].pairwise_sibling_similarity] == ["c1"] and listed["c0"].sibling_similarity_over_threshold_count == 0
+    shown = {r.candidate_id: r for r in audit.audit(_audited(spark, rows), at_least=0, texts=True).collect()}
+    assert [tuple(x) for x in shown["c1"].sibling_candidate_responses] == [("c0", base[0])] and shown["c4"].sibling_candidate_responses is None
+
+    # half of all rows share one text, another text is nearly the same: numbers, not lists
+    many = [(f"m{k:02}", "m", k, "X", "", base[1] if k % 2 else f"{base[2]} q{k}", [], 0, [], True, "") for k in range(30)] + [("near", "m", 40, "X", "", close, [], 0, [], True, ""), ("same", "m", 41, "X", "", base[1] + " !", [], 0, [], True, "")]
+    every = {r.candidate_id: r for r in audit.audit(_audited(spark, many)).collect()}
+    assert every["m01"].duplicate_of_candidate_id is None and {every[f"m{k:02}"].duplicate_of_candidate_id for k in range(3, 30, 2)} == {"m01"} and every["same"].duplicate_of_candidate_id == "m01"
+    assert every["m03"].sibling_similarity_over_threshold_count == 16 and every["m03"].pairwise_sibling_similarity is None and every["near"].sibling_similarity_over_threshold_count == 16
+    listed = {r.candidate_id: r for r in audit.audit(_audited(spark, many), at_least=0.98).collect()}
+    assert [x.candidate_id for x in listed["m03"].pairwise_sibling_similarity] == ["m01", *(f"m{k:02}" for k in range(5, 30, 2)), "near", "same"]
 
     words = ["".join(random.choice("abcdefgqz") for _ in range(random.randint(1, 7))) for _ in range(60)]
     texts = [" ".join(random.choice(words) for _ in range(random.choice((5, 30, 60, 90)))) for _ in range(40)] + ["", "", "a", "zq" * 150, "e" * 300]
