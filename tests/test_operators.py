@@ -346,5 +346,11 @@ def test_flow(spark):
     assert out["jobs"].count() == out["raw"].count() == out["scored"].count() == 8
     again = flow.generated(out["jobs"], out["raw"].limit(3))
     assert again.count() == 8
+    failed = out["raw"].withColumn("candidate_response", F.when(F.col("candidate_index") == 1, "FAIL").otherwise(F.col("candidate_response")))
+    flow.failure_note, flow.make_client = "Try once more.", lambda: lambda p: {"id": None, "text": "noted" if "Try once more." in p else "plain", "usage": None}
+    assert {r.candidate_response for r in flow.generated(out["jobs"], failed).where("candidate_index = 1").collect()} == {"noted"}
+    flow.make_client = offline_client
+    brought = out["raw"].withColumn("anchor_response", F.when(F.col("candidate_index") == 1, "its own text"))
+    assert {r.anchor_response == "its own text" for r in flow.judged(rows, brought).where("candidate_index = 1").collect()} == {True} and flow.judged(rows, brought).where("anchor_response like 'the text%'").count() == 4
     after = flow.retry(rows, out["jobs"], out["raw"], out["scored"], limit=2)
     assert after["raw"].count() == 8 and after["raw"].where("retry_of_candidate_id is not null").count() == 2

@@ -567,14 +567,30 @@ def generated(spark, folder):
     return made.select("candidate_id", "anchor_id", "dialect_family", "candidate_index", "prompt_version", "model", "generation_status", "candidate_response", "openai_response_id", "tokens_in", "tokens_out", "source_job_id")
 
 
-@query(f"""WITH {_RULES}, place AS (SELECT candidate_id, anchor_id, said, row_number() OVER (PARTITION BY anchor_id ORDER BY candidate_index, candidate_id) AS i FROM pairs WHERE candidate_id IS NOT NULL),
-near AS (SELECT p.candidate_id, string_agg('- ' || q.said, chr(10) ORDER BY q.i) AS also FROM place p JOIN place q ON p.anchor_id = q.anchor_id AND q.i <> p.i AND q.i BETWEEN p.i - 4 AND p.i + 4 GROUP BY 1)
-SELECT job_id, concat_ws(chr(10) || chr(10), generation_prompt, 'The earlier answer was rejected:', r.said, 'Reasons: ' || concat_ws(', ', CASE WHEN outside THEN 'length_outside_tolerance' END, 'candidate_too_short'), 'Other answers to stay apart from:' || chr(10) || also, 'Write a whole answer.') AS generation_prompt
-FROM ruled r JOIN prompt_jobs j ON r.candidate_id = j.job_id LEFT JOIN near ON near.candidate_id = r.candidate_id WHERE short""")
-def retry_prompts(spark, folder):
+_RETRIES = f"""{_RULES}, place AS (SELECT candidate_id, anchor_id, said, row_number() OVER (PARTITION BY anchor_id ORDER BY candidate_index, candidate_id) AS i FROM pairs WHERE candidate_id IS NOT NULL),
+near AS (SELECT p.candidate_id, string_agg('- ' || q.said, chr(10) ORDER BY q.i) AS also FROM place p JOIN place q ON p.anchor_id = q.anchor_id AND q.i <> p.i AND q.i BETWEEN p.i - 4 AND p.i + 4 GROUP BY 1),
+again AS (SELECT job_id, j.candidate_index, concat_ws(chr(10) || chr(10), generation_prompt, 'The earlier answer was rejected:', r.said, 'Reasons: ' || concat_ws(', ', CASE WHEN outside THEN 'length_outside_tolerance' END, 'candidate_too_short'), 'Other answers to stay apart from:' || chr(10) || also, 'Write a whole answer.') AS generation_prompt
+ FROM ruled r JOIN prompt_jobs j ON r.candidate_id = j.job_id LEFT JOIN near ON near.candidate_id = r.candidate_id WHERE short)"""
+
+
+def _retries(spark: SparkSession, folder: str) -> DataFrame:
     rows = ruled(spark, folder).withColumn("student_text_corrections", F.array().cast("array<string>"))
     rows = cut(rows.select("candidate_id", "anchor_id", "candidate_index", "candidate_response", "rejection_reasons", "student_text_corrections", "passed_quality_filter"))
-    return generate.retry_prompts(records.to_retry(rows, ["candidate_too_short"]), table(spark, folder, "prompt_jobs"), rows, {"candidate_too_short": "Write a whole answer."}).select("job_id", "generation_prompt")
+    return generate.retry_prompts(records.to_retry(rows, ["candidate_too_short"]), table(spark, folder, "prompt_jobs"), rows, {"candidate_too_short": "Write a whole answer."})
+
+
+@query(f"WITH {_RETRIES} SELECT job_id, generation_prompt FROM again")
+def retry_prompts(spark, folder):
+    return _retries(spark, folder).select("job_id", "generation_prompt")
+
+
+@query(f"""WITH {_RETRIES}, made AS (SELECT job_id, 'Answer ' || substr(sha256(sent), 1, 12) || ' to ' || length(sent) || ' characters.' AS answer FROM (SELECT job_id, {_ATTEMPT} AS sent FROM again))
+SELECT candidate_id, CASE WHEN job_id IS NULL THEN candidate_response ELSE answer END AS candidate_response, job_id AS retry_of_candidate_id FROM candidates LEFT JOIN made ON candidate_id = job_id""")
+def retried(spark, folder):
+    """The round of retries: prompts, new records, every copy of a record replaced by the new one of its id."""
+    prompts = cut(_retries(spark, folder))
+    made = cut(generate.tagged(generate.generate(prompts, offline_client, "offline", attempts=4, wait=8.0), prompts))
+    return records.upserted(table(spark, folder, "candidates").select("candidate_id", "candidate_response"), made.select("candidate_id", "candidate_response", "retry_of_candidate_id"))
 
 
 # traces --------------------------------------------------------------------------------------------------------
