@@ -17,6 +17,7 @@ from variantloom.operators import assign, audit, generate, records, repair, repo
 from variantloom.plans import oracle
 from variantloom.operators.order import numbered_within
 from variantloom.plans.fixture import FAMILIES, INVENTORY, PLAIN_TEMPLATE, TEMPLATE, offline_client
+from variantloom.plans.workflow import Flow
 from variantloom.session import cut, spread
 from variantloom.sources.inventory import CATEGORIES, HABITUAL, family_table, labels, markers
 
@@ -567,6 +568,16 @@ def generated(spark, folder):
     return made.select("candidate_id", "anchor_id", "dialect_family", "candidate_index", "prompt_version", "model", "generation_status", "candidate_response", "openai_response_id", "tokens_in", "tokens_out", "source_job_id")
 
 
+@query(f"""WITH {_KNOWN}, {_family_sql()}, n AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS i FROM known), a AS (SELECT n.*, {_FAMILY_LIST}[(i % 6 + 1)::INT] AS family FROM n),
+jobs AS (SELECT key || '_' || replace(family, ' ', '_') || '_' || u.k AS job_id, u.k AS candidate_index, {_PROMPT} AS generation_prompt FROM a JOIN fam ON fam.dialect_family = family, unnest(range(1, 4)) AS u(k)), sent AS (SELECT job_id, {_ATTEMPT} AS sent FROM jobs)
+SELECT job_id AS candidate_id, 'Answer ' || substr(sha256(sent), 1, 12) || ' to ' || length(sent) || ' characters.' AS candidate_response FROM sent""")
+def flow_records(spark, folder):
+    """Assignments, jobs and records of a whole flow over all anchors."""
+    rows = known_anchors(spark, folder).withColumn("anchor_id", F.col("key"))
+    flow = Flow(INVENTORY, TEMPLATE, "own_v1", offline_client, "offline", ["key"])
+    return flow.generated(flow.jobs(rows, cut(flow.assignments(rows)))).select("candidate_id", "candidate_response")
+
+
 _RETRIES = f"""{_RULES}, place AS (SELECT candidate_id, anchor_id, said, row_number() OVER (PARTITION BY anchor_id ORDER BY candidate_index, candidate_id) AS i FROM pairs WHERE candidate_id IS NOT NULL),
 near AS (SELECT p.candidate_id, string_agg('- ' || q.said, chr(10) ORDER BY q.i) AS also FROM place p JOIN place q ON p.anchor_id = q.anchor_id AND q.i <> p.i AND q.i BETWEEN p.i - 4 AND p.i + 4 GROUP BY 1),
 again AS (SELECT job_id, j.candidate_index, concat_ws(chr(10) || chr(10), generation_prompt, 'The earlier answer was rejected:', r.said, 'Reasons: ' || concat_ws(', ', CASE WHEN outside THEN 'length_outside_tolerance' END, 'candidate_too_short'), 'Other answers to stay apart from:' || chr(10) || also, 'Write a whole answer.') AS generation_prompt
