@@ -49,7 +49,7 @@ def is_empty(text: str | None) -> bool:
     if not text:
         return True
     first = text.lstrip()[:1]
-    if first not in "{[<`(\"'“‘*_#" and text.isascii() and len(text) > 400 and len(plain_words(text[:400])) > MOST_WORDS:
+    if first not in "{[<`(\"'“‘*_#" and text.isascii() and len(plain_words(text[:400])) > MOST_WORDS:
         return False  # without a wrapper its first words alone are more than any placeholder has
     words = _WORD.findall(unwrapped(text).lower())
     return len(words) <= MOST_WORDS and " ".join(words) in PLACEHOLDERS or not any(c.isalnum() for w in words for c in w)

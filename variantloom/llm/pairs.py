@@ -355,9 +355,9 @@ class Chain:
         return out[row, column]
 
 
-def defects(answers: list[str | None], prompts: list[str | None], cut_off: list[bool], chain: Chain, language: Language, known: dict[str, int]) -> list[tuple[str | None, str | None]]:
+def defects(answers: list[str | None], prompts: list[str | None], cut_off: list[bool], chain: Chain, language: Language, known: dict[str, int], empty: list[bool] | None = None) -> list[tuple[str | None, str | None]]:
     """Of each pair its defect, or None, if the answer is whole, and if it is cut off; the second is that of the first where ``cut_off`` is false."""
-    texts = ["" if is_empty(a) else base_form(a) for a in answers]
+    texts = ["" if e else base_form(a) for a, e in zip(answers, empty or map(is_empty, answers))]
     c = Clauses(texts, prompts, [False] * len(answers), language, known)
     n = len(answers)
     words = np.bincount(c.pair, c.size, minlength=n)
@@ -452,7 +452,7 @@ def judged(candidates: DataFrame, jobs: DataFrame, tokens: Column, sample: int =
                 part = batch.iloc[lo : lo + 512]
                 a, p, *told = ([None if v is None or v != v else v for v in part[c].tolist()] for c in ("_t", "_p", "_n", "_usual", "_scatter", "_limit"))
                 weight = [end.of(*x) for x in zip(a, *told)]
-                found = defects(a, p, [e > LEAST for e, _ in weight], crf, read, known)
+                found = defects(a, p, [e > LEAST for e, _ in weight], crf, read, known, [e == float("-inf") for e, _ in weight])
                 frame = {"_k": part["_k"].tolist(), "_s": part["_s"].tolist(), "_e": [e for e, _ in weight], "_bare": [b for _, b in weight]}
                 yield pd.DataFrame({**frame, "_whole": pd.Series([x for x, _ in found], dtype=object), "_cut": pd.Series([x for _, x in found], dtype=object)})
 

@@ -304,7 +304,8 @@ class Evidence:
 
 
 def _ended() -> Column:
-    return F.coalesce(F.col("_t").rlike(PLAIN_END), F.lit(True))
+    """Whether a text ends in a terminator, for baselines; its last characters tell."""
+    return F.coalesce(F.right(F.rtrim("_t"), F.lit(MARK)).rlike(PLAIN_END), F.lit(True))
 
 
 def read_model(rows: DataFrame, size: int = SAMPLE, words: int = VOCABULARY) -> Evidence:
