@@ -1,5 +1,6 @@
 """Functions against plain Python."""
 
+import random
 import re
 from difflib import SequenceMatcher
 
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from variantloom.functions import alignment, similarity as sim
+from variantloom.functions import alignment, edits, similarity as sim
 from variantloom.functions import text as tx
 
 TEXTS = ["", "a", "ab", "Hello, wörld's end!  ", "one two\tthree\n", "naïve café — déjà_vu 42", "  x ", "...", "x" * 3000, None, "The cat sat. The cat sat.", "日本語 テキスト", "🙂 ok"]
@@ -49,6 +50,37 @@ def test_similarity(spark):
         assert r.same == (a.strip() == b.strip())
 
 
+def test_edit_distances(spark):
+    """Every length around a word of bits, groups of one and of many pairs, against the table of all prefixes and Spark's own."""
+
+    def plain(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+        return last[-1]
+
+    r, pairs = random.Random(3), [("", ""), ("", "abc"), ("a" * 64, "a" * 65), ("ab" * 200, "ba" * 200), ("a\0b", "ab")]
+    for _ in range(150):
+        letters = r.choice(["ab", "abcdefgh é" + chr(0x1F600), "abc" + chr(0x4E00) + chr(0x4E01)])
+        x = r.choices(letters, k=r.choice([0, 1, 5, 63, 64, 65, 127, 128, 129, 200]))
+        y = list(x) if r.random() < 0.5 else r.choices(letters, k=r.choice([0, 1, 64, 65, 130]))
+        for _ in range(r.choice([0, 1, 5, 30]) if y else 0):
+            y[r.randrange(len(y))] = r.choice(letters)
+        pairs.append(("".join(x), "".join(y[r.choice([0, 0, 3]) :])))
+    a, b = zip(*pairs)
+    want, old = [plain(x, y) for x, y in pairs], (edits.WORDS, edits.TABLE)
+    try:
+        for edits.WORDS, edits.TABLE in (old, (6, old[1]), (64, 40)):
+            assert edits.distances(list(a), list(b)).tolist() == want and not len(edits.distances([], []))
+    finally:
+        edits.WORDS, edits.TABLE = old
+    got = run(spark, [*pairs, (None, "x"), ("x", None), (None, None)], "a string, b string", new=sim.edit_distance("a", "b"), old=F.levenshtein(tx.text("a"), tx.text("b")))
+    assert [g["new"] for g in got] == [g["old"] for g in got] == [*want, 1, 1, 0]
+
+
 def test_rounded(spark):
     values = [p / q for q in range(1, 130) for p in range(q)] + [0.03125, 0.00015, 2.675]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(sim.rounded(F.col("v"))).collect()]

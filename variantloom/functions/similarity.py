@@ -1,11 +1,14 @@
-"""Similarity of two texts, in the JVM. Values are unrounded; :func:`rounded` gives correctly rounded decimals."""
+"""Similarity of two texts, in the JVM but for the edit distance. Values are unrounded; :func:`rounded` gives correctly rounded decimals."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from variantloom.functions.edits import distances
 from variantloom.functions.text import col, lower_words, strip, text, token_set
+from variantloom.session import ship
 
 
 def rounded(c: Column, digits: int = 4) -> Column:
@@ -36,7 +39,9 @@ def length_ratio(a: str | Column, b: str | Column) -> Column:
 
 
 def edit_distance(a: str | Column, b: str | Column) -> Column:
-    return F.levenshtein(text(a), text(b))
+    """Edits of code points, many pairs at once; null equals ''."""
+    ship()
+    return F.pandas_udf(lambda x, y: pd.Series(distances(x.tolist(), y.tolist()), dtype="int32"), "int")(text(a), text(b))
 
 
 def edit_share(a: str | Column, b: str | Column) -> Column:
