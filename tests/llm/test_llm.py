@@ -453,3 +453,22 @@ def test_levels(spark):
         reading.HOT = old
     assert reading.levels(docs, graded.limit(0)).where("level is not null").count() == 0
     assert reading.levels(docs.limit(0), graded).count() == 0
+
+
+def test_every_language_document_counts(spark):
+    """All documents in other languages are read, those without a Latin letter too, and all tell the language."""
+    rows = [(k, f"el abuelo número {k} perdió la bicicleta", "es") for k in range(2500)] + [(5000, chr(0x43D) + chr(0x435) + chr(0x442), "ru"), (5001, chr(0xE9) + " " + chr(0xE9), "en"), (5002, None, "en"), (5003, "12", "en")]
+    kinds = reading.graph(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).groupBy("kind").count().collect()
+    assert {x.kind: x["count"] for x in kinds} == {"other": 2501, "en": 1}
+    r = random.Random(8)
+    for n in (2, 60, 300):
+        told = [(round(r.random() ** 0.5, 2), "en") for _ in range(n)] + [(round(r.random() ** 2, 2), "other") for _ in range(n // 2)]
+        s, yes = np.array([x[0] for x in told]), np.array([x[1] == "en" for x in told])
+        places = np.unique(s)
+        edges = (2 * places[:-1] + places[1:]) / 3
+        wrong = [int((~yes).sum() * ((s < e) & yes).sum() + yes.sum() * ((s >= e) & ~yes).sum()) for e in edges]
+        want = max(np.flatnonzero(np.array(wrong) == min(wrong)), key=lambda k: (places[k + 1] - places[k], -k))
+        shares = spark.createDataFrame([*told, (0.99, "unknown")], "share double, kind string")
+        assert reading._least_share(shares) == pytest.approx(edges[want])
+    assert reading._least_share(spark.createDataFrame([(0.4, "en"), (0.4, "other")], "share double, kind string")) == 0.4
+    assert reading._least_share(spark.createDataFrame([(0.4, "en"), (0.4, "unknown")], "share double, kind string")) == 0.5

@@ -12,8 +12,8 @@ A document's score is what its words and its leaf say, clamped or not. The cuts
 they tell the grades of at most ``GRADED`` graded documents apart best, in the middle of the widest such range.
 
 Documents whose ``lang`` says English (any spelling) are English; of those that have none, the ones whose words
-are known enough: a word is known if three documents said to be English have it, and the share that tells
-English documents from a bounded sample of those in other languages best is asked for. Others, and null, empty
+are known enough: a word is known if three documents said to be English have it, and the share that tells all
+documents said to be English from all said to be in other languages best is asked for. Others, and null, empty
 and blank texts, have no score and no level. Short marks around a text are a few words among many and shift a
 score by little. Repeated grades of one document are averaged; grades of unknown documents count for nothing.
 Without any grade there are no levels.
@@ -28,16 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from variantloom.llm.prefix import bounded_sample, shuffled
+from variantloom.llm.prefix import SLICES, bounded_sample
 from variantloom.session import cut, ship
 
 #: Share of its value an ungraded document takes from its leaf, the largest move of a score after the last round.
 LEAF, TOLERANCE = 0.5, 1e-3
-#: Upper bound of the graded documents the cuts are fitted on, and of the documents the language is told by, of either kind.
-GRADED, SPOKEN = 20_000, 2_000
+#: Upper bound of the graded documents the cuts are fitted on.
+GRADED = 20_000
 #: Nodes, those of most documents, whose values are broadcast (24 bytes each); the others, each of few documents, are joined by a shuffle.
 HOT = 100_000
 LEVELS = (1, 2, 3, 4)
@@ -57,7 +57,7 @@ def nodes_of(text: str) -> dict[str, int]:
 
 
 def graph(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``kind`` (``en``, ``unknown``, or ``other`` for at most ``SPOKEN`` of other languages), ``nodes`` (hashes) and ``tf`` of documents with words."""
+    """``doc_id``, ``kind`` (``en``, ``unknown`` or ``other``), ``nodes`` (hashes) and ``tf`` of all documents with words."""
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,9 +81,7 @@ def graph(documents: DataFrame) -> DataFrame:
 
     lang = F.lower(F.trim("lang"))
     kind = F.when(F.coalesce(lang, F.lit("")) == "", F.lit("unknown")).when(lang.rlike("^en($|[^a-z])|^english$"), F.lit("en")).otherwise(F.lit("other"))
-    rows = documents.where(F.col("text").rlike("[A-Za-z]")).select("doc_id", "text", kind.alias("kind"))
-    others = rows.where("kind = 'other'").count()
-    rows = rows.where((F.col("kind") != "other") | (shuffled("doc_id", seed=2) < SPOKEN / max(1, others)))
+    rows = documents.where("text is not null").select("doc_id", "text", kind.alias("kind"))
     return rows.mapInPandas(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, kind string, nodes array<bigint>, tf array<double>")
 
 
@@ -106,38 +104,39 @@ def _met(edges: DataFrame, values: DataFrame, hot: DataFrame, many: bool) -> Dat
 
 def english(docs: DataFrame) -> DataFrame:
     """Of the documents of :func:`graph`, those in English."""
-    unsure = docs.where("kind != 'en'")
-    if unsure.isEmpty():
-        return docs.drop("kind")
     said = docs.where("kind = 'en'")
-    share = min(1.0, SPOKEN / max(1, said.count()))
-    asked = unsure.unionByName(said.where(shuffled("doc_id", seed=2) <= share))
+    if docs.where("kind = 'unknown'").isEmpty():
+        return said.drop("kind")
     words = cut(said.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count("*").alias("_df")).where("_df >= 3"))
     many = words.limit(HOT + 1).count() > HOT
-    hits = _met(_edges(asked), words.select("node"), _hot(words), many).groupBy("doc_id").agg(F.sum("tf").alias("_hit"))
-    every = asked.select("doc_id", "kind", F.aggregate("tf", F.lit(0.0), lambda a, b: a + b).alias("_all"))
+    hits = _met(_edges(docs), words.select("node"), _hot(words), many).groupBy("doc_id").agg(F.sum("tf").alias("_hit"))
+    every = docs.select("doc_id", "kind", F.aggregate("tf", F.lit(0.0), lambda a, b: a + b).alias("_all"))
     shares = cut(every.join(hits, "doc_id", "left").select("doc_id", "kind", (F.coalesce("_hit", F.lit(0.0)) / F.col("_all")).alias("share")))
-    least = _least_share([tuple(r) for r in bounded_sample(shares.where("kind != 'unknown'").select("share", "kind", "doc_id"), 2 * SPOKEN)])
-    good = shares.where((F.col("kind") == "unknown") & (F.col("share") >= least)).select("doc_id")
+    good = shares.where((F.col("kind") == "unknown") & (F.col("share") >= _least_share(shares))).select("doc_id")
     return said.unionByName(docs.where("kind = 'unknown'").join(good, "doc_id", "left_semi")).drop("kind")
 
 
-def _least_share(told: list[tuple[float, str, int]]) -> float:
-    """The share of known words that tells English best from other languages; one half without documents of both.
+def _least_share(shares: DataFrame) -> float:
+    """The share of known words that tells English best from other languages, over all documents of known ``kind``; one half without documents of both.
 
     In the widest such gap, a third of the way up: English on a new subject has fewer known words than the
-    documents at hand, while other languages have no more of them.
+    documents at hand, while other languages have no more of them. Errors of either kind count by their share
+    of their kind, in whole numbers. Shares are sorted within slices; the driver sees a row for each slice.
     """
-    s, yes = np.array([x[0] for x in told]), np.array([x[1] == "en" for x in told], dtype=bool)
-    if not yes.any() or yes.all():
+    counted = shares.where("kind != 'unknown'").groupBy("share").agg(F.sum((F.col("kind") == "en").cast("bigint")).alias("_en"), F.sum((F.col("kind") != "en").cast("bigint")).alias("_other"))
+    places = cut(counted.withColumn("_slice", F.least(F.floor(F.col("share") * SLICES), F.lit(SLICES - 1)).cast("int")))
+    slices = [tuple(r) for r in places.groupBy("_slice").agg(F.sum("_en"), F.sum("_other"), F.min("share")).orderBy("_slice").collect()]
+    en, other = sum(r[1] for r in slices), sum(r[2] for r in slices)
+    if not en or not other:
         return 0.5
-    places = np.unique(s)
-    edges = np.r_[(2 * places[:-1] + places[1:]) / 3, places[-1:]] if len(places) > 1 else places
-    # errors of either kind count by their share of their kind
-    wrong = [((s < e) & yes).sum() / yes.sum() + ((s >= e) & ~yes).sum() / (~yes).sum() for e in edges]
-    best = np.flatnonzero(np.array(wrong) == min(wrong))
-    gap = np.diff(np.r_[places, places[-1]])[best]
-    return float(edges[best[np.argmax(gap)]])
+    starts = [(r[0], sum(x[1] for x in slices[:k]), sum(x[2] for x in slices[:k]), slices[k + 1][3] if k + 1 < len(slices) else None) for k, r in enumerate(slices)]
+    starts = places.sparkSession.createDataFrame(starts, "_slice int, _en0 bigint, _other0 bigint, _first double")
+    order = Window.partitionBy("_slice").orderBy("share")
+    below = order.rowsBetween(Window.unboundedPreceding, 0)
+    edges = places.select("_slice", "share", F.sum("_en").over(below).alias("_en"), F.sum("_other").over(below).alias("_other"), F.lead("share").over(order).alias("_after")).join(F.broadcast(starts), "_slice")
+    edges = edges.select("share", F.coalesce("_after", "_first").alias("_next"), ((F.col("_en0") + F.col("_en")) * other + (other - F.col("_other0") - F.col("_other")) * en).alias("_wrong")).where("_next is not null")
+    best = edges.orderBy("_wrong", F.desc(F.col("_next") - F.col("share")), "share").first()
+    return slices[0][3] if best is None else (2 * best["share"] + best["_next"]) / 3
 
 
 def harmonic(documents: DataFrame, labels: DataFrame, leaf: float = LEAF, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[tuple[int, float]]]:
