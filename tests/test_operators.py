@@ -5,6 +5,7 @@ import os
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,6 +280,17 @@ def test_traced_generation(spark):
     assert [r[0] for r in keys.collect()] == ["gulf-coast_(south)_output", "aae_output"]
 
 
+def test_ratios_of_long_runs():
+    """Equal runs of 7 to 17 characters and more, at either end of a text or within, which eight characters at a time must not change."""
+    assert hex(audit._eights(np.frombuffer(b"abc", dtype=np.uint8), 1)[0]) == "0x6362" and hex(audit._eights(np.frombuffer(b"abcdefghij", dtype=np.uint8), -1)[9]) == "0x6263646566676869"
+    filler = "the tea on the table and then a tin on a hat " * 5
+    for n in (*range(1, 20), 40):
+        for run in ("q" + "ab" * n, "ab" * n + "q", ("ab" * n)[:n] + "qz" + ("ba" * n)[:n]):
+            first = ["", run, run + filler, filler + run, filler[:90] + run + filler[90:], run + filler + run, "x" + run]
+            for second in (filler + run, run + filler, filler[:50] + run + filler[50:]):
+                assert audit.Firsts(first).ratios(audit.Second(second)).tolist() == [SequenceMatcher(None, x, second).ratio() for x in first]
+
+
 def test_hot_anchor_retries_and_order(spark):
     """One anchor holds half of all rows: numbers, selections and prompts stay right and prompts stay short."""
     rows = [(f"c{k:03}", "hot" if k % 2 else f"a{k}", k, "word " * 12 + str(k), ["r"] if k == 99 else [], k != 99, k / 200) for k in range(200)]
