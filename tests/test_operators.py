@@ -291,6 +291,42 @@ def test_ratios_of_long_runs():
                 assert audit.Firsts(first).ratios(audit.Second(second)).tolist() == [SequenceMatcher(None, x, second).ratio() for x in first]
 
 
+def test_block_ratios(spark):
+    """All alignments of two blocks are made in the JVM, equal to SequenceMatcher's, a million of long texts in seconds."""
+    import random
+    import time
+
+    from variantloom.functions.compiled import block_ratios
+
+    random.seed(7)
+
+    def called(x, y, same, least):
+        df = spark.createDataFrame([("\n".join(x), "\n".join(y))], "x string, y string")
+        return df.select(block_ratios(spark, F.col("x"), F.col("y"), F.lit(same), least)).first()[0]
+
+    for letters in ("abcdefghijklmnopq", "abczq'", "eeeeeettttaaaoooniisshhrrddlcumwfgypbvkxjqz"):
+        words = ["".join(random.choice(letters) for _ in range(random.randint(1, 7))) for _ in range(50)]
+        texts = [" ".join(random.choice(words) for _ in range(random.choice((3, 30, 60, 150)))) for _ in range(30)] + ["", "a", "zq" * 150, "e" * 300, "q" + "e" * 300]
+        texts += [t[: len(t) // 3] + "q" + t[len(t) // 3 :] for t in texts[:6]] + [t[len(t) // 3 :] + t[: len(t) // 3] for t in texts[:6]]
+        brute = [[SequenceMatcher(None, x, y).ratio() for y in texts] for x in texts]
+        n = len(texts)
+        for half in (n, n // 2):  # one block, two blocks
+            first, second = texts[:half], texts[half:] or texts
+            shift = 0 if half == n else half
+            pairs = [(i, j) for i in range(half) for j in range(i + 1 if half == n else 0, len(second))]
+            for least in (0.0, 0.3, 0.985, float("inf")):
+                got = called(first, second, half == n, least)
+                both = lambda i, j: (brute[i][j + shift], brute[j + shift][i])  # noqa: B023, E731
+                assert got[:n] == [max(brute[i][j] for j in range(n) if j != i and (half == n or (i < half) != (j < half))) for i in range(n)]
+                assert [tuple(got[k : k + 4]) for k in range(n, len(got), 4)] == [(i, j, *both(i, j)) for i, j in pairs if max(both(i, j)) >= least]
+    assert called(["alone"], ["alone"], True, 0.0) == [-1.0] and called([""], ["a"], False, 0.0) == [0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+
+    words = ["".join(random.choice("eeeeeettttaaaoooniisshhrrddlcumwfgypbvkxjqz") for _ in range(random.randint(1, 9))) for _ in range(900)]
+    many = [" ".join(random.choice(words) for _ in range(110)) for _ in range(1000)]
+    began = time.time()
+    assert len(called(many, many, True, 0.985)) == 1000 and time.time() - began < 20
+
+
 def test_hot_anchor_retries_and_order(spark):
     """One anchor holds half of all rows: numbers, selections and prompts stay right and prompts stay short."""
     rows = [(f"c{k:03}", "hot" if k % 2 else f"a{k}", k, "word " * 12 + str(k), ["r"] if k == 99 else [], k != 99, k / 200) for k in range(200)]
