@@ -327,6 +327,20 @@ def test_block_ratios(spark):
     assert len(called(many, many, True, 0.985)) == 1000 and time.time() - began < 20
 
 
+def test_audit_carries_what_is_asked_for(spark):
+    from variantloom.session import spread
+
+    rows = _audited(spark, [("c1", "a", 1, "X", "one two three", "one two four", ["z"], 1, ["old"], True, "e"), ("c2", "a", 2, "X", "one two three", "one two five", [], 0, None, True, "e")])
+    whole, some = audit.audit(rows), audit.audit(rows, carried=["candidate_id", "rejection_reasons"])
+    assert {*rows.columns} <= {*whole.columns} and {"x_extra", "anchor_response", "dialect_family"}.isdisjoint(some.columns)
+    assert sorted(whole.select(*some.columns).collect()) == sorted(some.collect())
+
+    # rows that were spread stay where they are; few partitions are not many
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(spread(spread(rows).withColumn("y", F.upper("x_extra")))).count("Repartition") == 1
+    assert "Repartition" in plan(spread(rows.coalesce(10_000))) and ", true" in plan(spread(rows.coalesce(10_000)))
+
+
 def test_hot_anchor_retries_and_order(spark):
     """One anchor holds half of all rows: numbers, selections and prompts stay right and prompts stay short."""
     rows = [(f"c{k:03}", "hot" if k % 2 else f"a{k}", k, "word " * 12 + str(k), ["r"] if k == 99 else [], k != 99, k / 200) for k in range(200)]
